@@ -171,5 +171,7 @@ def parse_reply_time(col: Column) -> Column:
 
 
 def elapsed_label(ms: Column) -> Column:
-    seconds = F.format_string("%.1fs", ms / F.lit(1000.0))
+    """Milliseconds below one second, else seconds with one place, halves up."""
+    tenths = F.floor((ms + 50) / 100)
+    seconds = F.format_string("%.1fs", tenths / F.lit(10.0))
     return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(seconds)

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .catalog import BUILDERS, SQL
 
-MODULES = ("reviews",)
+MODULES = ("reviews", "registry", "specdiff", "corpus", "names")
 
 
 def _load() -> None:

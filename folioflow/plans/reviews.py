@@ -19,7 +19,7 @@ files as (
   select comment_id, owner_reply,
          coalesce(string_agg(case when not image then original_name end, ', '
                     order by create_dt, attachment_id), '') as other_files,
-         count_if(image) as image_count
+         count(*) filter (where image) as image_count
   from file_rows group by all)"""
 
 
