@@ -82,16 +82,23 @@ def root_of(replies: DataFrame, comments: DataFrame) -> DataFrame:
     return replies.join(comments.select("comment_id", "doc_id"), "comment_id")
 
 
-def resolve_mentions(mentions: DataFrame, users: DataFrame) -> DataFrame:
-    """One user per mention: a matching name goes before a matching id, ties by user id."""
-    wanted = mentions.select("mention").distinct()
-    by_name = users.select(
-        F.col("user_name").alias("mention"), "user_id", F.lit(0).alias("priority")
+def mention_index(users: DataFrame) -> DataFrame:
+    """One user per possible mention: a matching name goes before a matching id, ties by user id."""
+    spelled = users.select(
+        "user_id",
+        F.inline(
+            F.array(
+                F.struct(F.col("user_name").alias("mention"), F.lit(0).alias("priority")),
+                F.struct(F.col("user_id").alias("mention"), F.lit(1).alias("priority")),
+            )
+        ),
     )
-    by_key = users.select(F.col("user_id").alias("mention"), "user_id", F.lit(1).alias("priority"))
-    hits = wanted.join(by_name.unionByName(by_key), "mention")
-    chosen = first_per(hits, ["mention"], ["priority", "user_id"])
-    return mentions.join(chosen, "mention")
+    return first_per(spelled.where(F.col("mention").isNotNull()), ["mention"], ["priority", "user_id"])
+
+
+def resolve_mentions(mentions: DataFrame, users: DataFrame) -> DataFrame:
+    """Mentions with their user; unknown ones leave. The mentions may be a stream."""
+    return mentions.join(mention_index(users), "mention")
 
 
 def labels(df: DataFrame) -> DataFrame:
@@ -347,17 +354,22 @@ def delete_threads(
     )
 
 
-def mention_alerts(comments: DataFrame, users: DataFrame, docs: DataFrame) -> DataFrame:
-    """One row per comment and resolved user, with the text to send."""
+def mention_rows(comments: DataFrame, users: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row per comment and mention that resolves, with the text to send. Works on streams."""
     said = comments.select("*", F.explode(T.mentions(F.col("comment_text"))).alias("mention"))
-    who = resolve_mentions(said.select("mention").distinct(), users)
-    named = said.join(who.select("mention", F.col("user_id").alias("target_user")), "mention")
-    with_doc = named.join(docs.select("doc_id", "file_name", "file_path"), "doc_id", "left")
-    sent = with_doc.select(
+    who = mention_index(users).select("mention", F.col("user_id").alias("target_user"))
+    with_doc = said.join(who, "mention").join(
+        docs.select("doc_id", "file_name", "file_path"), "doc_id", "left"
+    )
+    return with_doc.select(
         "comment_id",
         "target_user",
         T.notification(
             F.col("file_path"), F.col("file_name"), F.col("comment_text"), F.col("comment_code")
         ).alias("message"),
     )
-    return sent.distinct()
+
+
+def mention_alerts(comments: DataFrame, users: DataFrame, docs: DataFrame) -> DataFrame:
+    """One alert per comment and user, also when two mentions name the same user."""
+    return mention_rows(comments, users, docs).distinct()

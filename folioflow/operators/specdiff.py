@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import settle
 from .ordered import carried, first_per, gathered, number_blocks, numbered
 
 # Row states, in the order in which they are decided, and the highlight mark.
@@ -89,7 +90,9 @@ def merge_versions(after: DataFrame, before: DataFrame, scope: str) -> DataFrame
             F.count(F.lit(1)).alias(f"{name}_count"),
         )
 
-    merged = side(after, "after").join(side(before, "before"), [scope, "item"], "full_outer")
+    merged = settle(
+        side(after, "after").join(side(before, "before"), [scope, "item"], "full_outer")
+    )
     common = merged.where(F.col("after_pos").isNotNull() & F.col("before_pos").isNotNull())
     ranked = common.select(scope, "item", "after_pos", "before_pos")
     for name in ("after", "before"):

@@ -262,7 +262,7 @@ def class_tokens(spark, d):
 
 @query(
     """
-select p_partkey, p_name || '|' || p_brand || '|' || p_type as steps, 3 as step_count from part
+select p_partkey, p_name || '|' || p_brand || '|' || p_type as steps, cast(3 as bigint) as step_count from part
 """
 )
 def menu_steps(spark, d):

@@ -38,7 +38,7 @@ files as (
 select s.*, case when status = 'RESOLVED' then '해결' else '미해결' end as status_label,
        coalesce(nullif(trim(user_name), ''), user_id, '') as author,
        coalesce(page_num || '페이지', '') as page_label,
-       0 as part_no, coalesce(other_files, '') as other_files, coalesce(image_count, 0) as image_count
+       cast(0 as bigint) as part_no, coalesce(other_files, '') as other_files, coalesce(image_count, 0) as image_count
 from sheet s left join files f
   on f.comment_id = s.comment_id and f.owner_reply = coalesce(s.reply_id, -1)
 """,
@@ -69,7 +69,7 @@ file_side as (
   select comment_id, count(*) as file_count,
          string_agg(original_name, '|' order by create_dt, attachment_id) as file_list
   from attachments where reply_id is null group by 1)
-select c.comment_id, c.doc_id, 0 as part_no, coalesce(reply_count, 0) as reply_count,
+select c.comment_id, c.doc_id, cast(0 as bigint) as part_no, coalesce(reply_count, 0) as reply_count,
        coalesce(reply_list, '') as reply_list, coalesce(file_count, 0) as file_count,
        coalesce(file_list, '') as file_list
 from comments c left join reply_side using (comment_id) left join file_side using (comment_id)
@@ -290,7 +290,7 @@ def resolved_mentions(spark, d):
 @query(
     sql(
         ATTACHMENTS, FILE_SUMMARY,
-        body="select comment_id, owner_reply, 0 as part_no, other_files, image_count from files",
+        body="select comment_id, owner_reply, cast(0 as bigint) as part_no, other_files, image_count from files",
     )
 )
 def attachment_summary(spark, d):

@@ -41,7 +41,7 @@ filled as (
         SPEC_ROWS,
         body="""
 select sheet, item, min(row_no) as row_no, arg_min(description, row_no) as description,
-       3 as column_count, count(*) as source_rows, bool_or(c2 = '#') as highlighted
+       cast(3 as bigint) as column_count, count(*) as source_rows, bool_or(c2 = '#') as highlighted
 from filled group by 1, 2
 """,
     )
@@ -55,7 +55,7 @@ def collapsed_items(spark, d):
         SPEC_ROWS,
         body="""
 , long as (select sheet, item, row_no, unnest([1, 2, 3]) as col_no, unnest([c1, c2, c3]) as value from filled)
-select sheet, item, cast(col_no as bigint) as col_no, 0 as part_no, string_agg(value, ' ' order by row_no) as value
+select sheet, item, cast(col_no as bigint) as col_no, cast(0 as bigint) as part_no, string_agg(value, ' ' order by row_no) as value
 from long group by all
 """,
     )
@@ -72,7 +72,7 @@ def collapsed_cells(spark, d):
 authors as (select p_name || ' ' || p_brand as item, string_agg(p_type, ' ' order by p_partkey) as editor
             from part where p_size > 25 group by 1),
 important as (select distinct p_name || ' ' || p_brand as item from part where p_retailprice > 1000)
-select i.sheet, i.item, coalesce(editor, '') as editor, 0 as editor_part,
+select i.sheet, i.item, coalesce(editor, '') as editor, cast(0 as bigint) as editor_part,
        case when m.item is null then '' else 'V' end as important
 from items i left join authors a using (item) left join important m using (item)
 """,

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +52,31 @@ def read_table(spark: SparkSession, location: str, name: str) -> DataFrame:
     if location.startswith("jdbc:"):
         return spark.read.format("jdbc").option("url", location).option("dbtable", name).load()
     return spark.read.parquet(f"{location.rstrip('/')}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share, as the cluster names it.
+
+    Only a local session may fall back to a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="folioflow-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several later steps read, and read it back.
+
+    Chained scans would otherwise repeat everything before them. The table outlives lost executors
+    and later readers fetch only the columns they need.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
