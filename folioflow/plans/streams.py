@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.ordered import first_per
 from ..session import read_table
 from ..streaming import events as E
 from . import roles as role
@@ -19,7 +18,8 @@ def room_events(df):
     """Events of review rooms: the room is in the JSON message, the comment number in the value."""
     opened = E.parse_messages(df, "props", "k long")
     return opened.selectExpr(
-        "event_id", "cast(ts as timestamp) as ts", "k as room", "user_id", f"{TYPE} as type",
+        "event_id", "cast(ts as timestamp) as ts", "k as room", "user_id",
+        "concat(cast(user_id as string), '-', cast(event_id % 2 as string)) as session", f"{TYPE} as type",
         "cast(floor(value) as bigint) as comment_id",
     )
 
@@ -65,17 +65,17 @@ def presence(spark, d):
 
 @query(
     sql(
-        ROOM_EVENTS, OPENED,
+        ROOM_EVENTS,
         body="""
-select room, user_id, arg_max(open_sessions, (ts, event_id)) as open_sessions, max(ts) as ts
-from opened group by 1, 2
+, last_moves as (select room, user_id, event_id % 2 as tab, arg_max(type, (ts, event_id)) as type
+                 from room_events where type in ('JOIN', 'LEAVE') group by 1, 2, 3)
+select room, count(distinct user_id) as present_users from last_moves where type = 'JOIN' group by 1
 """,
     )
 )
 def presence_stream(spark, d):
-    """The same events as a stream: state of every user and room after the last batch."""
-    emitted = E.drain(E.presence_stream(stream_events(spark, d)), "update")
-    return first_per(emitted, ["room", "user_id"], ["batch_no"], last=True).drop("batch_no")
+    """Users with an open session, two browser tabs each, after the stream has taken all events."""
+    return E.present_users(E.drain(E.presence_stream(stream_events(spark, d)), "update"))
 
 
 EDITING = """room_comments as (select p_partkey as comment_id, cast(p_size as bigint) as doc_id from part),
@@ -159,12 +159,12 @@ def job_runs(spark, d):
     return E.job_runs(job_log(read_table(spark, d, "events")))
 
 
-@query(sql(JOB_LOG, RUNS, body="select id, status, started_at, finished_at from runs"))
+@query(sql(JOB_LOG, RUNS, body="""select id, status, started_at, finished_at,
+       (epoch_us(finished_at) - epoch_us(started_at)) // 1000 as elapsed_ms from runs"""))
 def job_stream(spark, d):
     schema = read_table(spark, d, "events").schema
     log = job_log(E.read_events(spark, d, schema, "events.parquet"))
-    emitted = E.drain(E.job_stream(log), "update")
-    return first_per(emitted, ["id"], ["batch_no"], last=True).drop("batch_no")
+    return E.merge_runs(E.drain(E.job_stream(log), "update"))
 
 
 @query(

@@ -1,19 +1,17 @@
 """Event streams of live review rooms and job logs, with batch twins.
 
-Events carry (event_id, ts, room, user_id, type, comment_id). The specified behaviour acts on arrival
-and keeps state in memory for ever; here state has a time to live, and late rows are taken as they
-arrive. The batch twins read the same events as a table.
+Events carry (event_id, ts, room, user_id, session, type, comment_id). The specified behaviour keeps
+its state in memory for ever and has no rule for late rows. Here a watermark bounds the state: streams
+emit small mergeable updates per day, rows later than the delay are dropped, and a batch step merges
+the updates. The batch twins read the same events as a table.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..operators import reviews as R
@@ -24,7 +22,6 @@ from ..session import settle, shared_folder
 JOIN, LEAVE = "JOIN", "LEAVE"
 EDITING_START, EDITING_STOP = "EDITING_START", "EDITING_STOP"
 STARTED = "STARTED"
-DAY_MS = 24 * 60 * 60 * 1000
 
 
 # -- sources ---------------------------------------------------------------------------------
@@ -84,47 +81,30 @@ def presence(events: DataFrame) -> DataFrame:
     return running(stepped, ["room"], order, blocks, room).drop("_step")
 
 
-class SessionCounter(StatefulProcessor):
-    """Open sessions of one user in one room; one output row per key and micro-batch."""
+def presence_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Last join or leave of every session, as a stream of updates.
 
-    def __init__(self, ttl_ms: int = 30 * DAY_MS):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open_sessions", "n long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        count = self.open.get()[0] if self.open.exists() else 0
-        for step in batch["delta"]:
-            count = max(0, count + int(step))
-        if count:
-            self.open.update((count,))
-        else:
-            self.open.clear()
-        yield pd.DataFrame(
-            {"room": [key[0]], "user_id": [key[1]], "ts": [batch["ts"].iloc[-1]], "open_sessions": [count]}
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def presence_stream(events: DataFrame, ttl_ms: int = 30 * DAY_MS) -> DataFrame:
-    """Streaming presence, keyed by room and user so that a crowded room is spread out."""
+    Keyed by room, user and session, so a crowded room is spread out and combines on the map side.
+    Day windows bound the state: a day is forgotten once the watermark has passed it, and rows later
+    than ``delay`` are dropped. :func:`present_users` merges the updates.
+    """
+    moves = events.where(F.col("type").isin(JOIN, LEAVE)).withWatermark("ts", delay)
+    last = F.max(F.struct("ts", "event_id", "type")).alias("last")
     return (
-        _delta(events)
-        .select("room", "user_id", "ts", "event_id", "delta")
-        .groupBy("room", "user_id")
-        .transformWithStateInPandas(
-            SessionCounter(ttl_ms),
-            outputStructType="room long, user_id long, ts timestamp, open_sessions long",
-            outputMode="Update",
-            timeMode="ProcessingTime",
-        )
+        moves.groupBy(F.window("ts", "1 day"), "room", "user_id", "session")
+        .agg(last)
+        .select("room", "user_id", "session", "last")
     )
 
 
+def present_users(updates: DataFrame) -> DataFrame:
+    """Distinct users with an open session per room; repeated updates do no harm."""
+    keys = ["room", "user_id", "session"]
+    now = updates.groupBy(*keys).agg(F.max("last").alias("last"))
+    opened = now.where(F.col("last.type") == JOIN).select("room", "user_id").distinct()
+    return opened.groupBy("room").agg(F.count(F.lit(1)).alias("present_users"))
+
+
 # -- editing ---------------------------------------------------------------------------------
 
 
@@ -182,75 +162,46 @@ def alert_stream(comments: DataFrame, users: DataFrame, docs: DataFrame) -> Data
 # -- job log ---------------------------------------------------------------------------------
 
 
-def job_runs(log: DataFrame) -> DataFrame:
-    """One row per job: start, finish, state and elapsed milliseconds; unfinished jobs stay STARTED."""
-    begun = F.when(F.col("status") == STARTED, F.col("ts"))
-    ended = F.when(F.col("status") != STARTED, F.col("ts"))
-    runs = log.groupBy("id").agg(
-        F.min(begun).alias("started_at"),
-        F.max(ended).alias("finished_at"),
-        F.max_by("status", F.struct(ended, "status")).alias("_final"),
-    )
-    done = F.col("finished_at").isNotNull()
+def _finished(runs: DataFrame) -> DataFrame:
+    finished = F.col("_end.ts")
     return runs.where(F.col("started_at").isNotNull()).select(
         "id",
-        F.when(done, F.col("_final")).otherwise(STARTED).alias("status"),
+        F.coalesce(F.col("_end.status"), F.lit(STARTED)).alias("status"),
         "started_at",
-        "finished_at",
-        F.expr("timestampdiff(MICROSECOND, started_at, finished_at) div 1000").alias("elapsed_ms"),
+        finished.alias("finished_at"),
+        F.expr("timestampdiff(MICROSECOND, started_at, _end.ts) div 1000").alias("elapsed_ms"),
     )
 
 
-class JobRun(StatefulProcessor):
-    """Pairs start and finish of one job; emits the job's row whenever it changes."""
-
-    def __init__(self, ttl_ms: int = 7 * DAY_MS):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState(
-            "run", "started timestamp, finished timestamp, status string", self.ttl_ms
-        )
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        started, finished, status = self.run.get() if self.run.exists() else (None, None, STARTED)
-        for batch in rows:
-            for ts, state in zip(batch["ts"], batch["status"]):
-                if state == STARTED:
-                    started = ts if started is None else min(pd.Timestamp(started), ts)
-                elif finished is None or ts >= pd.Timestamp(finished):
-                    finished, status = ts, state
-        self.run.update((started, finished, status))
-        yield pd.DataFrame(
-            {
-                "id": [key[0]],
-                "status": [status],
-                "started_at": pd.Series([started], dtype="datetime64[us]"),
-                "finished_at": pd.Series([finished], dtype="datetime64[us]"),
-            }
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def job_stream(log: DataFrame, ttl_ms: int = 7 * DAY_MS) -> DataFrame:
+def job_runs(log: DataFrame) -> DataFrame:
+    """One row per job: start, finish, state and elapsed milliseconds; unfinished jobs stay STARTED."""
+    begun = F.when(F.col("status") == STARTED, F.col("ts"))
+    ended = F.when(F.col("status") != STARTED, F.struct("ts", "status"))
+    return _finished(log.groupBy("id").agg(F.min(begun).alias("started_at"), F.max(ended).alias("_end")))
+
+
+def job_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Starts and finishes per job and day, as a stream of updates; :func:`merge_runs` joins them.
+
+    Day windows bound the state, so a job may run for longer than any window.
+    """
+    begun = F.when(F.col("status") == STARTED, F.col("ts"))
+    ended = F.when(F.col("status") != STARTED, F.struct("ts", "status"))
     return (
-        log.select("id", "ts", "status")
-        .groupBy("id")
-        .transformWithStateInPandas(
-            JobRun(ttl_ms),
-            outputStructType="id long, status string, started_at timestamp, finished_at timestamp",
-            outputMode="Update",
-            timeMode="ProcessingTime",
-        )
+        log.withWatermark("ts", delay)
+        .groupBy(F.window("ts", "1 day"), "id")
+        .agg(F.min(begun).alias("begun"), F.max(ended).alias("ended"))
+        .select("id", "begun", "ended")
     )
 
 
-# -- running a stream to its end -------------------------------------------------------------
+def merge_runs(updates: DataFrame) -> DataFrame:
+    """Job rows from stream updates; repeated updates do no harm."""
+    runs = updates.groupBy("id").agg(F.min("begun").alias("started_at"), F.max("ended").alias("_end"))
+    return _finished(runs)
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# -- running a stream to its end -------------------------------------------------------------
 
 def drain(stream: DataFrame, output_mode: str = "append") -> DataFrame:
     """Process what is there now and return all emitted rows with their batch number.
@@ -259,7 +210,6 @@ def drain(stream: DataFrame, output_mode: str = "append") -> DataFrame:
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/rows/batch_no={number}")
