@@ -175,3 +175,21 @@ def elapsed_label(ms: Column) -> Column:
     tenths = F.floor((ms + 50) / 100)
     seconds = F.format_string("%.1fs", tenths / F.lit(10.0))
     return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(seconds)
+
+
+# Letters that serve as labels.
+LABEL = "^([A-LR]):\\s*"
+
+
+def mark_label(col: Column) -> Column:
+    """Mark a leading letter label such as 'B: text' as not to be translated."""
+    text = collapse(col)
+    marked = F.concat(
+        F.lit('<term translate="no">'),
+        F.regexp_extract(text, LABEL, 1),
+        F.lit("</term>:"),
+    )
+    rest = F.regexp_replace(text, LABEL, "")
+    return F.when(
+        text.rlike(LABEL), F.when(rest != "", F.concat(marked, F.lit(" "), rest)).otherwise(marked)
+    ).otherwise(text)
