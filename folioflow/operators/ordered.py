@@ -1,18 +1,20 @@
 """Ordered work inside groups that may be far too large for one task.
 
 A plain ``row_number() over (partition by doc order by ...)`` sends a whole group to one task. When
-one document holds a third of all rows that task never ends. Everything here therefore works in two
-steps. Rows are windowed inside *blocks* of a group (a block is a coarse, order-preserving value such
-as the hour of a timestamp or ``row_no div 2^20``), one summary row per block is scanned inside the
-group, and the prefix of the earlier blocks is joined back. Block summaries come from a grouped
-aggregate, so they combine on the map side; the block is computed from the row's own values, so a
-retried task gives the same answer.
+one document holds a third of all rows that task never ends. So the group sizes are measured first: a
+count per key, which reads the key columns only and combines on the map side. If no group exceeds
+``HOT_ROWS``, a plain window does the work. Otherwise it is done in two steps. Rows are windowed inside
+*blocks* of a group (a block is a coarse, order-preserving value such as the minute of a timestamp or
+``row_no div 2^20``), one summary row per block is scanned inside the group, and the prefix of the
+earlier blocks is joined back. The block is computed from the row's own values, so a retried task
+gives the same answer.
 
 Group keys and order columns must not be null.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 20
+#: largest group that one task may window on its own; tests set 0 to walk in blocks always
+HOT_ROWS = int(os.environ.get("FOLIOFLOW_HOT_ROWS", 1 << 20))
 
 
 def number_blocks(col: str, width: int = BLOCK_ROWS) -> list[Column]:
@@ -57,6 +61,10 @@ def _local(run: Running, window) -> Column:
     return F.last(run.value, ignorenulls=True).over(window)
 
 
+def _frame(window, run: Running):
+    return window.rowsBetween(Window.unboundedPreceding, -1 if run.exclusive else 0)
+
+
 def _block_total(run: Running, order: Sequence[str], reverse: bool) -> Column:
     if run.kind == "count":
         return F.count(F.lit(1))
@@ -115,6 +123,14 @@ def _carry(
     )
 
 
+def has_hot_group(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
+    """Does any group hold more rows than ``limit``? The driver sees one row at most."""
+    if HOT_ROWS <= 0:
+        return True
+    most = HOT_ROWS if limit is None else min(limit, HOT_ROWS)
+    return not df.groupBy(*keys).count().where(F.col("count") > most).limit(1).isEmpty()
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -129,15 +145,17 @@ def running(
     ``reverse`` walks the group from its end.
     """
     keys, order = list(keys), list(order)
+    rest = [c for c in df.columns if c not in outs]
+    if not has_hot_group(df, keys):
+        whole = Window.partitionBy(*keys).orderBy(*_sorted(order, reverse))
+        return df.select(*rest, *[_local(run, _frame(whole, run)).alias(n) for n, run in outs.items()])
     levels = [f"_block{i}" for i in range(len(blocks))]
     placed = df.select("*", *[b.alias(n) for b, n in zip(blocks, levels)])
     base = Window.partitionBy(*keys, *levels).orderBy(*_sorted(order, reverse))
     local = placed.select(
         "*",
         *[
-            _local(run, base.rowsBetween(Window.unboundedPreceding, -1 if run.exclusive else 0)).alias(
-                f"_here_{name}"
-            )
+            _local(run, _frame(base, run)).alias(f"_here_{name}")
             for name, run in outs.items()
         ],
     )
@@ -150,7 +168,7 @@ def running(
     # the join keys are the window's own partitioning, so the row side is not shuffled again
     joined = local.join(carried, keys + levels)
     return joined.select(
-        *[c for c in df.columns if c not in outs],
+        *rest,
         *[
             _merge(run, F.col(f"_before_{name}"), F.col(f"_here_{name}")).alias(name)
             for name, run in outs.items()
@@ -219,5 +237,32 @@ def gathered(
     )
 
 
+def collected(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    blocks: Sequence[Column],
+    values: dict[str, Column],
+    per_part: int = 1000,
+) -> DataFrame:
+    """Ordered arrays per group in parts of at most ``per_part`` elements.
+
+    When every group fits one part, arrays are collected and sorted in place; only longer groups need
+    their rows numbered first.
+    """
+    if has_hot_group(df, keys, per_part):
+        placed = numbered(df, keys, order, blocks, out="_position")
+        return gathered(placed, keys, "_position", values, per_part)
+    item = F.struct(*order, *[v.alias(f"_value_{n}") for n, v in values.items()])
+    packed = df.select(*keys, item.alias("_item")).groupBy(*keys).agg(
+        F.array_sort(F.collect_list("_item")).alias("_items")
+    )
+    return packed.select(
+        *keys,
+        F.lit(0).cast("long").alias("part_no"),
+        *[F.col(f"_items._value_{n}").alias(n) for n in values],
+    )
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

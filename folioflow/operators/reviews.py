@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ordered import dated_blocks, first_per, gathered, numbered
+from .ordered import collected, dated_blocks, first_per, numbered
 
 # Labels of the review sheet.
 STATUS_RESOLVED = "해결"
@@ -153,19 +153,13 @@ def attachment_summary(
 
     Owners with more than ``per_part`` files get several parts.
     """
-    placed = numbered(
+    # an image contributes null, which array_join leaves out
+    other = F.when(~is_image(F.col("content_type")), F.col("original_name"))
+    packed = collected(
         attachments,
         keys,
         ["create_dt", "attachment_id"],
         blocks or dated_blocks("create_dt", "attachment_id"),
-        out="attachment_no",
-    )
-    # an image contributes null, which array_join leaves out
-    other = F.when(~is_image(F.col("content_type")), F.col("original_name"))
-    packed = gathered(
-        placed,
-        keys,
-        "attachment_no",
         {"names": other, "image": is_image(F.col("content_type")).cast("int")},
         per_part,
     )
@@ -198,16 +192,11 @@ def assemble_threads(
     ).withColumnRenamed("part_no", "file_part")
     # a reply with very many files appears once per file part
     full = replies.join(reply_files, ["comment_id", "reply_id"], "left").fillna(0, ["file_part"])
-    reply_parts = gathered(
-        numbered(
-            full,
-            ["comment_id"],
-            ["create_dt", "reply_id", "file_part"],
-            reply_blocks or dated_blocks("create_dt", "reply_id"),
-            out="reply_no",
-        ),
+    reply_parts = collected(
+        full,
         ["comment_id"],
-        "reply_no",
+        ["create_dt", "reply_id", "file_part"],
+        reply_blocks or dated_blocks("create_dt", "reply_id"),
         {
             "replies": F.struct(
                 "reply_id",
@@ -221,16 +210,11 @@ def assemble_threads(
         },
         per_part,
     )
-    file_parts = gathered(
-        numbered(
-            comment_attachments(attachments),
-            ["comment_id"],
-            ["create_dt", "attachment_id"],
-            attachment_blocks or dated_blocks("create_dt", "attachment_id"),
-            out="attachment_no",
-        ),
+    file_parts = collected(
+        comment_attachments(attachments),
         ["comment_id"],
-        "attachment_no",
+        ["create_dt", "attachment_id"],
+        attachment_blocks or dated_blocks("create_dt", "attachment_id"),
         {"attachments": F.struct("attachment_id", "original_name", "content_type")},
         per_part,
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import settle
-from .ordered import carried, first_per, gathered, number_blocks, numbered
+from .ordered import carried, collected, number_blocks, numbered
 
 # Row states, in the order in which they are decided, and the highlight mark.
 DELETED = "deleted"
@@ -48,10 +48,9 @@ def collapse_rows(rows: DataFrame, scope: str, per_part: int = 1000) -> tuple[Da
         .where(F.col("value") != "")
     )
     keys = [scope, "item", "col_no"]
-    placed = numbered(long, keys, ["row_no"], number_blocks("row_no"), out="_n")
-    joined = gathered(placed, keys, "_n", {"values": F.col("value")}, per_part).select(
-        *keys, "part_no", F.array_join("values", " ").alias("value")
-    )
+    joined = collected(
+        long, keys, ["row_no"], number_blocks("row_no"), {"values": F.col("value")}, per_part
+    ).select(*keys, "part_no", F.array_join("values", " ").alias("value"))
     # columns beyond the first row's width are not part of the table
     kept = joined.join(items.select(scope, "item", "column_count"), [scope, "item"]).where(
         F.col("col_no") <= F.col("column_count")
@@ -62,8 +61,9 @@ def collapse_rows(rows: DataFrame, scope: str, per_part: int = 1000) -> tuple[Da
 def with_lookups(items: DataFrame, authors: DataFrame, important: DataFrame) -> DataFrame:
     """Add editor names (several are joined by spaces) and the important mark per item."""
     wanted = authors.select(T.collapse(F.col("item_no")).alias("_key"), "name", "pos")
-    placed = numbered(wanted, ["_key"], ["pos"], number_blocks("pos"), out="_n")
-    editors = gathered(placed, ["_key"], "_n", {"names": F.col("name")}).select(
+    editors = collected(
+        wanted, ["_key"], ["pos"], number_blocks("pos"), {"names": F.col("name")}
+    ).select(
         "_key", F.col("part_no").alias("editor_part"), F.array_join("names", " ").alias("editor")
     )
     marked = important.select(T.collapse(F.col("item")).alias("_key"), F.lit("V").alias("important"))

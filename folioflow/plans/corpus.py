@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import text as T
 from ..operators import corpus as C
-from ..session import read_table
+from ..session import read_table, read_texts, settle
 from .catalog import query
 from .roles import sql
 
@@ -25,7 +25,7 @@ TITLE = "case lang when 'en' then 'en_US' when 'fr' then 'fr-CA' else lang end"
 
 
 def sents(spark, d):
-    docs = read_table(spark, d, "documents").selectExpr(
+    docs = read_texts(spark, d, "documents", "doc_id", "lang", "source", "text").selectExpr(
         "doc_id", "lang", f"concat(source, '-', {TITLE}) as map_title", "text"
     )
     return C.sentences(docs, "doc_id", "text").select(
@@ -60,7 +60,7 @@ def sentence_hashes(spark, d):
 
 def replaced(spark, d):
     """Normalise, hash, flag exclusions, then replace, in this order."""
-    clean = C.hashed(sents(spark, d))
+    clean = settle(C.hashed(sents(spark, d)))
     keyed = clean.withColumn("region", N.region(F.col("map_title")))
     pairs = (
         keyed.groupBy("region", "hash")
@@ -125,7 +125,7 @@ def excluded_sentences(spark, d):
 
 def wide_sheet(spark, d):
     """Every document text as a source sentence with three languages."""
-    return read_table(spark, d, "documents").selectExpr(
+    return read_texts(spark, d, "documents", "doc_id", "text", "lang", "source", "n_chars").selectExpr(
         "doc_id as row_no", "text as En", "concat('FR ', lang, ' ', n_chars) as fr", "concat(' DE  ', source) as de"
     )
 
@@ -171,7 +171,7 @@ where not exists (select 1 from have h where h.hash = f.hash and h.lang = f.lang
     )
 )
 def dictionary_merge(spark, d):
-    terms = C.build_dictionary(wide_sheet(spark, d), "row_no", ["En", "fr", "de"])
+    terms = settle(C.build_dictionary(wide_sheet(spark, d), "row_no", ["En", "fr", "de"]))
     english = read_table(spark, d, "documents").where("lang = 'en'").selectExpr("doc_id as entry_no")
     current = terms.where("lang <> 'DE'").join(english, "entry_no", "left_semi")
     update = terms.withColumns(
@@ -232,7 +232,7 @@ from documents
 """
 )
 def term_tags(spark, d):
-    docs = read_table(spark, d, "documents")
+    docs = read_texts(spark, d, "documents", "doc_id", "text")
     return docs.select("doc_id", C.tag_terms(F.col("text"), TERMS).alias("text"))
 
 

@@ -9,14 +9,14 @@ from ..functions import text as T
 from ..operators import hierarchy as H
 from ..operators import layout as L
 from ..operators import markup as M
-from ..session import read_table, settle
+from ..session import read_table, read_texts, settle
 from ..sources import markup as S
 from .catalog import query
 
 
 def page_nodes(spark, d):
     """Nodes of all pages, parsed once and kept."""
-    return settle(S.node_table(read_table(spark, d, "pages"), "page_id", "html", "html"))
+    return settle(S.node_table(read_texts(spark, d, "pages", "page_id", "html"), "page_id", "html", "html"))
 
 
 @query(
@@ -27,7 +27,7 @@ group by 1, 2
 """
 )
 def element_counts(spark, d):
-    nodes = S.node_table(read_table(spark, d, "pages"), "page_id", "html", "html")
+    nodes = S.node_table(read_texts(spark, d, "pages", "page_id", "html"), "page_id", "html", "html")
     return nodes.where("tag <> '#text'").groupBy("page_id", "tag").agg(
         F.count(F.lit(1)).alias("element_count")
     )
@@ -40,7 +40,7 @@ from (select page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"',
 """
 )
 def page_links(spark, d):
-    nodes = S.node_table(read_table(spark, d, "pages"), "page_id", "html", "html")
+    nodes = S.node_table(read_texts(spark, d, "pages", "page_id", "html"), "page_id", "html", "html")
     links = nodes.where("tag = 'a'").select("page_id", F.col("attrs")["href"].alias("href"))
     return links.where("href is not null").groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("uses"))
 

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import registry as R
 from ..operators import upkeep as U
 from ..operators.ordered import number_blocks, numbered
-from ..session import read_table
+from ..session import read_table, read_texts
 from ..sources import sheets
 from .catalog import query
 from .roles import sql
@@ -222,7 +222,7 @@ def chapter_sort_keys(spark, d):
 
 
 def text_lines(spark, d):
-    words = read_table(spark, d, "documents").select(
+    words = read_texts(spark, d, "documents", "doc_id", "text").select(
         "doc_id", F.posexplode(F.split("text", "\\s+")).alias("pos", "word")
     )
     return words.selectExpr(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import dated_blocks
-from ..session import read_table
+from ..session import read_table, spread
 
 #: reply and attachment ids pack part, supplier and line number
 REPLY_ID = "l_partkey * 10000000 + l_suppkey * 10 + l_linenumber"
@@ -49,7 +49,7 @@ COMMENTS = """comments as (
 
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "lineitem").selectExpr(
+    return spread(read_table(spark, folder, "lineitem")).selectExpr(
         "l_orderkey as comment_id",
         f"{REPLY_ID} as reply_id",
         "concat('S', cast(l_suppkey as string)) as user_id",
@@ -93,7 +93,7 @@ USERS = """users as (
 
 
 def attachments(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "lineitem").selectExpr(
+    return spread(read_table(spark, folder, "lineitem")).selectExpr(
         "l_orderkey as comment_id",
         f"{REPLY_ID} as attachment_id",
         f"case when l_linestatus = 'F' then {REPLY_ID} end as reply_id",

@@ -54,6 +54,27 @@ def read_table(spark: SparkSession, location: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{location.rstrip('/')}/{name}.parquet")
 
 
+#: inputs up to this size may come in fewer pieces than there are cores
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before heavy work per row.
+
+    A small file is often a single row group, which one task would read and process alone. Larger
+    inputs are split by the scan and stay as they are.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def read_texts(spark: SparkSession, location: str, name: str, *columns: str) -> DataFrame:
+    """A table with whole texts, ready for work on every text; only the named columns travel."""
+    return spread(read_table(spark, location, name).select(*columns))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors share, as the cluster names it.
 

@@ -5,7 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators.ordered import Running, first_per, gathered, number_blocks, numbered, running
+from folioflow.operators import ordered
+from folioflow.operators.ordered import Running, collected, first_per, gathered, number_blocks, numbered, running
+
+
+@pytest.fixture(autouse=True, params=["blocks", "plain"])
+def way(request, monkeypatch):
+    monkeypatch.setattr(ordered, "HOT_ROWS", 0 if request.param == "blocks" else 10**9)
+    return request.param
 
 
 def rows(seed, n=400):
@@ -59,13 +66,14 @@ def test_two_block_levels(spark):
     assert {(r.k, r.o): r.row_no + 1 for r in got} == {k: v[0] for k, v in want.items()}
 
 
-def test_hot_key_is_spread_over_blocks(spark):
+def test_only_hot_groups_walk_in_blocks(spark, monkeypatch):
     df = spark.range(10_000).select(F.lit("hot").alias("k"), F.col("id").alias("o"))
-    plan = numbered(df, ["k"], ["o"], number_blocks("o", 100))._jdf.queryExecution().optimizedPlan().toString()
-    # no window is partitioned by the key alone over the rows; the only one is over block totals
-    assert "_block0" in plan
-    got = numbered(df, ["k"], ["o"], number_blocks("o", 100))
-    assert got.where("row_no <> o + 1").count() == 0
+    for limit, blocked in ((9_999, True), (10_000, False)):
+        monkeypatch.setattr(ordered, "HOT_ROWS", limit)
+        got = numbered(df, ["k"], ["o"], number_blocks("o", 100))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("_block0" in plan) is blocked
+        assert got.where("row_no <> o + 1").count() == 0
 
 
 def test_gathered_keeps_everything_in_parts(spark):
@@ -79,3 +87,11 @@ def test_first_per(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, None)], "k string, o int, v string")
     assert {(r.k, r.v) for r in first_per(df, ["k"], ["o"]).collect()} == {("a", "y"), ("b", None)}
     assert {(r.k, r.v) for r in first_per(df, ["k"], ["o"], last=True).collect()} == {("a", "x"), ("b", None)}
+
+
+def test_collected_agrees_with_gathered(spark, way):
+    df = spark.createDataFrame([(k, o, v) for k, o, v in rows(9)], "k string, o long, v long")
+    got = collected(df, ["k"], ["o"], number_blocks("o", 100), {"vs": F.col("v")}, per_part=10**6).collect()
+    for r in got:
+        assert r.part_no == 0
+        assert r.vs == [v for _, _, v in sorted((x for x in rows(9) if x[0] == r.k), key=lambda x: x[1])]
