@@ -8,11 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ordered import Running, number_blocks, running
+from .ordered import Running, number_blocks, numbered, running
 
 # Elements that stand for a contents entry, and their metadata container.
 ENTRY_TAGS = ("topicref", "chapter", "appendix", "topichead", "mapref")
 META_TAG = "topicmeta"
+INDEX_TAG = "indexterm"
+NO_SPACE_BEFORE = "^[:.,?)]"
+NO_SPACE_AFTER = "[(]$"
+LETTER_LIST = "^([A-Z]\\s*,\\s*)*[A-Z]$"
+BOLD_LETTER = "^[A-LR]$"
+CELL_LETTERS = ("I", "R", "A", "B", "C", "D", "E", "F", "G", "H", "K", "L", "S", "T", "U", "V", "W", "Y", "ZR")
 
 
 def prune(nodes: DataFrame, rule: Column, doc: str = "doc_id") -> DataFrame:
@@ -109,6 +115,68 @@ def multi_group_tables(nodes: DataFrame, table: str, group: str, doc: str = "doc
     return counts.where(F.col("group_count") >= 2)
 
 
+def merge_groups(rows: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Rows of all column groups of a table as one body, with the first group's header.
+
+    ``rows`` has (doc, table_id, group_pos, row_pos, header); the merged place is ``row_no``.
+    """
+    keys = [doc, "table_id"]
+    first = rows.groupBy(*keys).agg(F.min_by("header", "group_pos").alias("_header"))
+    placed = numbered(rows, keys, ["group_pos", "row_pos"], [F.col("group_pos"), *number_blocks("row_pos")])
+    return placed.drop("header").join(first.withColumnRenamed("_header", "header"), keys)
+
+
+def space_inline(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Repair spacing around inline elements.
+
+    Bold elements get a space before them unless they come first. Text gets one before it unless it
+    starts with closing punctuation, and one after it unless it ends with an opening bracket; index
+    terms next to it do not count. Adds ``space_before`` and ``space_after``.
+    """
+    inner = nodes.where(F.col("parent_id").isNotNull())
+    keys, blocks = [doc, "parent_id"], number_blocks("pos")
+    tag = F.col("tag")
+    left = running(inner, keys, ["pos"], blocks, {"_prev": Running("last", tag, exclusive=True)})
+    both = running(
+        left, keys, ["pos"], blocks, {"_next": Running("last", tag, exclusive=True)}, reverse=True
+    )
+    text = F.col("tag") == "#text"
+    before = (F.col("tag") == "b") & F.col("_prev").isNotNull()
+    before = before | (
+        text & ~F.col("text").rlike(NO_SPACE_BEFORE) & F.coalesce(F.col("_prev") != INDEX_TAG, F.lit(False))
+    )
+    after = text & ~F.col("text").rlike(NO_SPACE_AFTER) & F.coalesce(F.col("_next") != INDEX_TAG, F.lit(False))
+    return both.withColumns(
+        {"space_before": F.coalesce(before, F.lit(False)), "space_after": F.coalesce(after, F.lit(False))}
+    ).drop("_prev", "_next")
+
+
+def refine_labels(nodes: DataFrame, terms: Sequence[str], doc: str = "doc_id") -> DataFrame:
+    """Decide how short labels are marked, by their own text and place; first rule wins.
+
+    Works on elements with direct text and adds ``rule``: letters (a list of letters in a table
+    cell), letter (one in a cell), label ('A: text' paragraph), unwrap (bold or control that only
+    holds a term or letter) and plain (old term or italic marks).
+    """
+    kinds = ("b", "uicontrol", "term", "i", "p")
+    texts = text_of(nodes, kinds, doc)
+    texts = texts.withColumnRenamed("text", "label")
+    elements = nodes.where(F.col("tag").isin(*kinds)).select(doc, "node_id", "tag", "tag_path")
+    placed = elements.join(texts, [doc, "node_id"])
+    tag, label = F.col("tag"), F.col("label")
+    cell = F.array_contains("tag_path", "tbody") & (F.element_at("tag_path", -1) == "entry")
+    known = label.isin(*terms)
+    rule = (
+        F.when((tag == "b") & label.rlike(LETTER_LIST) & F.array_contains("tag_path", "entry"), "letters")
+        .when((tag == "p") & cell & label.isin(*CELL_LETTERS), "letter")
+        .when((tag == "p") & label.rlike(T.LABEL), "label")
+        .when((tag == "b") & (known | label.rlike(BOLD_LETTER)), "unwrap")
+        .when((tag == "uicontrol") & known & ~F.array_contains("tag_path", "menucascade"), "unwrap")
+        .when(tag.isin("term", "i"), "plain")
+    )
+    return placed.withColumn("rule", rule)
+
+
 def flatten_tree(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Contents entries of a map in pre-order: level = entries around it + 1.
 

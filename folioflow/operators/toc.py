@@ -416,32 +416,35 @@ def common_order(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
 def lcs_diff(master: DataFrame, manual: DataFrame) -> DataFrame:
     """Rows of two contents lists matched in order: (map_id, master_no, manual_no).
 
-    The work is spread over maps; one map is one contents list, compared in one group.
+    The work is spread over maps; one map is one contents list, compared as a whole.
     """
-
-    def side(df: DataFrame) -> DataFrame:
-        key = row_key(F.col("file_name"), F.col("title"))
-        return df.select("map_id", "row_no", key).toDF("map_id", "row_no", "key")
-
-    def match(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        one, two = one.sort_values("row_no"), two.sort_values("row_no")
-        if one.empty or two.empty:
-            return pd.DataFrame({"map_id": [], "master_no": [], "manual_no": []})
-        codes, _ = pd.factorize(pd.concat([one["key"], two["key"]]))
-        pairs = common_order(codes[: len(one)], codes[len(one) :])
-        at, to = [p[0] for p in pairs], [p[1] for p in pairs]
-        return pd.DataFrame(
-            {
-                "map_id": one["map_id"].iloc[0],
-                "master_no": one["row_no"].to_numpy()[at],
-                "manual_no": two["row_no"].to_numpy()[to],
-            }
+    pieces = int(master.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        key = row_key(F.col("file_name"), F.col("title")).alias("key")
+        # a fixed number keeps the maps spread; small shuffles would be merged into one task
+        spread = df.select("map_id", "row_no", key).repartition(pieces, "map_id")
+        rows = F.array_sort(F.collect_list(F.struct("row_no", "key")))
+        return spread.groupBy("map_id").agg(rows.alias("_r")).select(
+            "map_id", F.col("_r.row_no").alias(f"{name}_nos"), F.col("_r.key").alias(f"{name}_keys")
         )
 
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                codes, _ = pd.factorize(np.concatenate([row.master_keys, row.manual_keys]))
+                cut = len(row.master_keys)
+                pairs = common_order(codes[:cut], codes[cut:])
+                if pairs:
+                    at, to = (list(x) for x in zip(*pairs))
+                    yield pd.DataFrame(
+                        {
+                            "map_id": row.map_id,
+                            "master_no": np.asarray(row.master_nos)[at],
+                            "manual_no": np.asarray(row.manual_nos)[to],
+                        }
+                    )
+
     map_type = dict(master.dtypes)["map_id"]
-    return (
-        side(master)
-        .groupBy("map_id")
-        .cogroup(side(manual).groupBy("map_id"))
-        .applyInPandas(match, f"map_id {map_type}, master_no long, manual_no long")
-    )
+    both = side(master, "master").join(side(manual, "manual"), "map_id")
+    return both.mapInPandas(match, f"map_id {map_type}, master_no long, manual_no long")

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import hierarchy as H
 from ..operators import layout as L
 from ..operators import markup as M
+from ..operators import toc as O
 from ..session import read_table, read_texts, settle
 from ..sources import markup as S
 from .catalog import query
@@ -213,3 +214,80 @@ def label_rules(spark, d):
     """A paragraph that starts with a letter label gets the letter marked."""
     text = F.expr("concat(case when lang = 'en' then 'B:   ' else '' end, text)")
     return read_table(spark, d, "documents").select("doc_id", T.mark_label(text).alias("text"))
+
+
+@query(
+    """
+select l_orderkey as table_id, o_custkey as doc_id, l_linenumber as group_pos, l_partkey * 10000 + l_suppkey as row_pos,
+       row_number() over (partition by o_custkey, l_orderkey order by l_linenumber, l_partkey * 10000 + l_suppkey) as row_no,
+       first_value(l_returnflag) over (partition by o_custkey, l_orderkey order by l_linenumber, l_returnflag) as header
+from lineitem join orders on o_orderkey = l_orderkey
+"""
+)
+def merged_groups(spark, d):
+    lines = read_table(spark, d, "lineitem").join(
+        read_table(spark, d, "orders").select("o_orderkey", "o_custkey"),
+        F.col("o_orderkey") == F.col("l_orderkey"),
+    )
+    # a group has one header: the least of its lines' flags
+    header = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("header"))
+    rows = lines.join(header, ["l_orderkey", "l_linenumber"]).selectExpr(
+        "o_custkey as doc_id", "l_orderkey as table_id", "l_linenumber as group_pos",
+        "l_partkey * 10000 + l_suppkey as row_pos", "header",
+    )
+    return M.merge_groups(rows).select("doc_id", "table_id", "group_pos", "row_pos", "row_no", "header")
+
+
+@query()
+def inline_spacing(spark, d):
+    """Text and bold nodes of all pages with the spaces they need; tested on a small fixture."""
+    spaced = M.space_inline(page_nodes(spark, d), "page_id")
+    return spaced.where("space_before or space_after").select(
+        "page_id", "node_id", "tag", "space_before", "space_after"
+    )
+
+
+@query()
+def refined_labels(spark, d):
+    """Marking rules for bold, control and paragraph labels of all pages; tested on a small fixture."""
+    return M.refine_labels(page_nodes(spark, d), ["The", "and"], "page_id").select(
+        "page_id", "node_id", "tag", "label", "rule"
+    )
+
+
+@query(
+    """
+with nodes as (select o_custkey as doc_id, o_orderkey as node_id,
+                      case o_orderstatus when 'F' then 'concept' when 'O' then 'p' else 'task' end as tag,
+                      case when o_orderpriority < '3' then o_orderpriority end as id from orders),
+counted as (select *, count(*) filter (where tag <> 'p') over w as topics, count(id) over w as ids from nodes
+            window w as (partition by doc_id order by node_id rows between unbounded preceding and 1 preceding))
+select doc_id, node_id, case when tag <> 'p' then 't' || lpad(topics::varchar, 5, '0')
+       when id is not null then 'e' || lpad(ids::varchar, 5, '0') end as nid
+from counted
+"""
+)
+def assigned_ids(spark, d):
+    nodes = read_table(spark, d, "orders").selectExpr(
+        "o_custkey as doc_id", "o_orderkey as node_id",
+        "case o_orderstatus when 'F' then 'concept' when 'O' then 'p' else 'task' end as tag",
+        "case when o_orderpriority < '3' then o_orderpriority end as id",
+    )
+    return O.assign_ids(nodes).select("doc_id", "node_id", "nid")
+
+
+@query(
+    """
+select p_partkey, case when p_size < 10 then p_size when p_size < 20 then 1 when p_size < 30 then p_size
+       else 2147483647 end as chapter
+from part
+"""
+)
+def chapter_numbers(spark, d):
+    declared = F.expr("case when p_size < 10 then concat(' ', p_size) when p_size < 20 then 'x' end")
+    file = F.expr(
+        "case when p_size < 20 then 'foreword.XML' when p_size < 30 then concat(p_size, '_a.xml') else 'a.xml' end"
+    )
+    return read_table(spark, d, "part").select(
+        "p_partkey", N.chapter_number(declared, file).alias("chapter")
+    )

@@ -257,14 +257,17 @@ CHAPTERS = """numbered as (
 select n.map_id, n.ordinal, lpad((ordinal - 1)::varchar, 2, '0') as chapter,
        case when ordinal = 1 then file_name else lpad((ordinal - 1)::varchar, 2, '0') || '_' || file_name end as chapter_file,
        n_name as list_name
-from numbered n left join nation on n_nationkey = ordinal
+from numbered n
+left join (select distinct c_mktsegment, n_nationkey, n_name from customer join nation on n_nationkey = c_nationkey) l
+  on l.n_nationkey = n.ordinal and l.c_mktsegment = n.map_id
 """,
     )
 )
 def numbered_chapters(spark, d):
     chapters = atlas(spark, d).where("level = 1")
-    listed = read_table(spark, d, "nation").join(chapters.select("map_id").distinct(), F.lit(True)).selectExpr(
-        "map_id", "cast(n_nationkey as bigint) as ordinal", "n_name as list_name"
+    present = read_table(spark, d, "customer").select("c_mktsegment", "c_nationkey").distinct()
+    listed = present.join(read_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
+        "c_mktsegment as map_id", "cast(n_nationkey as bigint) as ordinal", "n_name as list_name"
     )
     placed = O.number_chapters(chapters, listed)
     return placed.select("map_id", "ordinal", "chapter", "chapter_file", "list_name")

@@ -75,20 +75,24 @@ def read_texts(spark: SparkSession, location: str, name: str, *columns: str) ->
     return spread(read_table(spark, location, name).select(*columns))
 
 
+_own_folder: str | None = None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors share, as the cluster names it.
 
     Only a local session may fall back to a folder of its own.
     """
+    global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="folioflow-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="folioflow-")
+        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
+    return _own_folder
 
 
 def settle(df: DataFrame) -> DataFrame:

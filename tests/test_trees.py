@@ -106,6 +106,21 @@ def test_markup_nodes(spark):
     assert [r.nid for r in ids.orderBy("node_id").collect()] == [None, "t00000", "e00001", "t00001", "e00002"]
 
 
+def test_inline_spacing_and_labels(spark):
+    body = ("<c><p>Press<b>A</b>now</p><p>x(<b>UP</b>)</p><p>t<indexterm>k</indexterm>u</p><p>A: door</p>"
+            "<tbody><entry><p>ZR</p></entry><entry><p><b>A, B</b></p></entry></tbody><menucascade><uicontrol>UP</uicontrol></menucascade>"
+            "<uicontrol>UP</uicontrol><i>old</i></c>")
+    nodes = markup.node_table(spark.createDataFrame([("d", body)], "doc_id string, body string"), "doc_id", "body").cache()
+    spaced = M.space_inline(nodes)
+    got = {r.text or r.tag: (r.space_before, r.space_after) for r in spaced.orderBy("node_id").collect() if r.parent_id and r.parent_id < 8}
+    assert got["Press"] == (False, True) and got["now"] == (True, False) and got["b"] == (True, False)
+    assert got["x("] == (False, False) and got[")"] == (False, False)
+    rules = [(r.label, r.tag, r.rule) for r in M.refine_labels(nodes, ["UP"]).orderBy("node_id").collect()]
+    assert ("A: door", "p", "label") in rules and ("ZR", "p", "letter") in rules and ("A, B", "b", "letters") in rules
+    assert ("A", "b", "unwrap") in rules and ("UP", "b", "unwrap") in rules and ("old", "i", "plain") in rules
+    assert [r for r in rules if r[1] == "uicontrol"] == [("UP", "uicontrol", None), ("UP", "uicontrol", "unwrap")]
+
+
 def test_folder_paths(spark):
     rows = [("a", "root", "A"), ("loose", None, "L"), ("x", "y", "X"), ("y", "x", "Y")]
     rows += [(f"n{i}", f"n{i - 1}" if i else "a", f"N{i}") for i in range(20)]
