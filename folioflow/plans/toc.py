@@ -106,13 +106,16 @@ def legal_targets(spark, d):
 
 def topic_rows(spark, d):
     """All orders as topics of a manual, in key order; every segment's map gets its own."""
+    orders = read_table(spark, d, "orders")
+    # a customer's first order stands above the others
+    first = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("first"))
     return (
-        read_table(spark, d, "orders")
-        .join(read_table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+        orders.join(read_table(spark, d, "customer").join(first, "c_custkey"), F.col("c_custkey") == F.col("o_custkey"))
         .selectExpr(
             "c_mktsegment as map_id", "o_orderkey as row_no", "cast(length(o_orderpriority) as bigint) as level",
             "o_orderpriority as title", "concat('t', cast(o_orderkey as string), '.DITA') as file_name",
             "o_custkey", "o_orderstatus", "c_nationkey",
+            "case when o_orderkey <> first then first end as topic_parent",
         )
     )
 
@@ -134,7 +137,8 @@ PLACED = """topics as (
   select c_mktsegment as map_id, o_orderkey as row_no, length(o_orderpriority)::bigint as level,
          o_orderpriority as title, 't' || o_orderkey || '.DITA' as file_name,
          case when o_orderstatus = 'P' then 'none.dita' else 'legal_' || lpad(c_nationkey::varchar, 2, '0') || '.dita' end as l1,
-         case when o_orderstatus = 'F' then 'legal_c' || o_custkey || '.dita' end as l2
+         case when o_orderstatus = 'F' then 'legal_c' || o_custkey || '.dita' end as l2,
+         (select min(f.o_orderkey) from orders f where f.o_custkey = orders.o_custkey) as first
   from orders join customer on c_custkey = o_custkey where o_orderpriority in ('1-URGENT', '2-HIGH')),
 template as (
   select map_id, level, title, file_name, row_number() over (partition by map_id order by k1, k2, k3) as row_no
@@ -170,16 +174,24 @@ def placed_targets(spark, d):
   from (select *, max(row_no) over (partition by map_id) as last_no from template)
   window w as (partition by map_id order by row_no rows between 1 following and unbounded following)),
 joined as (select p.*, case when e.level = 1 then e.e1 else e.e2 end as end_no
-           from placed p left join ends e on e.map_id = p.map_id and e.row_no = p.parent_no)
+           from placed p left join ends e on e.map_id = p.map_id and e.row_no = p.parent_no),
+tops as (
+  select map_id, row_no as root,
+         case when group_name is null then least(6, parent_level + 1) else greatest(2, least(6, level)) end as top_level,
+         case when group_name is null then end_no * 2 - 1 else 4611686018427387904 end as key_position,
+         case when group_name is null then -parent_no else 0 end as key_parent,
+         case when group_name is null then row_no else -row_no end as key_top
+  from joined),
+chained as (select t.*, case when f.row_no is not null then t.first else t.row_no end as root,
+                   case when f.row_no is not null then 1 else 0 end as hops
+            from topics t left join topics f on f.row_no = t.first and t.row_no <> t.first)
 select map_id, level, file_name, title, 'template' as source, row_no * 2 as key_position,
-       0::bigint as key_parent, 0::bigint as key_arrival from template
+       0::bigint as key_parent, 0::bigint as key_top, 0::bigint as key_arrival from template
 union all
-select map_id, case when group_name is null then least(6, parent_level + 1) else greatest(2, least(6, level)) end,
-       file_name, title, 'manual', case when group_name is null then end_no * 2 - 1 else 4611686018427387904 end,
-       case when group_name is null then -parent_no else 0 end,
-       case when group_name is null then row_no else -row_no end from joined
+select c.map_id, least(6, top_level + hops), file_name, title, 'manual', key_position, key_parent, key_top, c.row_no
+from chained c join tops t on t.map_id = c.map_id and t.root = c.root
 union all
-select distinct map_id, 1::bigint, '', 'unclassified', 'group', 4611686018427387903, 0::bigint, 0::bigint
+select distinct map_id, 1::bigint, '', 'unclassified', 'group', 4611686018427387903, 0::bigint, 0::bigint, 0::bigint
 from template
 """,
     )

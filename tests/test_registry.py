@@ -128,3 +128,10 @@ def test_chapter_file_order(spark):
     df = spark.createDataFrame([("d", n, i) for i, n in enumerate(names)], "dir string, file_name string, i int")
     got = [r.file_name for r in U.order_chapters(df, "dir", "i").orderBy("position").collect()]
     assert got == ["Foreword.xml", "00", "01.txt", "02_Intro.xml", "Alpha.xml", "zeta.xml"]
+
+
+def test_bookmap_leaves_other_files_out(spark):
+    names = ["02_Intro.xml", "00", "01.txt", "memo.txt"]
+    df = spark.createDataFrame([("d", n, i) for i, n in enumerate(names)], "dir string, file_name string, i int")
+    got = [r.file_name for r in U.bookmap(df, "dir", "i").orderBy("position").collect()]
+    assert got == ["00", "01.txt", "02_Intro.xml"]

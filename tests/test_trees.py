@@ -77,6 +77,65 @@ def test_ordered_diff_fixture(spark):
     assert {r.file_name: r.state for r in right.collect()}["e"] == "manual-only"
 
 
+def plain_legal_tree(topics, targets, template):
+    """The same by inserting one topic after the other into a list."""
+    rows = [dict(level=lv, file=f, manual=False) for lv, f in template] + [dict(level=1, file="", manual=False)]
+    group = len(rows) - 1
+    find = lambda f, manual=False: next((i for i, r in enumerate(rows) if f and r["file"] == f and (r["manual"] or not manual)), -1)
+
+    def end(i):
+        j = i + 1
+        while j < len(rows) and rows[j]["level"] > rows[i]["level"]:
+            j += 1
+        return j
+
+    heading = rows[group]
+    for level, file, parent in topics:
+        if file not in targets:
+            continue
+        at = find(file)
+        if at >= 0:
+            rows[at]["manual"] = True
+            continue
+        up = find(parent, True)
+        if up < 0:
+            l1, l2 = targets[file]
+            up = find(l2)
+            up = find(l1) if up < 0 else up
+        if up >= 0:
+            rows.insert(end(up), dict(level=min(6, rows[up]["level"] + 1), file=file, manual=True))
+        else:
+            place = next(i for i, r in enumerate(rows) if r is heading) + 1
+            rows.insert(place, dict(level=max(2, min(6, level)), file=file, manual=True))
+    return [(r["level"], r["file"]) for r in rows]
+
+
+def test_legal_tree_matches_insertion(spark):
+    rng = random.Random(5)
+    topics, targets, templates, want = [], [], [], {}
+    for m in range(4):
+        template = [(1, "l1"), (2, "l1a"), (2, "l1b"), (1, "l2"), (2, "l2a"), (2, "both")]
+        listed, chosen, stack_ = [], {}, []
+        for n in range(1, 26):
+            level = min(len(stack_) + 1, rng.randint(1, 4))
+            del stack_[level - 1:]
+            file = "both" if n == 7 else f"t{n}"
+            listed.append((level, file, stack_[-1][1] if stack_ else None))
+            topics.append((m, n, level, file, file, stack_[-1][0] if stack_ else None))
+            stack_.append((n, file))
+            if rng.random() < 0.7:
+                chosen[file] = (rng.choice(["l1", "l2", "none"]), rng.choice(["", "l1a", "l2a", "gone"]))
+        templates += [(m, i, lv, f, f) for i, (lv, f) in enumerate(template, 1)]
+        targets.append((m, chosen))
+        want[m] = plain_legal_tree(listed, chosen, template)
+    for m, chosen in targets:
+        t = spark.createDataFrame([x for x in topics if x[0] == m], "map_id long, row_no long, level long, title string, file_name string, topic_parent long")
+        k = spark.createDataFrame([(f, a, b) for f, (a, b) in chosen.items()], "file_name string, parent_l1_file string, parent_l2_file string")
+        b = spark.createDataFrame([x for x in templates if x[0] == m], "map_id long, row_no long, level long, title string, file_name string")
+        got = O.build_legal_tree(t, k, b).orderBy("key_position", "key_parent", "key_top", "key_arrival").collect()
+        assert [(r.level, r.file_name) for r in got] == want[m]
+
+
 def test_legal_target_names(spark):
     names = {"t12.dita": True, "legal_scr01.dita": True, "legal_01.dita": False, "legal_01_02.dita": False, "x.dita": False, "LEGAL_a.DITA": True}
     df = spark.createDataFrame([(n,) for n in names], "f string").select("f", O.is_legal_target(F.col("f")).alias("x"))
