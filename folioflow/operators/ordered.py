@@ -244,13 +244,14 @@ def collected(
     blocks: Sequence[Column],
     values: dict[str, Column],
     per_part: int = 1000,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Ordered arrays per group in parts of at most ``per_part`` elements.
+    """Ordered arrays per group in parts of about ``per_part`` elements.
 
     When every group fits one part, arrays are collected and sorted in place; only longer groups need
-    their rows numbered first.
+    their rows numbered first. ``sizes`` is a cheaper table with the same groups to measure.
     """
-    if has_hot_group(df, keys, per_part):
+    if has_hot_group(df if sizes is None else sizes, keys, per_part):
         placed = numbered(df, keys, order, blocks, out="_position")
         return gathered(placed, keys, "_position", values, per_part)
     item = F.struct(*order, *[v.alias(f"_value_{n}") for n, v in values.items()])

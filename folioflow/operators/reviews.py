@@ -209,6 +209,7 @@ def assemble_threads(
             )
         },
         per_part,
+        sizes=replies,
     )
     file_parts = collected(
         comment_attachments(attachments),

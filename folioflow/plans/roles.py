@@ -48,8 +48,12 @@ COMMENTS = """comments as (
   from orders)"""
 
 
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(read_table(spark, folder, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey")
+
+
 def replies(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "lineitem")).selectExpr(
+    return lines(spark, folder).selectExpr(
         "l_orderkey as comment_id",
         f"{REPLY_ID} as reply_id",
         "concat('S', cast(l_suppkey as string)) as user_id",
@@ -93,7 +97,7 @@ USERS = """users as (
 
 
 def attachments(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "lineitem")).selectExpr(
+    return lines(spark, folder).selectExpr(
         "l_orderkey as comment_id",
         f"{REPLY_ID} as attachment_id",
         f"case when l_linestatus = 'F' then {REPLY_ID} end as reply_id",

@@ -58,8 +58,8 @@ def read_table(spark: SparkSession, location: str, name: str) -> DataFrame:
 SMALL_INPUT_BYTES = 1 << 30
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before heavy work per row.
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Spread a small input over all cores, by columns that tell its rows apart.
 
     A small file is often a single row group, which one task would read and process alone. Larger
     inputs are split by the scan and stay as they are.
@@ -67,12 +67,12 @@ def spread(df: DataFrame) -> DataFrame:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > SMALL_INPUT_BYTES:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *by)
 
 
-def read_texts(spark: SparkSession, location: str, name: str, *columns: str) -> DataFrame:
+def read_texts(spark: SparkSession, location: str, name: str, key: str, *columns: str) -> DataFrame:
     """A table with whole texts, ready for work on every text; only the named columns travel."""
-    return spread(read_table(spark, location, name).select(*columns))
+    return spread(read_table(spark, location, name).select(key, *columns), key)
 
 
 _own_folder: str | None = None

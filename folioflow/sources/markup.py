@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TEXT_TAG = "#text"
+ROWS_PER_BATCH = 20_000
 # HTML elements that never have content.
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -115,15 +116,21 @@ def node_table(docs: DataFrame, id_col: str, text_col: str, kind: str = "xml") -
     parse = PARSERS[kind]
     names = [c.split()[0] for c in NODE_COLUMNS.split(", ")]
 
+    def frame(rows: list[list]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[id_col, *names])
+        out["parent_id"] = out["parent_id"].astype("Int64")
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[list] = []
         for batch in batches:
             for doc, text in zip(batch[id_col], batch[text_col]):
-                rows = parse(text or "")
-                if rows:
-                    out = pd.DataFrame(rows, columns=names)
-                    out["parent_id"] = out["parent_id"].astype("Int64")
-                    out.insert(0, id_col, doc)
-                    yield out
+                rows += [[doc, *row] for row in parse(text or "")]
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield frame(rows)
+                    rows = []
+        if rows:
+            yield frame(rows)
 
     id_type = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {id_type}, {NODE_COLUMNS}")
