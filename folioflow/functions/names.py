@@ -13,6 +13,10 @@ from .text import collapse, strip
 POWERTRAINS = ("ICE", "EV", "HEV", "PHEV")
 NORTH_AMERICA = ("US", "CA", "MX")
 UNSAFE_IN_NAME = '[\\\\/:*?"<>|]'
+REVIEW_SUFFIX = "(?i)_컬러체크$"
+ORDER_PREFIX = "^\\d{6}_도안발주내역서_"
+NO_NAME = "color-check"
+LABEL_SUFFIX = "HTML"
 VALID_FILE_NAME = "^[A-Za-z0-9._-]+$"
 DEFAULT_TYPE = "application/octet-stream"
 TYPE_BY_EXTENSION = {
@@ -169,8 +173,8 @@ def vehicle_label(name: Column, prefix: str) -> Column:
     another shape give their cleaned base name.
     """
     base = F.regexp_replace(
-        F.regexp_replace(strip(F.coalesce(name, F.lit("color-check"))), "(?i)\\.xlsx?$", ""),
-        "(?i)_컬러체크$",
+        F.regexp_replace(strip(F.coalesce(name, F.lit(NO_NAME))), "(?i)\\.xlsx?$", ""),
+        REVIEW_SUFFIX,
         "",
     )
     tail = F.regexp_extract(base, f"(?i)({prefix}-.*)$", 1)
@@ -209,10 +213,10 @@ def vehicle_label(name: Column, prefix: str) -> Column:
     year = F.concat(F.substring(F.get(tokens, year_at - 1), 3, 2), F.lit("MY"))
     label = F.when(
         (year_at > 3) & (vehicle != "") & (land != ""),
-        F.concat_ws("_", vehicle, year, land, F.lit("HTML")),
+        F.concat_ws("_", vehicle, year, land, F.lit(LABEL_SUFFIX)),
     )
-    plain = F.regexp_replace(F.regexp_replace(base, "^\\d{6}_도안발주내역서_", ""), UNSAFE_IN_NAME, "_")
-    plain = F.when(F.length(F.trim(plain)) == 0, "color-check").otherwise(plain)
+    plain = F.regexp_replace(F.regexp_replace(base, ORDER_PREFIX, ""), UNSAFE_IN_NAME, "_")
+    plain = F.when(F.length(F.trim(plain)) == 0, NO_NAME).otherwise(plain)
     return F.coalesce(label, plain)
 
 

@@ -30,6 +30,9 @@ NORMAL_FORM = [
 ]
 RANGE_DASH = (f"({DIGITS}\\s*)–(\\s*{DIGITS})", "$1 ~ $2")
 NAVIGATION_WIDTH = 59
+# Lines of an alert and what stands for missing parts.
+ALERT_PATH, ALERT_FILE, ALERT_TEXT, ALERT_CODE = "경    로: ", "\n파 일 명: ", "\n코 멘 트: ", "\n코멘트ID: "
+NO_VALUE, NO_FILE = "-", "PDF"
 
 
 def collapse(col: Column) -> Column:
@@ -95,15 +98,15 @@ def without_mentions(col: Column) -> Column:
 
 def notification(path: Column, name: Column, text: Column, code: Column) -> Column:
     """Text of an alert: path, file, comment and its number."""
-    shown = F.coalesce(blank_to_null(code), F.lit("-"))
+    shown = F.coalesce(blank_to_null(code), F.lit(NO_VALUE))
     return F.concat(
-        F.lit("경    로: "),
-        F.coalesce(blank_to_null(path), F.lit("-")),
-        F.lit("\n파 일 명: "),
-        F.coalesce(blank_to_null(name), F.lit("PDF")),
-        F.lit("\n코 멘 트: "),
+        F.lit(ALERT_PATH),
+        F.coalesce(blank_to_null(path), F.lit(NO_VALUE)),
+        F.lit(ALERT_FILE),
+        F.coalesce(blank_to_null(name), F.lit(NO_FILE)),
+        F.lit(ALERT_TEXT),
         without_mentions(text),
-        F.lit("\n코멘트ID: "),
+        F.lit(ALERT_CODE),
         F.regexp_replace(shown, "^id", ""),
     )
 
