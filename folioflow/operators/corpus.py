@@ -183,6 +183,7 @@ def map_language(df: DataFrame, column: str, mapping: DataFrame, out: str = "lan
 META = "\\.^$|?*+()[]{}"
 BORDER_BEFORE = "(^|\\s+|\\p{Ps})"
 BORDER_AFTER = "(\\s+|\\p{P}|\\p{Pe}|$)"
+TERM = '<term translate="no">{}</term>'
 MAX_TERMS = 5000
 
 
@@ -199,7 +200,7 @@ def term_pattern(terms: Sequence[str]) -> str:
 
 def tag_terms(text: Column, terms: Sequence[str], skip: Column | None = None) -> Column:
     """Mark terms as not to be translated; ``skip`` marks texts in places where nothing is tagged."""
-    tagged = F.regexp_replace(text, term_pattern(terms), '$1<term translate="no">$2</term>$3')
+    tagged = F.regexp_replace(text, term_pattern(terms), f"$1{TERM.format('$2')}$3")
     return tagged if skip is None else F.when(skip, text).otherwise(tagged)
 
 

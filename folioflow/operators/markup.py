@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import corpus as C
 from .ordered import Running, number_blocks, numbered, running
 
 # Elements that stand for a contents entry, and their metadata container.
@@ -16,20 +17,52 @@ META_TAG = "topicmeta"
 INDEX_TAG = "indexterm"
 NO_SPACE_BEFORE = "^[:.,?)]"
 NO_SPACE_AFTER = "[(]$"
+MARKED_TAGS = ("p", "term")
+UNTAGGED_IN = ("menucascade", "uicontrol", "title", "indexterm")
+MODE_NAME, MODE_PATTERN = "DOOR mode", "(DOOR)(\\s+mode)"
+COLON_LETTER = "(^|\\s)([A-Z])\\s*:"
 LETTER_LIST = "^([A-Z]\\s*,\\s*)*[A-Z]$"
 BOLD_LETTER = "^[A-LR]$"
 CELL_LETTERS = ("I", "R", "A", "B", "C", "D", "E", "F", "G", "H", "K", "L", "S", "T", "U", "V", "W", "Y", "ZR")
 
 
-def prune(nodes: DataFrame, rule: Column, doc: str = "doc_id") -> DataFrame:
-    """Drop nodes that match, with their subtrees.
+def inside(nodes: DataFrame, rule: Column, out: str, doc: str = "doc_id") -> DataFrame:
+    """Flag nodes that match or lie below a match.
 
-    A node lies in a dropped subtree when the furthest end of the matches so far reaches it, so one
+    A node lies in a matching subtree when the furthest end of the matches so far reaches it, so one
     running maximum replaces a join with all ancestors.
     """
     reach = {"_reach": Running("max", F.when(rule, F.col("end_id")))}
     scanned = running(nodes, [doc], ["node_id"], number_blocks("node_id"), reach)
-    return scanned.where(F.coalesce(F.col("_reach") < F.col("node_id"), F.lit(True))).drop("_reach")
+    return scanned.withColumn(out, F.coalesce(F.col("_reach") >= F.col("node_id"), F.lit(False))).drop(
+        "_reach"
+    )
+
+
+def prune(nodes: DataFrame, rule: Column, doc: str = "doc_id") -> DataFrame:
+    """Drop nodes that match, with their subtrees."""
+    return inside(nodes, rule, "_gone", doc).where(~F.col("_gone")).drop("_gone")
+
+
+def tag_node_terms(nodes: DataFrame, terms: Sequence[str], doc: str = "doc_id") -> DataFrame:
+    """Mark terms in text nodes as not to be translated.
+
+    Mode names and letters before a colon are marked everywhere; dictionary terms are not marked in
+    menus, controls, titles, index terms and in what is already marked.
+    """
+    untouched = F.col("tag").isin(*MARKED_TAGS) & (F.col("attrs")["translate"] == "no")
+    flagged = inside(nodes, F.coalesce(untouched, F.lit(False)), "_marked", doc)
+    text = F.col("text")
+    skip = F.col("_marked") | F.arrays_overlap("tag_path", F.array(*[F.lit(t) for t in UNTAGGED_IN]))
+    tagged = (
+        F.when(
+            F.contains(text, F.lit(MODE_NAME)),
+            F.regexp_replace(text, MODE_PATTERN, C.TERM.format("$1") + "$2"),
+        )
+        .when(text.rlike(COLON_LETTER), F.regexp_replace(text, COLON_LETTER, "$1" + C.TERM.format("$2") + ":"))
+        .otherwise(C.tag_terms(text, terms, skip))
+    )
+    return flagged.withColumn("text", F.when(F.col("tag") == "#text", tagged).otherwise(text)).drop("_marked")
 
 
 def drop_attrs(nodes: DataFrame, names: Sequence[str]) -> DataFrame:

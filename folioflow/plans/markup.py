@@ -307,3 +307,10 @@ def chapter_numbers(spark, d):
     return read_table(spark, d, "part").select(
         "p_partkey", N.chapter_number(declared, file).alias("chapter")
     )
+
+
+@query()
+def node_terms(spark, d):
+    """Marked text nodes of all pages; tested on a small fixture."""
+    tagged = M.tag_node_terms(page_nodes(spark, d), ["The", "la", "en"], "page_id")
+    return tagged.where(F.contains("text", F.lit("<term"))).select("page_id", "node_id", "text")
