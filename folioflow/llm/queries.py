@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import common, packing, tokenfiles
+from . import bytebpe, common, packing, tokenfiles
 
 BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: the same rows in SQL, where SQL can express an operator
@@ -38,6 +38,17 @@ def op1_packing(spark, folder):
     )
 
 
+@_query
+def op4_byte_bpe(spark, folder):
+    """Every whole text encoded by the rank file and decoded again."""
+    coded = bytebpe.encode_documents(
+        _documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @_query
 def op8_token_files(spark, folder):
     """All documents' ids, written to token files in id order and read back."""
