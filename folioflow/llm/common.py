@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,15 +109,31 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return have
 
 
-def arrow_map(df: DataFrame, work, schema: str) -> DataFrame:
-    """mapInArrow under a shorter name; ``work`` maps an iterator of batches to one."""
-    return df.mapInArrow(work, schema)
-
-
 def arrow_schema(fields: dict[str, pa.DataType]) -> pa.Schema:
     return pa.schema(list(fields.items()))
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches that hold rows."""
-    return (b for b in batches if b.num_rows)
+def squeeze(docs: DataFrame, column: str = "text") -> DataFrame:
+    """Replace a text column by its zstd frame, so that shuffles move less; null stays null."""
+    kept = docs.withColumn(column, F.col(column).cast("binary"))
+
+    def work(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            packed = [None if b is None else packer.compress(b) for b in batch.column(at).to_pylist()]
+            yield batch.set_column(at, column, pa.array(packed, pa.binary()))
+
+    return kept.mapInArrow(work, kept.schema)
+
+
+def unsqueezed(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
+    opener = zstandard.ZstdDecompressor()
+    return [None if b is None else opener.decompress(b) for b in batch.column(column).to_pylist()]
+
+
+def int_lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """A list column from numpy arrays."""
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0, kind.to_pandas_dtype())
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.astype(kind.to_pandas_dtype(), copy=False), kind))

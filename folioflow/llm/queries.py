@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bytebpe, common, packing, tokenfiles
+from . import bytebpe, common, neardup, packing, tokenfiles
 
 BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: the same rows in SQL, where SQL can express an operator
@@ -38,6 +38,12 @@ def op1_packing(spark, folder):
     )
 
 
+@_query
+def op2_near_duplicates(spark, folder):
+    """Near-duplicate components of all documents, similarity 0.85 on 5-word shingles."""
+    return neardup.near_duplicates(_documents(spark, folder))
+
+
 @_query
 def op4_byte_bpe(spark, folder):
     """Every whole text encoded by the rank file and decoded again."""
