@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bytebpe, common, neardup, packing, tokenfiles
+from . import bytebpe, common, neardup, packing, substrings, tokenfiles
 
 BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: the same rows in SQL, where SQL can express an operator
@@ -62,3 +62,13 @@ def op8_token_files(spark, folder):
         _documents(spark, folder), common.folder_for(spark, "token-files"), public_tokenizers.path("word_bpe_49k.json")
     )
     return tokenfiles.read_documents(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op10_substrings(spark, folder):
+    """Words under 50-word windows that also begin in a smaller document, removed from all documents."""
+    stripped = substrings.remove_repeats(_documents(spark, folder).select("doc_id", "text"))
+    return stripped.select(
+        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
