@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bytebpe, common, neardup, packing, substrings, tokenfiles
+from . import bytebpe, common, neardup, packing, substrings, tokenfiles, toxicity
 
 BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: the same rows in SQL, where SQL can express an operator
@@ -64,6 +64,18 @@ def op8_token_files(spark, folder):
     return tokenfiles.read_documents(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@_query
+def op9_toxicity(spark, folder):
+    """Toxicity scores of all documents, learned from labels outside the held-out fold."""
+    docs = _documents(spark, folder).select("doc_id", "text")
+    labels = read_table(spark, folder, "labels").select("doc_id", "toxic").where(common.fold(4) != 2)
+    scored = toxicity.score(docs, toxicity.learn(docs, labels))
+    return scored.select(
+        "doc_id", (common.fold(4) == 2).alias("held_out"), F.col("_toxicity").alias("score"),
+        F.col("_toxic").cast("int").alias("predicted"),
+    )
+
+
 @_query
 def op10_substrings(spark, folder):
     """Words under 50-word windows that also begin in a smaller document, removed from all documents."""
