@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bytebpe, common, neardup, packing, substrings, tokenfiles, toxicity
+from . import bytebpe, common, langid, neardup, packing, quality, substrings, tokenfiles, toxicity
 
 BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: the same rows in SQL, where SQL can express an operator
@@ -44,6 +44,14 @@ def op2_near_duplicates(spark, folder):
     return neardup.near_duplicates(_documents(spark, folder))
 
 
+@_query
+def op3_quality(spark, folder):
+    """Base counts and the learned verdict on every whole text."""
+    docs = _documents(spark, folder)
+    labels = read_table(spark, folder, "labels").select("doc_id", "quality")
+    return quality.assess(docs, quality.learn(docs, labels))
+
+
 @_query
 def op4_byte_bpe(spark, folder):
     """Every whole text encoded by the rank file and decoded again."""
@@ -55,6 +63,17 @@ def op4_byte_bpe(spark, folder):
     )
 
 
+@_query
+def op5_language(spark, folder):
+    """Language of every whole text, learned from the rows outside the held-out fold."""
+    docs = _documents(spark, folder)
+    found = langid.predict(docs.select("doc_id", "text"), langid.learn(docs.where(common.fold(4) != 2)))
+    return found.select(
+        "doc_id", (common.fold(4) == 2).alias("held_out"), F.col("_lang").alias("lang_pred"),
+        F.col("_lang_score").alias("score"), F.col("_lang_rejected").alias("rejected"),
+    )
+
+
 @_query
 def op8_token_files(spark, folder):
     """All documents' ids, written to token files in id order and read back."""
