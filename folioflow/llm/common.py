@@ -127,6 +127,19 @@ def squeeze(docs: DataFrame, column: str = "text") -> DataFrame:
     return kept.mapInArrow(work, kept.schema)
 
 
+def unsqueeze(docs: DataFrame, column: str = "text") -> DataFrame:
+    """The texts back from their zstd frames."""
+    schema = docs.withColumn(column, F.col(column).cast("string")).schema
+
+    def work(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            texts = [None if b is None else b.decode() for b in unsqueezed(batch, column)]
+            yield batch.set_column(at, column, pa.array(texts, pa.string()))
+
+    return docs.mapInArrow(work, schema)
+
+
 def unsqueezed(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     opener = zstandard.ZstdDecompressor()
     return [None if b is None else opener.decompress(b) for b in batch.column(column).to_pylist()]

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    HashMemo, arrow_schema, as_bytes, batch_of, doc_texts, int_lists, lower_words, squeeze, stash, unsqueezed,
-    window_hashes,
+    HashMemo, arrow_schema, as_bytes, batch_of, doc_texts, int_lists, lower_words, squeeze, stash, unsqueeze,
+    unsqueezed, window_hashes,
 )
 from .components import components
 
@@ -235,3 +235,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest id.
+
+    All columns stay. Rows that share an id are one document and leave one row; rows without an id and
+    texts without words have no near duplicates and stay.
+    """
+    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id"))
+    named = docs.where("doc_id is not null").withColumn("text", F.col("text").cast("string"))
+    rows = squeeze(named).join(kept.distinct(), F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    return unsqueeze(rows.dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bytebpe, common, langid, neardup, packing, quality, substrings, tokenfiles, toxicity
+from . import bytebpe, common, langid, lm, neardup, neighbours, packing, quality, substrings, tokenfiles, toxicity
 
 BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: the same rows in SQL, where SQL can express an operator
@@ -74,6 +74,22 @@ def op5_language(spark, folder):
     )
 
 
+@_query
+def op6_lm_score(spark, folder):
+    """Log-probabilities of all texts, learned outside the held-out fold."""
+    docs = _documents(spark, folder).select("doc_id", "text")
+    scored = lm.score(docs, docs.where(common.fold(7) != 2))
+    return scored.select(
+        "doc_id", (common.fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+@_query
+def op7_neighbours(spark, folder):
+    """The 20 nearest of every vector whose id is divisible by 20, by inner product."""
+    return neighbours.nearest(read_table(spark, folder, "embeddings"))
+
+
 @_query
 def op8_token_files(spark, folder):
     """All documents' ids, written to token files in id order and read back."""

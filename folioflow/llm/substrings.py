@@ -166,12 +166,13 @@ def repeated_spans(docs: DataFrame, length: int = 50, squeezed: DataFrame | None
     return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, keep_untouched: bool = False) -> DataFrame:
     """``docs`` with ``text`` replaced by its kept words, joined by one space, and two columns more.
 
     ``_n_words`` and ``_n_removed`` count the words of the input and those that went. A text without any
-    removed word is given as its words joined by one space as well; a null text is an empty one. All
-    other columns stay; the result has one row for each row of ``docs``.
+    removed word is given as its words joined by one space as well, a null one as an empty one; with
+    ``keep_untouched`` both stay as they are. All other columns stay; the result has one row for each
+    row of ``docs``.
     """
     packed = squeeze(docs.withColumn("text", F.col("text").cast("string")))
     found = repeated_spans(docs, length).select(F.col("doc_id").alias("_doc_id"), F.col("spans").alias("_spans"))
@@ -191,7 +192,10 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                     np.add.at(edges, [s["start"] for s in spans], 1)
                     np.add.at(edges, [s["stop"] for s in spans], -1)
                     kept = [w for w, n in zip(words, np.cumsum(edges[:-1]).tolist()) if not n]
-                texts.append(b" ".join(kept).decode())
+                if keep_untouched and len(kept) == len(words):
+                    texts.append(None if text is None else text.decode())
+                else:
+                    texts.append(b" ".join(kept).decode())
                 sizes.append(len(words))
                 gone.append(len(words) - len(kept))
             at = batch.schema.get_field_index("text")
