@@ -4,70 +4,103 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
-
-import numpy as np
+from itertools import islice
 
 #: encodes chunks into packed token ids
 Encode = Callable[[list[str]], list[bytes]]
 
+_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: a word of Latin letters, perhaps behind a line end, and the ASCII signs (no quote) behind it
+_WORD_SIGNS = re.compile(rf"(\n?[{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]+)")
+_LATIN_WORD = re.compile(rf" ?[{_LETTERS}]{{1,64}}")
 #: a lone space between characters that are no white space: a match of the split pattern begins there
 _LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
-MEMO_CHUNKS, LONG_CHUNK = 500_000, 256
+#: chunks a worker remembers at most, and the longest that is worth it
+MEMO_CHUNKS, LONG_CHUNK = 1_000_000, 256
+
+
+def _learn(memo: dict, keys: set[str], encode: Callable[[list[str]], list]) -> list[str]:
+    """Add the keys the memo lacks; a full memo first drops the half that it has held longest.
+
+    Returns the new keys that are too long to be remembered beyond the batch.
+    """
+    new = list(keys.difference(memo))
+    if len(memo) + len(new) > MEMO_CHUNKS:
+        for key in list(islice(memo, len(memo) // 2)):
+            del memo[key]
+        new = list(keys.difference(memo))
+    memo.update(zip(new, encode(new)))
+    return [k for k in new if len(k) > LONG_CHUNK]
 
 
-class _Memo(dict):
-    """Two generations of results: what the younger lacks is taken over from the older."""
+def _forget(memo: dict, keys: Iterable[str]) -> None:
+    for key in keys:
+        memo.pop(key, None)
 
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.older = limit, {}
 
-    def __missing__(self, key):
-        value = self[key] = self.older[key]
-        return value
+class WordEncoder:
+    """Token ids of texts, as packed integers, for tokenizers that drop white space.
 
-    def learn(self, keys: Iterable[str], encode: Encode) -> None:
-        lacking = [k for k in keys if k not in self]
-        known = {k: self.older[k] for k in lacking if k in self.older}
-        new = [k for k in lacking if k not in known]
-        if len(self) + len(lacking) > self.limit:
-            self.older = dict(self)
-            self.clear()
-        self.update(known)
-        self.update(zip(new, encode(new)))
+    Every blank separates chunks, and a word of letters encodes apart from the ASCII signs behind it, so
+    words are known with whatever sign follows them.
+    """
 
-    def forget_long(self, keys: Iterable[str]) -> None:
-        for key in keys:
-            if len(key) > LONG_CHUNK:
-                self.pop(key, None)
-                self.older.pop(key, None)
+    def __init__(self, encode: Encode):
+        self.encode, self.memo, self.signs = encode, {}, {}
+
+    def _plain(self, chunks: list[str]) -> list[bytes | None]:
+        return self.encode(chunks)
+
+    def _chunks(self, chunks: list[str]) -> list[bytes | None]:
+        split = {c: m.groups() for c in chunks if (m := _WORD_SIGNS.fullmatch(c))}
+        words = {w for w, _ in split.values()}.difference(self.memo).difference(chunks)
+        signs = {s for _, s in split.values()}
+        if len(self.signs) > MEMO_CHUNKS // 8:
+            self.signs.clear()
+        signs = list(signs.difference(self.signs))
+        self.signs.update(zip(signs, self.encode(signs)))
+        plain = [c for c in chunks if c not in split] + list(words)
+        out = dict(zip(plain, self._plain(plain)))
+        self.memo.update((w, out[w]) for w in words)
+        for chunk, (word, sign) in split.items():
+            out[chunk] = (out[word] if word in out else self.memo[word]) + self.signs[sign]
+        return [out[c] for c in chunks]
 
+    def texts(self, texts: list[str]) -> list[bytes]:
+        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        long = _learn(self.memo, set().union(*parts), self._chunks)
+        out = [b"".join(map(self.memo.__getitem__, p)) for p in parts]
+        _forget(self.memo, long)
+        return out
 
-class ChunkEncoder:
-    """Token ids of texts, as packed integers, where a text is cut before lone spaces.
 
-    A space between two characters that are not white space always begins a new match of the
-    byte-level split pattern, so the chunks before and after it encode independently. ``after``
-    remembers chunks by the text behind their space; None marks one that touches other white space,
-    and a text that holds such a chunk is cut by the exact rule instead.
+class ChunkEncoder(WordEncoder):
+    """For byte-level tokenizers, where white space has ids: a text is cut before lone blanks.
+
+    A space or line end between two characters that are not white space always begins a new match of the
+    split pattern, so what is before and after it encodes independently. The memo knows chunks by the
+    text behind their space, or with their line end; None marks one that touches other white space, and
+    a text that holds such a chunk is cut before lone spaces only.
     """
 
     def __init__(self, encode: Encode):
-        self.encode, self.after, self.whole = encode, _Memo(MEMO_CHUNKS), _Memo(MEMO_CHUNKS // 4)
+        super().__init__(encode)
+        self.whole, self.line_end = {}, encode(["\n"])[0]
 
-    def _after_space(self, chunks: list[str]) -> list[bytes | None]:
-        safe = [bool(c) and not c[0].isspace() and not c[-1].isspace() for c in chunks]
-        found = iter(self.encode([" " + c for c, ok in zip(chunks, safe) if ok]))
-        return [next(found) if ok else None for ok in safe]
+    def _plain(self, chunks: list[str]) -> list[bytes | None]:
+        inner = [c[1:] if c[:1] == "\n" else c for c in chunks]
+        safe = [bool(c) and not c[0].isspace() and not c[-1].isspace() for c in inner]
+        found = iter(self.encode([i if i is not c and c[0] == "\n" else " " + i for c, i, ok in zip(chunks, inner, safe) if ok]))
+        return [None if not ok else self.line_end + next(found) if c[0] == "\n" else next(found) for c, ok in zip(chunks, safe)]
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
+        parts = [t.replace("\n", " \n").split(" ") for t in texts]
         firsts = {p[0] for p in parts if p[0] and not p[0][-1].isspace()}
-        chunks = set().union(*(p[1:] for p in parts))
-        self.whole.learn(firsts, self.encode)
-        self.after.learn(chunks, self._after_space)
-        get, out, odd = self.after.__getitem__, [b""] * len(texts), []
+        long = _learn(self.whole, firsts, self.encode)
+        long_chunks = _learn(self.memo, set().union(*(p[1:] for p in parts)), self._chunks)
+        get, out, odd = self.memo.__getitem__, [b""] * len(texts), []
         for i, p in enumerate(parts):
             try:
                 if p[0] not in firsts:
@@ -76,75 +109,61 @@ class ChunkEncoder:
             except TypeError:
                 odd.append(i)
         cut = [_LONE_SPACE.split(texts[i]) for i in odd]
-        pieces = set().union(*cut)
-        self.whole.learn(pieces, self.encode)
+        long += _learn(self.whole, set().union(*cut), self.encode)
         for i, p in zip(odd, cut):
             out[i] = b"".join(map(self.whole.__getitem__, p))
-        self.after.forget_long(chunks)
-        self.whole.forget_long(firsts | pieces)
-        return out
-
-
-class WordEncoder:
-    """For vocabularies whose tokenizer drops white space: every blank separates chunks."""
-
-    def __init__(self, encode: Encode):
-        self.encode, self.memo = encode, _Memo(MEMO_CHUNKS)
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        chunks = set().union(*parts)
-        self.memo.learn(chunks, self.encode)
-        out = [b"".join(map(self.memo.__getitem__, p)) for p in parts]
-        self.memo.forget_long(chunks)
+        _forget(self.memo, long_chunks)
+        _forget(self.whole, long)
         return out
 
 
-_SPACED_WORD = re.compile(r" \S+")
+def _byte_letters() -> dict[int, int]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
-def tokenizer_encode(path: str, dtype: str, line_joined: bool = False) -> Encode:
-    """The tokenizers library over a vocabulary file, without special tokens.
+def tokenizer_encode(path: str, dtype: str, lower: bool = False) -> Encode:
+    """The tokenizers library over a byte-level vocabulary file, without special tokens.
 
-    ``line_joined`` is for byte-level vocabularies, where white space has ids: many words then go
-    through the library in one call, a line each.
+    A chunk that is one Latin word is what the split pattern would make of it, so it goes to the
+    library's model at once; ``lower`` says that the vocabulary's own normaliser lower-cases. All other
+    chunks go through the whole tokenizer.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    tokenize, letters = tokenizer.model.tokenize, _byte_letters()
+    code, spaced = {"<u2": "H", "<u4": "I"}[dtype], chr(letters[32])
 
-    def each(chunks: list[str]) -> list[bytes]:
+    def whole(chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(chunks), 4096):
             found = tokenizer.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)
-            out.extend(np.array(e.ids, dtype=dtype).tobytes() for e in found)
+            out.extend(array(code, e.ids).tobytes() for e in found)
         return out
 
-    if not line_joined:
-        return each
-
-    newline = tokenizer.encode("\n", add_special_tokens=False).ids
-    assert len(newline) == 1
-
-    def joined(chunks: list[str]) -> list[bytes]:
-        """Chunks of a space and one word travel as lines of one text: a lone newline is one id."""
-        out: list[bytes] = [b""] * len(chunks)
-        words = [i for i, c in enumerate(chunks) if _SPACED_WORD.fullmatch(c)]
-        for at in range(0, len(words), 256):
-            some = words[at : at + 256]
-            text = "\n".join(chunks[i] for i in some)
-            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype)
-            cuts = np.flatnonzero(ids == newline[0])
-            for i, lo, hi in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-                out[i] = ids[lo:hi].tobytes()
-        rest = [i for i, c in enumerate(chunks) if not out[i]]
-        for i, b in zip(rest, each([chunks[i] for i in rest])):
-            out[i] = b
+    def encode(chunks: list[str]) -> list[bytes]:
+        out, rest = [b""] * len(chunks), []
+        match = _LATIN_WORD.fullmatch
+        for i, chunk in enumerate(chunks):
+            if not match(chunk):
+                rest.append(i)
+                continue
+            word = chunk.lower() if lower else chunk
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(letters)
+            elif word[0] == " ":
+                word = spaced + word[1:]
+            out[i] = array(code, [t.id for t in tokenize(word)]).tobytes()
+        for i, ids in zip(rest, whole([chunks[i] for i in rest])):
+            out[i] = ids
         return out
 
-    return joined
+    return encode
 
 
 def id_type(largest_id: int) -> str:

@@ -37,7 +37,7 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int, largest_id: int)
     def encode(batches):
         encoder = _encoders.get(vocabulary)
         if encoder is None:
-            encoder = _encoders[vocabulary] = ChunkEncoder(tokenizer_encode(vocabulary, dtype, line_joined=True))
+            encoder = _encoders[vocabulary] = ChunkEncoder(tokenizer_encode(vocabulary, dtype))
         part, before, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype).tobytes()
         width = np.dtype(dtype).itemsize
         for batch in batches:
