@@ -40,15 +40,25 @@ def _forget(memo: dict, keys: Iterable[str]) -> None:
         memo.pop(key, None)
 
 
+def _lowered(text: str) -> str:
+    """A text of Latin-1 letters in lower case; in others, case can depend on neighbours."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class WordEncoder:
     """Token ids of texts, as packed integers, for tokenizers that drop white space.
 
     Every blank separates chunks, and a word of letters encodes apart from the ASCII signs behind it, so
-    words are known with whatever sign follows them.
+    words are known with whatever sign follows them. ``lower`` says that the tokenizer lower-cases, so
+    that words of any case are one.
     """
 
-    def __init__(self, encode: Encode):
-        self.encode, self.memo, self.signs = encode, {}, {}
+    def __init__(self, encode: Encode, lower: bool = False):
+        self.encode, self.lower, self.memo, self.signs = encode, lower, {}, {}
 
     def _plain(self, chunks: list[str]) -> list[bytes | None]:
         return self.encode(chunks)
@@ -69,6 +79,7 @@ class WordEncoder:
         return [out[c] for c in chunks]
 
     def texts(self, texts: list[str]) -> list[bytes]:
+        texts = [_lowered(t) if self.lower else t for t in texts]
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         long = _learn(self.memo, set().union(*parts), self._chunks)
         out = [b"".join(map(self.memo.__getitem__, p)) for p in parts]

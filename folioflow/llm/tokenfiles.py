@@ -91,7 +91,7 @@ def write_files(
     def write(batches):
         encoder = _encoders.get(vocabulary)
         if encoder is None:
-            encoder = _encoders[vocabulary] = WordEncoder(tokenizer_encode(vocabulary, dtype, lower=True))
+            encoder = _encoders[vocabulary] = WordEncoder(tokenizer_encode(vocabulary, dtype, lower=True), lower=True)
         end, part, n_docs, writer = np.array([end_id], dtype).tobytes(), TaskContext.get().partitionId(), 0, None
         name = f"{folder.rstrip('/')}/range-{part:06d}-{uuid.uuid4().hex}"
         for batch in batches:
