@@ -1,10 +1,10 @@
 """Near duplicates by HyperMinHash.
 
-A document's set is its distinct 5-word shingles, hashed to 64 bits. The top bits of a hash choose one
-of ``BUCKETS`` buckets; a bucket keeps the least of the remaining bits, compressed to its number of
-leading zeros and the next mantissa bits: 16 bits a register. Four registers form a band, and sets that
-agree in a band are candidates. Two sets with a similarity of 0.85 miss each other in all 32 bands with
-a probability below 1e-10.
+A document's set is its distinct 5-word shingles, hashed to 64 bits. The top bits of a hash choose a
+bucket; a bucket keeps the least of the remaining bits, compressed to its number of leading zeros and
+the next mantissa bits. 128 registers of 16 bits are banded, four to a band: sets that agree in a band
+are candidates. Two sets with a similarity of 0.85 miss each other in all 32 bands with a probability
+below 1e-10. 512 registers of 8 bits estimate the similarity of candidates.
 
 Equal sets form one class first, and only class representatives go on. A band's representatives are
 linked to the least of them, not to each other. Candidates pass the registers' estimate, corrected for
@@ -26,17 +26,20 @@ from .common import (
 )
 from .components import components
 
-SHINGLE_WORDS, BUCKETS, MANTISSA_BITS = 5, 128, 10
-EMPTY = 0xFFFF
-#: probability that registers of different values agree: equal leading zeros, then equal mantissas
-COLLISION = 1 / 3 / 2**MANTISSA_BITS
+SHINGLE_WORDS = 5
+#: registers that are banded, and their mantissa bits; registers that are estimated from, and theirs
+BAND_BUCKETS, BAND_BITS, SKETCH_BUCKETS, SKETCH_BITS = 128, 10, 512, 4
+BANDS, EMPTY = BAND_BUCKETS // 4, 0xFF
+#: probability that sketch registers of different values agree: equal leading zeros, then equal mantissas
+COLLISION = 1 / 3 / 2**SKETCH_BITS
 #: standard deviations of the estimate that a candidate may fall short of the threshold
-SLACK = 6.0
+SLACK = 5.0
 #: representatives of one band that are compared as one block
 BLOCK = 1024
 
 _SIGNED = arrow_schema({
     "doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "bands": pa.list_(pa.int64()),
+    "sketch": pa.binary(),
 })
 _memo = HashMemo()
 
@@ -50,37 +53,37 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(window_hashes(hashes, min(SHINGLE_WORDS, len(words))))
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of a sorted set of hashes; an empty bucket holds ``EMPTY``."""
-    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
-    starts = np.arange(BUCKETS, dtype=np.uint64) << shift
-    first = np.searchsorted(hashes, starts)
+def registers(hashes: np.ndarray, buckets: int, bits: int, kind: type) -> np.ndarray:
+    """HyperMinHash registers of a sorted set of hashes; an empty bucket holds the largest value."""
+    shift = np.uint64(64 - buckets.bit_length() + 1)
+    first = np.searchsorted(hashes, np.arange(buckets, dtype=np.uint64) << shift)
     last = np.append(first[1:], len(hashes))
-    out = np.full(BUCKETS, EMPTY, np.uint16)
+    out = np.full(buckets, np.iinfo(kind).max, kind)
     full = first < last
-    # the 53 bits behind the bucket's, as an exact float: exponent and mantissa give zeros and bits
+    # 53 of the bits behind the bucket's, as an exact float: exponent and mantissa give zeros and bits
     rest = (hashes[first[full]] << np.uint64(64 - int(shift))) >> np.uint64(11)
     mantissa, exponent = np.frexp(np.maximum(rest, 1).astype(np.float64))
-    zeros = 53 - exponent
-    bits = ((mantissa - 0.5) * 2 ** (MANTISSA_BITS + 1)).astype(np.int64)
-    out[full] = (zeros << MANTISSA_BITS) | bits
+    most = np.iinfo(kind).max >> bits
+    zeros = np.minimum(53 - exponent, most - 1)
+    out[full] = (zeros << bits) | ((mantissa - 0.5) * 2 ** (bits + 1)).astype(np.int64)
     return out
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands): registers packed four to a long; a digest names the set."""
+    """(doc_id, n_shingles, digest, bands, sketch): a band is four registers in a long; a digest names the set."""
 
     def sign(batches):
         for batch in batches:
-            sizes, digests, bands = [], [], []
+            sizes, digests, bands, sketches = [], [], [], []
             for text in as_bytes(batch):
                 hashes = shingle_set(text)
                 sizes.append(len(hashes))
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                bands.append(registers(hashes).view(np.int64))
-            yield batch_of(_SIGNED, [batch.column("doc_id"), sizes, digests, int_lists(bands, pa.int64())])
+                bands.append(registers(hashes, BAND_BUCKETS, BAND_BITS, np.uint16).view(np.int64))
+                sketches.append(registers(hashes, SKETCH_BUCKETS, SKETCH_BITS, np.uint8).tobytes())
+            yield batch_of(_SIGNED, [batch.column("doc_id"), sizes, digests, int_lists(bands, pa.int64()), sketches])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,25 +94,36 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(0.0, (agree - COLLISION) / (1 - COLLISION)), n
 
 
-def plausible(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Could the sets reach the threshold, as far as their registers tell?"""
+def plausible(a: np.ndarray, b: np.ndarray, size_a, size_b, threshold: float) -> np.ndarray:
+    """Could the sets reach the threshold, as far as their sizes and registers tell?
+
+    The buckets used are a sample, without repetition, of the union's shingles; the allowance is that of
+    a pair exactly at the threshold.
+    """
     near, n = estimate(a, b)
-    return near >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / n) - 1 / n
+    union = np.maximum((size_a + size_b) / (1 + threshold), n)
+    spread = threshold * (1 - threshold) / n * ((union - n) / np.maximum(union - 1, 1) + COLLISION)
+    sizes = np.minimum(size_a, size_b) >= (threshold - 1e-9) * np.maximum(size_a, size_b)
+    return sizes & (near >= threshold - SLACK * np.sqrt(spread) - 2 / n)
 
 
-def _register_rows(column: pa.ListArray) -> np.ndarray:
-    return column.flatten().to_numpy().view(np.uint16).reshape(-1, BUCKETS)
+def _sketch_rows(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH_BUCKETS)
 
 
 def _plausible_pairs(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, b), those whose registers allow a link."""
-    sides = [classes.select(F.col("rep").alias(c), F.col("bands").alias(f"bands_{c}")) for c in "ab"]
+    sides = [
+        classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+        for c in "ab"
+    ]
 
     def keep(batches):
         for batch in batches:
             if batch.num_rows:
-                ok = plausible(_register_rows(batch.column("bands_a")), _register_rows(batch.column("bands_b")), threshold)
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+                sketches = [_sketch_rows(batch.column(f"sketch_{c}")) for c in "ab"]
+                sizes = [batch.column(f"n_{c}").to_numpy() for c in "ab"]
+                yield batch.select(["a", "b"]).filter(pa.array(plausible(*sketches, *sizes, threshold)))
 
     return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(keep, "a long, b long")
 
@@ -143,29 +157,35 @@ def _verified(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
 def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
     """Plausible pairs (a, b) of different components within a band, estimated block against block.
 
-    ``members`` holds (band, value, rep, component, bands, n). A band's members are dealt into blocks
-    of about ``BLOCK``; a row goes to the tiles of its block with every block of the band.
+    ``members`` holds (band, value, among, rep, component, n, bands, sketch). A band's members are dealt
+    into blocks of about ``BLOCK``; a row goes to the tiles of its block with every block of the band.
+    A pair counts in the first band that it shares, so it comes once.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("among") / BLOCK).cast("int")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "rep", "component", "bands",
+        "block", "rep", "component", "n", "bands", "sketch",
     )
     key = ["band", "value", "i", "j"]
     placed = tiles.repartition(*key).sortWithinPartitions(*key, "block", "rep")
     schema = arrow_schema({"a": pa.int64(), "b": pa.int64()})
 
     def pairs(table: pa.Table):
-        block, reps, comps = (table.column(c).to_numpy() for c in ("block", "rep", "component"))
-        regs = _register_rows(table.column("bands").combine_chunks())
+        block, reps, comps, sizes = (table.column(c).to_numpy() for c in ("block", "rep", "component", "n"))
+        sketches = _sketch_rows(table.column("sketch"))
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        band = table.column("band")[0].as_py()
         same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         left = np.arange(len(reps)) if same else np.flatnonzero(block == block[0])
         found = []
         for x in left.tolist():
             others = np.flatnonzero((comps != comps[x]) & ((reps > reps[x]) if same else (block != block[x])))
+            earlier = (bands[others, :band] == bands[x, :band]) & (bands[x, :band] != -1)
+            others = others[~earlier.any(axis=1)]
             if len(others):
-                found.extend((x, y) for y in others[plausible(regs[x], regs[others], threshold)].tolist())
+                ok = plausible(sketches[x], sketches[others], sizes[x], sizes[others], threshold)
+                found.extend((x, y) for y in others[ok].tolist())
         ends = np.array(found, dtype=np.int64).reshape(-1, 2)
         low, high = reps[ends[:, 0]], reps[ends[:, 1]]
         return batch_of(schema, [np.minimum(low, high), np.maximum(low, high)])
@@ -174,7 +194,7 @@ def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
         for group in key_groups(batches, key):
             yield pairs(group)
 
-    return placed.mapInArrow(work, "a long, b long").distinct()
+    return placed.mapInArrow(work, "a long, b long")
 
 
 def key_groups(batches, key: list[str]):
@@ -212,19 +232,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts = doc_texts(docs)
     signed = stash(signatures(texts), "signatures")
     able = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stash(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = stash(
+        able.groupBy("digest").agg(
+            F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch"),
+        ),
+        "classes",
+    )
     packed = squeeze(texts.where("doc_id is not null"))
     banded = classes.select("rep", F.posexplode("bands").alias("band", "value")).where("value <> -1")
-    leaders = banded.groupBy("band", "value").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = banded.join(leaders, ["band", "value"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    first = stash(_verified(stash(_plausible_pairs(star, classes, threshold), "pairs"), packed, percent), "links")
+    leaders = banded.groupBy("band", "value").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("among"))
+    shared = stash(banded.join(leaders.where("among > 1"), ["band", "value"]), "banded")
+    near = stash(classes.join(shared.select("rep").distinct(), "rep").select("rep", "n", "bands", "sketch"), "sketches")
+    star = shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    first = stash(_verified(stash(_plausible_pairs(star, near, threshold), "pairs"), packed, percent), "links")
     named = components(first).select(F.col("node").alias("rep"), "component")
-    placed = banded.join(leaders.select("band", "value", "n"), ["band", "value"]).join(named, "rep", "left").select(
-        "band", "value", "n", "rep", F.coalesce("component", "rep").alias("component")
-    )
+    placed = shared.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = mixed.where("lo <> hi").select("band", "value")
-    members = placed.join(mixed, ["band", "value"]).join(classes.select("rep", "bands"), "rep")
+    members = placed.join(mixed, ["band", "value"]).join(near, "rep")
     across = stash(_cross_pairs(members, threshold).join(star, ["a", "b"], "left_anti"), "pairs")
     if not across.isEmpty():
         first = first.union(stash(_verified(across, packed, percent), "links"))
