@@ -137,7 +137,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, squeezed: DataFrame | None
     texts = doc_texts(docs).where("doc_id is not null")
     level = stash(_level_one(texts, length), "anchors").where(F.col("n_words") >= length)
     heads = level.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = level.join(heads.select("digest", "head"), "digest", "left")
+    # written, so that both sides of each join are shuffled and hot keys can be split
+    placed = level.join(stash(heads.select("digest", "head"), "heads"), "digest", "left")
     copies = placed.where("doc_id > head").select(
         "doc_id", F.lit(0).alias("start"), (F.col("n_words") - length + 1).cast("int").alias("stop")
     )
@@ -151,7 +152,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, squeezed: DataFrame | None
         .where("lo < hi")
         .select("anchor", F.ceil(F.col("n") / HOT_PLACES).cast("int").alias("salts"))
     )
-    hits = single.join(repeated, "anchor").groupBy("doc_id").agg(
+    hits = single.join(stash(repeated, "repeated"), "anchor").groupBy("doc_id").agg(
         F.collect_list(F.struct("anchor", "place", "salts")).alias("found")
     )
     packed = squeeze(texts) if squeezed is None else squeezed.select("doc_id", "text")
