@@ -266,8 +266,12 @@ def href_rename(href: Column, file_name: Column) -> Column:
 def natural_key(col: Column) -> Column:
     """Sort key that compares digit runs by value and letters without case."""
     runs = F.regexp_extract_all(F.lower(col), F.lit("(\\d+|\\D+)"), 1)
-    padded = F.transform(runs, lambda r: F.when(r.rlike("^\\d"), F.lpad(r, 20, "0")).otherwise(r))
-    return F.array_join(padded, "")
+    # a run's length without leading zeros goes first, so runs of any length compare by value
+    bare = F.transform(runs, lambda r: F.regexp_replace(r, "^0+(?=\\d)", ""))
+    sized = F.transform(
+        bare, lambda r: F.when(r.rlike("^\\d"), F.concat(F.lpad(F.length(r).cast("string"), 9, "0"), r)).otherwise(r)
+    )
+    return F.array_join(sized, "")
 
 
 def chapter_group(file_name: Column) -> Column:

@@ -306,6 +306,10 @@ def resolve_xrefs(xrefs: DataFrame, ids: DataFrame, mode: str) -> DataFrame:
 
 
 def merge_topics(toc: DataFrame, topics: DataFrame) -> DataFrame:
-    """Contents rows with their topic's content, fragment of the href ignored."""
+    """Contents rows with their topic's content, fragment of the href ignored.
+
+    Of several topics with one href, the least by its columns counts.
+    """
     keyed = toc.withColumn("_file", F.substring_index("href", "#", 1))
-    return keyed.join(topics.withColumnRenamed("href", "_file"), "_file", "left").drop("_file")
+    single = first_per(topics, ["href"], [c for c in topics.columns if c != "href"])
+    return keyed.join(single.withColumnRenamed("href", "_file"), "_file", "left").drop("_file")

@@ -52,7 +52,8 @@ def folder_path(items: DataFrame, root: str) -> DataFrame:
 def chain_roots(items: DataFrame, scope: str, id_col: str, parent_col: str) -> DataFrame:
     """Add ``root`` and ``hops``: the topmost ancestor reached through rows that are all present.
 
-    A row whose parent is absent is its own root. Parents must not form loops.
+    A row whose parent is absent is its own root. Rows on a loop of parents, and those below one, have no
+    root: ``root`` and ``hops`` are null.
     """
     known = items.select(scope, F.col(id_col).alias(parent_col), F.lit(True).alias("_known"))
     state = items.join(known, [scope, parent_col], "left").select(
@@ -61,20 +62,29 @@ def chain_roots(items: DataFrame, scope: str, id_col: str, parent_col: str) -> D
         F.when(F.col("_known"), F.col(parent_col)).alias("_up"),
         F.when(F.col("_known"), 1).otherwise(0).cast("long").alias("hops"),
     )
+    # reach doubles each round, so only rows that lead into a loop are open after that many
+    rounds_left = items.count().bit_length() + 1
     while True:
         state = settle(state)
         above = state.select(
             scope, F.col("_id").alias("_up"), F.col("_up").alias("_next"), F.col("hops").alias("_more")
         ).where(F.col("_next").isNotNull())
         if state.join(above, [scope, "_up"], "left_semi").isEmpty():
+            looped = None
             break
+        if rounds_left == 0:
+            looped = above.select(scope, "_up", F.lit(True).alias("_looped"))
+            break
+        rounds_left -= 1
         state = state.join(above, [scope, "_up"], "left").select(
             scope,
             "_id",
             F.coalesce("_next", "_up").alias("_up"),
             (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"),
         )
-    found = state.select(
-        scope, F.col("_id").alias(id_col), F.coalesce("_up", "_id").alias("root"), "hops"
-    )
+    root, hops = F.coalesce("_up", "_id"), F.col("hops")
+    if looped is not None:
+        state = state.join(looped, [scope, "_up"], "left")
+        root, hops = [F.when(F.col("_looped").isNull(), c) for c in (root, hops)]
+    found = state.select(scope, F.col("_id").alias(id_col), root.alias("root"), hops.alias("hops"))
     return items.join(found, [scope, id_col])

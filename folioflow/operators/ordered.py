@@ -17,7 +17,6 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -263,7 +262,3 @@ def collected(
         F.lit(0).cast("long").alias("part_no"),
         *[F.col(f"_items._value_{n}").alias(n) for n in values],
     )
-
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -169,24 +169,34 @@ def selected_entries(reviewed: DataFrame) -> DataFrame:
     return reviewed.where(F.upper(T.strip(F.coalesce("color_value", F.lit("")))) == "V")
 
 
+#: chapters below this have a row without entries, too
+DENSE_CHAPTERS = 10_000
+
+
 def order_summary(entries: DataFrame, scope: str) -> DataFrame:
-    """Count per chapter over the full list Q, 1..n (n at least 11), zeros included."""
+    """Count per chapter over the full list Q, 1..n (n at least 11), zeros included.
+
+    The list is dense up to the largest chapter below ``DENSE_CHAPTERS``; chapters beyond it have a row
+    where they have entries.
+    """
     counts = (
         entries.groupBy(scope, chapter_no(F.col("chapter_no")).alias("chapter"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    number = F.expr("try_cast(chapter as bigint)")
     highest = counts.groupBy(scope).agg(
         F.greatest(
-            F.lit(SMALLEST_LAST_CHAPTER), F.coalesce(F.expr("max(try_cast(chapter as int))"), F.lit(0))
-        ).alias("_top")
+            F.lit(SMALLEST_LAST_CHAPTER),
+            F.coalesce(F.max(F.when(number < DENSE_CHAPTERS, number)), F.lit(0)),
+        ).cast("int").alias("_top")
     )
     numbers = F.transform(F.sequence(F.lit(1), F.col("_top")), lambda x: x.cast("string"))
     spine = highest.select(
         scope, F.posexplode(F.concat(F.array(F.lit("Q")), numbers)).alias("position", "chapter")
     )
-    return spine.join(counts, [scope, "chapter"], "left").select(
+    return spine.join(counts, [scope, "chapter"], "full").select(
         scope,
-        F.col("position").cast("long").alias("position"),
+        F.coalesce(F.col("position").cast("long"), number).alias("position"),
         "chapter",
         F.coalesce("n", F.lit(0)).alias("entry_count"),
         (F.coalesce("n", F.lit(0)) * UNIT_PRICE).alias("amount"),

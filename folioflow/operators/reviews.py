@@ -68,7 +68,9 @@ def mention_users(users: DataFrame) -> DataFrame:
 
 
 def with_author(df: DataFrame, users: DataFrame) -> DataFrame:
-    return df.join(users.select("user_id", "user_name"), "user_id", "left")
+    """Add the author's name; of several users with one id, the least name."""
+    names = users.groupBy("user_id").agg(F.min("user_name").alias("user_name"))
+    return df.join(names, "user_id", "left")
 
 
 def reachable(df: DataFrame, comments: DataFrame, docs: DataFrame) -> DataFrame:
@@ -307,10 +309,11 @@ def guarded_update(
 ) -> DataFrame:
     """New table plus ``updated``: only the author's own rows change.
 
-    ``changes`` holds comment_id, user_id and the new values, one row per (comment, user). With
-    ``geometry`` only movable shapes change.
+    ``changes`` holds comment_id, user_id and the new values. Of several rows for one (comment, user) the
+    least by their values counts. With ``geometry`` only movable shapes change.
     """
-    fresh = changes.select(
+    single = first_per(changes.select("comment_id", "user_id", *columns), ["comment_id", "user_id"], list(columns))
+    fresh = single.select(
         "comment_id", "user_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns]
     )
     hit = F.coalesce(F.col("_hit"), F.lit(False))

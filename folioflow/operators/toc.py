@@ -334,23 +334,23 @@ def number_chapters(chapters: DataFrame, listed: DataFrame | None = None) -> Dat
 
 
 def split_topics(rows: DataFrame) -> DataFrame:
-    """One output topic per row; a row that repeats its parent's href gives none."""
+    """One output topic per row; a row that repeats its parent's href gives none, one without href stays."""
     up = rows.select("map_id", F.col("row_no").alias("parent_no"), F.col("href").alias("_up"))
     return rows.join(up, ["map_id", "parent_no"], "left").where(
-        F.col("_up").isNull() | (F.col("href") != F.col("_up"))
+        F.col("_up").isNull() | F.col("href").isNull() | (F.col("href") != F.col("_up"))
     ).drop("_up")
 
 
 def merge_chapters(chapters: DataFrame, order: DataFrame) -> DataFrame:
-    """Chapters in listed order; unlisted ones leave."""
-    return chapters.join(order.select("map_id", "file_name", "ordinal"), ["map_id", "file_name"]).orderBy(
-        "map_id", "ordinal"
-    )
+    """Chapters in listed order; unlisted ones leave, one listed twice takes its first place."""
+    places = order.groupBy("map_id", "file_name").agg(F.min("ordinal").alias("ordinal"))
+    return chapters.join(places, ["map_id", "file_name"]).orderBy("map_id", "ordinal")
 
 
 def title_of(rows: DataFrame, topics: DataFrame) -> DataFrame:
     """Shown title: attribute, title, navigation, link text, topic file title, file name, placeholder."""
-    titles = topics.select(F.col("file_name"), F.col("title").alias("_file_title"))
+    # a file with several titles shows the least
+    titles = topics.groupBy("file_name").agg(F.min("title").alias("_file_title"))
     bare = F.regexp_replace("file_name", "(?i)\\.(dita|ditamap)$", "")
     chain = [
         T.blank_to_null(F.col(c)) for c in ("navtitle_attr", "title", "navtitle", "linktext", "_file_title")

@@ -200,7 +200,6 @@ def translated_texts(spark, d):
     return translated.select("doc_id", "hash", "text", "translated")
 
 
-LANGUAGES = [("EN", "English"), ("fr", "French"), ("De", "German")]
 
 
 @query(

@@ -135,3 +135,11 @@ def test_bookmap_leaves_other_files_out(spark):
     df = spark.createDataFrame([("d", n, i) for i, n in enumerate(names)], "dir string, file_name string, i int")
     got = [r.file_name for r in U.bookmap(df, "dir", "i").orderBy("position").collect()]
     assert got == ["00", "01.txt", "02_Intro.xml"]
+
+
+def test_large_chapters_are_counted(spark):
+    from folioflow.operators import registry
+
+    entries = spark.createDataFrame([(1, "99999999999"), (1, "2")], "doc_id int, chapter_no string")
+    found = {r.chapter: r.entry_count for r in registry.order_summary(entries, "doc_id").collect()}
+    assert found["99999999999"] == 1 and found["2"] == 1 and sum(found.values()) == 2 and found["11"] == 0

@@ -74,3 +74,14 @@ def test_mention_prefers_name_over_id(spark):
     users = spark.createDataFrame([("bob", "Al"), ("z", "bob"), ("y", "bob")], "user_id string, user_name string")
     asked = spark.createDataFrame([("bob",), ("nobody",)], "mention string")
     assert [(r.mention, r.user_id) for r in R.resolve_mentions(asked, users).collect()] == [("bob", "y")]
+
+
+def test_repeated_changes_and_users_do_not_multiply_rows(spark):
+    from folioflow.operators import reviews
+
+    comments = spark.createDataFrame([(1, "u", "old"), (2, "u", "old")], "comment_id int, user_id string, comment_text string")
+    changes = spark.createDataFrame([(1, "u", "b"), (1, "u", "a")], "comment_id int, user_id string, comment_text string")
+    found = reviews.guarded_update(comments, changes, ["comment_text"]).collect()
+    assert sorted((r.comment_id, r.comment_text, r.updated) for r in found) == [(1, "a", True), (2, "old", False)]
+    users = spark.createDataFrame([("u", "Z"), ("u", "A")], "user_id string, user_name string")
+    assert [r.user_name for r in reviews.with_author(comments, users).collect()] == ["A", "A"]

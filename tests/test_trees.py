@@ -235,3 +235,27 @@ def test_bad_messages_are_dropped(spark):
     df = spark.createDataFrame([(1, '{"type":"JOIN","commentId":5}'), (2, "{oops"), (3, "null")], "i int, m string")
     got = E.parse_messages(df, "m", "type string, commentId long").collect()
     assert [(r.i, r.type, r.commentId) for r in got] == [(1, "JOIN", 5)]
+
+
+def test_rows_of_a_parent_loop_have_no_root(spark):
+    from folioflow.operators.hierarchy import chain_roots
+
+    rows = [(1, 1, 2), (1, 2, 1), (1, 3, 2), (1, 4, None), (1, 5, 4), (1, 6, 9)]
+    items = spark.createDataFrame(rows, "map_id int, id int, up int")
+    found = {r.id: (r.root, r.hops) for r in chain_roots(items, "map_id", "id", "up").collect()}
+    assert found == {1: (None, None), 2: (None, None), 3: (None, None), 4: (4, 0), 5: (4, 1), 6: (6, 0)}
+
+
+def test_topics_without_href_stay_and_lookups_are_unique(spark):
+    from folioflow.operators import toc
+
+    rows = spark.createDataFrame(
+        [(1, 1, None, "a"), (1, 2, 1, "a"), (1, 3, 1, None)], "map_id int, row_no int, parent_no int, href string"
+    )
+    assert sorted(r.row_no for r in toc.split_topics(rows).collect()) == [1, 3]
+    shown = spark.createDataFrame(
+        [("a.dita", None, None, None, None)],
+        "file_name string, navtitle_attr string, title string, navtitle string, linktext string",
+    )
+    topics = spark.createDataFrame([("a.dita", "B"), ("a.dita", "A")], "file_name string, title string")
+    assert [r.shown_title for r in toc.title_of(shown, topics).collect()] == ["A"]
