@@ -9,7 +9,7 @@ count per key, which reads the key columns only and combines on the map side. If
 earlier blocks is joined back. The block is computed from the row's own values, so a retried task
 gives the same answer.
 
-Group keys and order columns must not be null.
+Null keys form a group and null order values come first, in blocks as in a plain window.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,6 +90,13 @@ def _sorted(cols: Sequence[str], reverse: bool) -> list[Column]:
     return [F.col(c).desc() if reverse else F.col(c).asc() for c in cols]
 
 
+def _same_group(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
+    """Inner join on ``cols`` where null meets null, as it does in a window."""
+    named = right.select(*[F.col(c).alias(f"_right_{c}") if c in cols else F.col(c) for c in right.columns])
+    match = reduce(lambda a, b: a & b, [left[c].eqNullSafe(named[f"_right_{c}"]) for c in cols])
+    return left.join(named, match).drop(*[f"_right_{c}" for c in cols])
+
+
 def _carry(
     blocks: DataFrame, keys: list[str], levels: list[str], outs: dict[str, Running], reverse: bool
 ) -> DataFrame:
@@ -115,7 +123,7 @@ def _carry(
     above = _carry(parents, keys, levels[:-1], outs, reverse).select(
         *outer, *[F.col(name).alias(f"_above_{name}") for name in outs]
     )
-    return here.join(above, outer).select(
+    return _same_group(here, above, outer).select(
         *keys,
         *levels,
         *[_merge(run, F.col(f"_above_{name}"), F.col(name)).alias(name) for name, run in totals.items()],
@@ -164,8 +172,7 @@ def running(
     carried = _carry(totals, keys, levels, outs, reverse).select(
         *keys, *levels, *[F.col(name).alias(f"_before_{name}") for name in outs]
     )
-    # the join keys are the window's own partitioning, so the row side is not shuffled again
-    joined = local.join(carried, keys + levels)
+    joined = _same_group(local, carried, keys + levels)
     return joined.select(
         *rest,
         *[

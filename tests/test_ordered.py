@@ -95,3 +95,18 @@ def test_collected_agrees_with_gathered(spark, way):
     for r in got:
         assert r.part_no == 0
         assert r.vs == [v for _, _, v in sorted((x for x in rows(9) if x[0] == r.k), key=lambda x: x[1])]
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_null_keys_and_times_stay_in_blocks(spark, monkeypatch, reverse):
+    rows = [(d, None if i % 3 == 0 else f"2024-01-0{i % 7 + 1}", i) for d in (1, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc int, day string, id int")
+
+    def run():
+        blocks = ordered.dated_blocks("day", "id", 4)
+        out = ordered.numbered(df, ["doc"], ["day", "id"], blocks, reverse=reverse)
+        return sorted(((r.doc, r.day, r.id, r.row_no) for r in out.collect()), key=str)
+
+    plain = run()
+    monkeypatch.setattr(ordered, "HOT_ROWS", 0)
+    assert len(plain) == 40 and run() == plain
