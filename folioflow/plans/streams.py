@@ -38,20 +38,19 @@ ROOM_EVENTS = f"""room_events as (
          cast(floor(value) as bigint) as comment_id
   from events)"""
 
-OPENED = """deltas as (select *, case when type = 'JOIN' then 1 else -1 end as delta from room_events
-                       where type in ('JOIN', 'LEAVE')),
-sums as (select *, sum(delta) over (partition by room, user_id order by ts, event_id) as s from deltas),
-opened as (
-  select *, cast(s - least(0, min(s) over (partition by room, user_id order by ts, event_id)) as bigint) as open_sessions
-  from sums)"""
+OPENED = """moves as (select *, event_id % 2 as tab, (type = 'JOIN')::int as is_open from room_events
+                      where type in ('JOIN', 'LEAVE')),
+changes as (select *, is_open - coalesce(lag(is_open) over
+              (partition by room, user_id, tab order by ts, event_id), 0) as change from moves),
+opened as (select *, cast(sum(change) over (partition by room, user_id order by ts, event_id) as bigint) as open_sessions
+           from changes)"""
 
 
 @query(
     sql(
         ROOM_EVENTS, OPENED,
         body="""
-, steps as (select *, (open_sessions > 0)::int - coalesce((lag(open_sessions) over
-              (partition by room, user_id order by ts, event_id) > 0)::int, 0) as step from opened)
+, steps as (select *, (open_sessions > 0)::int - (open_sessions - change > 0)::int as step from opened)
 select event_id, room, user_id, open_sessions,
        cast(sum(step) over (partition by room order by ts, event_id) as bigint) as present_users from steps
 """,
@@ -75,7 +74,7 @@ select room, count(distinct user_id) as present_users from last_moves where type
 )
 def presence_stream(spark, d):
     """Users with an open session, two browser tabs each, after the stream has taken all events."""
-    return E.present_users(E.drain(E.presence_stream(stream_events(spark, d)), "update"))
+    return E.present_users(E.drain(E.presence_stream(stream_events(spark, d)), combine=E.last_moves))
 
 
 EDITING = """room_comments as (select p_partkey as comment_id, cast(p_size as bigint) as doc_id from part),
@@ -120,10 +119,16 @@ def editing_intervals(spark, d):
     return E.editing_intervals(events, comments)
 
 
-@query(sql(ROOM_EVENTS, body="select distinct room as doc_id from room_events"))
+@query(
+    sql(
+        ROOM_EVENTS,
+        body="select distinct room as doc_id, time_bucket(interval '10 minutes', ts) as signal_at from room_events",
+    )
+)
 def change_signals(spark, d):
+    """One signal per document and ten minutes."""
     changes = stream_events(spark, d).withColumnRenamed("room", "doc_id")
-    return E.drain(E.change_feed(changes)).select("doc_id")
+    return E.signals(E.drain(E.change_feed(changes), combine=E.signals))
 
 
 JOB_LOG = """job_log as (
@@ -166,7 +171,7 @@ def job_runs(spark, d):
 def job_stream(spark, d):
     schema = read_table(spark, d, "events").schema
     log = job_log(E.read_events(spark, d, schema, "events.parquet"))
-    return E.merge_runs(E.drain(E.job_stream(log), "update"))
+    return E.merge_runs(E.drain(E.job_stream(log), combine=E.ends_of_runs))
 
 
 @query(
@@ -185,6 +190,7 @@ def alert_stream(spark, d):
     schema = read_table(spark, d, "orders").schema
     said = E.read_events(spark, d, schema, "orders.parquet").selectExpr(
         "o_orderkey as comment_id", "o_custkey as doc_id", "concat('id', cast(o_orderkey as string)) as comment_code",
-        "concat('Look @C', cast(o_custkey as string), ' @nobody') as comment_text",
+        "concat('Look @C', cast(o_custkey as string), ' @nobody @C', cast(o_custkey as string)) as comment_text",
     )
-    return E.drain(E.alert_stream(said, role.users(spark, d), role.docs(spark, d))).drop("batch_no")
+    sent = E.alert_stream(said, role.users(spark, d), role.docs(spark, d))
+    return E.drain(sent, combine=E.alerts).drop("batch_no")

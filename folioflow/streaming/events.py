@@ -1,14 +1,16 @@
 """Event streams of live review rooms and job logs, with batch twins.
 
 Events carry (event_id, ts, room, user_id, session, type, comment_id). The specified behaviour keeps
-its state in memory for ever and has no rule for late rows. Here a watermark bounds the state: streams
-emit small mergeable updates per day, rows later than the delay are dropped, and a batch step merges
-the updates. The batch twins read the same events as a table.
+its state in memory for ever and has no rule for late rows. Here streams keep no state: they emit small
+updates that merge by least and greatest values, each micro-batch is combined before it is written, and
+a batch step merges all of them. So the answer depends neither on how rows fall into batches nor on how
+late they come. The batch twins read the same events as a table.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,57 +53,52 @@ def parse_messages(df: DataFrame, column: str, schema: str) -> DataFrame:
 # -- presence --------------------------------------------------------------------------------
 
 
-def _delta(events: DataFrame) -> DataFrame:
-    step = F.when(F.col("type") == JOIN, 1).when(F.col("type") == LEAVE, -1)
-    return events.withColumn("delta", step.cast("long")).where(F.col("delta").isNotNull())
-
-
 def presence_changes(events: DataFrame) -> DataFrame:
-    """Open sessions per room and user after every join or leave.
+    """Open sessions per room and user after every join or leave, and by how much it changed them.
 
-    A leave without an open session changes nothing: open = sum - min(0, running minimum of sum).
+    A session is open from a join to its next leave; a repeated join, or a leave of a closed session,
+    has ``session_change`` 0.
     """
-    keys, order, blocks = ["room", "user_id"], ["ts", "event_id"], time_blocks("ts")
-    summed = running(_delta(events), keys, order, blocks, {"_sum": Running("sum", F.col("delta"))})
-    low = running(settle(summed), keys, order, blocks, {"_low": Running("min", F.col("_sum"))})
-    now = F.col("_sum") - F.least(F.lit(0), F.col("_low"))
-    return low.withColumn("open_sessions", now.cast("long")).drop("_sum", "_low", "delta")
+    order, blocks = ["ts", "event_id"], time_blocks("ts")
+    moves = events.where(F.col("type").isin(JOIN, LEAVE)).withColumn("_open", (F.col("type") == JOIN).cast("long"))
+    previous = running(
+        moves, ["room", "user_id", "session"], order, blocks,
+        {"_was": Running("last", F.col("_open"), exclusive=True)},
+    )
+    change = F.col("_open") - F.coalesce("_was", F.lit(0))
+    stepped = settle(previous.withColumn("session_change", change).drop("_open", "_was"))
+    return running(
+        stepped, ["room", "user_id"], order, blocks, {"open_sessions": Running("sum", F.col("session_change"))}
+    )
 
 
 def presence(events: DataFrame) -> DataFrame:
     """Distinct present users of a room after every join or leave."""
-    keys, order, blocks = ["room", "user_id"], ["ts", "event_id"], time_blocks("ts")
-    opened = settle(presence_changes(events))
-    previous = running(
-        opened, keys, order, blocks, {"_was": Running("last", F.col("open_sessions"), exclusive=True)}
-    )
-    step = (F.col("open_sessions") > 0).cast("long") - (F.coalesce("_was", F.lit(0)) > 0).cast("long")
-    stepped = settle(previous.withColumn("_step", step).drop("_was"))
+    before = F.col("open_sessions") - F.col("session_change")
+    step = (F.col("open_sessions") > 0).cast("long") - (before > 0).cast("long")
+    stepped = settle(presence_changes(events).withColumn("_step", step))
     room = {"present_users": Running("sum", F.col("_step"))}
-    return running(stepped, ["room"], order, blocks, room).drop("_step")
+    return running(stepped, ["room"], ["ts", "event_id"], time_blocks("ts"), room).drop("_step")
 
 
-def presence_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Last join or leave of every session, as a stream of updates.
+def presence_stream(events: DataFrame) -> DataFrame:
+    """Every join or leave of a session, as a stream of updates without state.
 
-    Keyed by room, user and session, so a crowded room is spread out and combines on the map side.
-    Day windows bound the state: a day is forgotten once the watermark has passed it, and rows later
-    than ``delay`` are dropped. :func:`present_users` merges the updates.
+    :func:`last_moves` combines the updates of a micro-batch, :func:`present_users` merges all of them;
+    the greatest (ts, event_id) wins, so late rows count and repeated ones do no harm.
     """
-    moves = events.where(F.col("type").isin(JOIN, LEAVE)).withWatermark("ts", delay)
-    last = F.max(F.struct("ts", "event_id", "type")).alias("last")
-    return (
-        moves.groupBy(F.window("ts", "1 day"), "room", "user_id", "session")
-        .agg(last)
-        .select("room", "user_id", "session", "last")
-    )
+    moves = events.where(F.col("type").isin(JOIN, LEAVE))
+    return moves.select("room", "user_id", "session", F.struct("ts", "event_id", "type").alias("last"))
+
+
+def last_moves(updates: DataFrame) -> DataFrame:
+    """The last move of every session."""
+    return updates.groupBy("room", "user_id", "session").agg(F.max("last").alias("last"))
 
 
 def present_users(updates: DataFrame) -> DataFrame:
     """Distinct users with an open session per room; repeated updates do no harm."""
-    keys = ["room", "user_id", "session"]
-    now = updates.groupBy(*keys).agg(F.max("last").alias("last"))
-    opened = now.where(F.col("last.type") == JOIN).select("room", "user_id").distinct()
+    opened = last_moves(updates).where(F.col("last.type") == JOIN).select("room", "user_id").distinct()
     return opened.groupBy("room").agg(F.count(F.lit(1)).alias("present_users"))
 
 
@@ -149,16 +146,34 @@ def editing_intervals(events: DataFrame, comments: DataFrame) -> DataFrame:
 # -- change signals and alerts ---------------------------------------------------------------
 
 
-def change_feed(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """One payload-free signal per document, repeated at most once per delay."""
-    return changes.withWatermark("ts", delay).select("doc_id", "ts").dropDuplicatesWithinWatermark(["doc_id"])
+def change_feed(changes: DataFrame, delay_s: int = 600) -> DataFrame:
+    """Payload-free signals (doc_id, signal_at) with the begin of the delay that a change falls into.
+
+    :func:`signals` makes them distinct: at most one per document and delay, however the changes fall
+    into micro-batches.
+    """
+    begin = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / F.lit(delay_s)) * F.lit(delay_s))
+    return changes.select("doc_id", begin.alias("signal_at"))
+
+
+def signals(updates: DataFrame) -> DataFrame:
+    """One signal per document and delay; combines a micro-batch and merges all of them."""
+    return updates.select("doc_id", "signal_at").distinct()
 
 
 def alert_stream(comments: DataFrame, users: DataFrame, docs: DataFrame) -> DataFrame:
-    """Mention alerts for new comments; users and documents are tables."""
+    """Mention alerts for new comments; users and documents are tables.
+
+    Two mentions of one user sit in one comment and so in one micro-batch: :func:`alerts` combines them.
+    """
     return R.mention_rows(comments, users, docs)
 
 
+def alerts(updates: DataFrame) -> DataFrame:
+    """One alert per comment and user."""
+    return updates.select("comment_id", "target_user", "message").distinct()
+
+
 # -- job log ---------------------------------------------------------------------------------
 
 
@@ -175,44 +190,46 @@ def _finished(runs: DataFrame) -> DataFrame:
 
 def job_runs(log: DataFrame) -> DataFrame:
     """One row per job: start, finish, state and elapsed milliseconds; unfinished jobs stay STARTED."""
-    begun = F.when(F.col("status") == STARTED, F.col("ts"))
-    ended = F.when(F.col("status") != STARTED, F.struct("ts", "status"))
-    return _finished(log.groupBy("id").agg(F.min(begun).alias("started_at"), F.max(ended).alias("_end")))
+    return merge_runs(job_stream(log))
 
 
-def job_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Starts and finishes per job and day, as a stream of updates; :func:`merge_runs` joins them.
+def job_stream(log: DataFrame) -> DataFrame:
+    """Starts and finishes of jobs, as a stream of updates without state.
 
-    Day windows bound the state, so a job may run for longer than any window.
+    :func:`ends_of_runs` combines the updates of a micro-batch, :func:`merge_runs` merges all of them,
+    so a finish may come as late as it likes.
     """
     begun = F.when(F.col("status") == STARTED, F.col("ts"))
     ended = F.when(F.col("status") != STARTED, F.struct("ts", "status"))
-    return (
-        log.withWatermark("ts", delay)
-        .groupBy(F.window("ts", "1 day"), "id")
-        .agg(F.min(begun).alias("begun"), F.max(ended).alias("ended"))
-        .select("id", "begun", "ended")
-    )
+    return log.select("id", begun.alias("begun"), ended.alias("ended"))
+
+
+def ends_of_runs(updates: DataFrame) -> DataFrame:
+    """First start and last finish of every job."""
+    return updates.groupBy("id").agg(F.min("begun").alias("begun"), F.max("ended").alias("ended"))
 
 
 def merge_runs(updates: DataFrame) -> DataFrame:
     """Job rows from stream updates; repeated updates do no harm."""
-    runs = updates.groupBy("id").agg(F.min("begun").alias("started_at"), F.max("ended").alias("_end"))
-    return _finished(runs)
+    return _finished(ends_of_runs(updates).select("id", F.col("begun").alias("started_at"), F.col("ended").alias("_end")))
 
 
 # -- running a stream to its end -------------------------------------------------------------
 
-def drain(stream: DataFrame, output_mode: str = "append") -> DataFrame:
+def drain(
+    stream: DataFrame, output_mode: str = "append", combine: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Process what is there now and return all emitted rows with their batch number.
 
+    ``combine`` shortens the rows of a micro-batch before they are kept; it must not change the columns.
     Rows go to a table in the shared folder, one folder per batch; a repeated batch overwrites its own.
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/rows/batch_no={number}")
+        rows = batch if combine is None else combine(batch)
+        rows.write.mode("overwrite").parquet(f"{base}/rows/batch_no={number}")
 
     query = (
         stream.writeStream.outputMode(output_mode)

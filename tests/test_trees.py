@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import hierarchy as H
@@ -226,11 +227,41 @@ def test_streams_agree_with_tables(spark, tmp_path):
     df = spark.createDataFrame(log, "s long, id long, status string").select(F.timestamp_seconds("s").alias("ts"), "id", "status")
     df.repartition(1).write.parquet(str(tmp_path / "log"))
     stream = E.read_events(spark, str(tmp_path / "log"), df.schema)
-    merged = E.merge_runs(E.drain(E.job_stream(stream), "update"))
+    merged = E.merge_runs(E.drain(E.job_stream(stream), combine=E.ends_of_runs))
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, E.job_runs(df).collect()))
     assert {r.id: (r.status, r.elapsed_ms) for r in merged.collect()} == {1: ("FAILED", 1000), 2: ("STARTED", None), 4: ("SUCCESS", 110000000)}
 
 
+@pytest.mark.parametrize("n_files", [1, 3, 10])
+def test_streams_do_not_depend_on_batches_or_order(spark, tmp_path, n_files):
+    log = [
+        (i, 40_000 * (i * 7 % 20), i % 2, i % 3, "t" if i % 5 else "u", ["JOIN", "LEAVE", "JOIN"][i % 3]) for i in range(40)
+    ]
+    df = spark.createDataFrame(log, "event_id long, s long, room long, user_id long, session string, type string")
+    df = df.withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    # the newest events come in the first file
+    df.orderBy(F.desc("ts")).repartitionByRange(n_files, F.desc("ts")).write.parquet(str(tmp_path / "log"))
+    stream = E.read_events(spark, str(tmp_path / "log"), df.schema, files_per_batch=1)
+
+    last = {}
+    for r in df.orderBy("ts", "event_id").collect():
+        last[r.room, r.user_id, r.session] = r.type
+    rooms = {}
+    for (room, user, _), kind in last.items():
+        if kind == "JOIN":
+            rooms.setdefault(room, set()).add(user)
+    got = E.present_users(E.drain(E.presence_stream(stream), combine=E.last_moves))
+    assert {r.room: r.present_users for r in got.collect()} == {k: len(v) for k, v in rooms.items()}
+    ends = E.presence(df).groupBy("room").agg(F.max_by("present_users", F.struct("ts", "event_id")).alias("n"))
+    assert {r.room: r.n for r in ends.where("n > 0").collect()} == {k: len(v) for k, v in rooms.items()}
+
+    changes = stream.select(F.col("room").alias("doc_id"), "ts")
+    sent = E.signals(E.drain(E.change_feed(changes, 86_400), combine=E.signals))
+    days = {(room, s // 86_400) for _, s, room, *_ in log}
+    got = sent.select("doc_id", F.unix_seconds("signal_at").alias("at")).collect()
+    assert sorted((r.doc_id, r["at"] / 86_400) for r in got) == sorted(days)
+
+
 def test_bad_messages_are_dropped(spark):
     df = spark.createDataFrame([(1, '{"type":"JOIN","commentId":5}'), (2, "{oops"), (3, "null")], "i int, m string")
     got = E.parse_messages(df, "m", "type string, commentId long").collect()
