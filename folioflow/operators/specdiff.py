@@ -30,7 +30,8 @@ def collapse_rows(rows: DataFrame, scope: str, per_part: int = 1000) -> tuple[Da
 
     Input rows are (scope, row_no, item, description, cells array). Returns items (first row number,
     description, column count, highlight flag) and cells (item, col_no, part_no, value): per column
-    the non-blank cells of all rows joined by spaces in row order. Very long joins come in parts.
+    the non-blank cells of all rows joined by spaces in row order, '' if there are none. Very long joins
+    come in parts.
     """
     filled = fill_items(rows, scope)
     marked = F.exists("cells", lambda c: F.contains(c, F.lit(HIGHLIGHT_MARK)))
@@ -51,11 +52,14 @@ def collapse_rows(rows: DataFrame, scope: str, per_part: int = 1000) -> tuple[Da
     joined = collected(
         long, keys, ["row_no"], number_blocks("row_no"), {"values": F.col("value")}, per_part
     ).select(*keys, "part_no", F.array_join("values", " ").alias("value"))
-    # columns beyond the first row's width are not part of the table
-    kept = joined.join(items.select(scope, "item", "column_count"), [scope, "item"]).where(
-        F.col("col_no") <= F.col("column_count")
+    # the first row's width is the item's: columns beyond it leave, blank ones within it stay
+    wide = items.where("column_count > 0").select(
+        scope, "item", F.explode(F.sequence(F.lit(1).cast("long"), F.col("column_count"))).alias("col_no")
     )
-    return items, kept.drop("column_count")
+    cells = wide.join(joined, keys, "left").select(
+        *keys, F.coalesce("part_no", F.lit(0)).alias("part_no"), F.coalesce("value", F.lit("")).alias("value")
+    )
+    return items, cells
 
 
 def with_lookups(items: DataFrame, authors: DataFrame, important: DataFrame) -> DataFrame:
@@ -105,15 +109,23 @@ def merge_versions(after: DataFrame, before: DataFrame, scope: str) -> DataFrame
 
 
 def diff_cells(after: DataFrame, before: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cells of common columns, with both values and a changed flag.
+    """Cells of common columns of the rows that both versions hold, with both values and a changed flag.
 
-    Inputs are (keys, column, value), one value per key and column. Columns found in one version only
-    do not take part.
+    Inputs are (keys, column, value), one value per key and column; the last key names the row, those
+    before it the table. Columns that a table has in one version only do not take part. A cell that is
+    missing or null in one version counts as blank there.
     """
+    keys = list(keys)
     left = after.select(*keys, "column", F.col("value").alias("after_value"))
     right = before.select(*keys, "column", F.col("value").alias("before_value"))
-    return left.join(right, [*keys, "column"]).withColumn(
-        "changed", ~F.col("after_value").eqNullSafe(F.col("before_value"))
+
+    def shared(on: list[str]) -> DataFrame:
+        return after.select(*on).distinct().join(before.select(*on).distinct(), on, "left_semi")
+
+    columns = [*keys[:-1], "column"]
+    cells = left.join(right, [*keys, "column"], "full_outer").fillna("", ["after_value", "before_value"])
+    return cells.join(shared(keys), keys, "left_semi").join(shared(columns), columns, "left_semi").withColumn(
+        "changed", F.col("after_value") != F.col("before_value")
     )
 
 

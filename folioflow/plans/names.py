@@ -306,14 +306,14 @@ def annotation_geometry(spark, d):
 
 @query(
     """
-with files as (select p_type || '/' || p_brand as dir, p_name as file_name, p_type as root from part where p_size < 40),
+with files as (select p_type || '/' || p_brand as dir, p_name as file_name, p_type as root from part),
 counts as (select root, dir, count(*) as n from files group by 1, 2)
 select root, dir, n as file_count from (
   select *, row_number() over (partition by root order by n desc, dir desc) as rn from counts) where rn = 1
 """
 )
 def representative_dirs(spark, d):
-    files = read_table(spark, d, "part").where("p_size < 40").selectExpr(
+    files = read_table(spark, d, "part").selectExpr(
         "p_type as root", "concat(p_type, '/', p_brand) as dir", "p_name as file_name"
     )
     return U.representative_dir(files, ["root"])

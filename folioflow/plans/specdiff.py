@@ -194,6 +194,50 @@ def row_states(spark, d):
     return S.diff_rows(after, before, cells, KEYS)
 
 
+def blank_version(spark, d, threshold):
+    """Sheet rows in which the value column is blank for parts above a price, so items differ by a blank only."""
+    return read_table(spark, d, "part").selectExpr(
+        "p_type as sheet", "p_partkey as row_no",
+        "case when p_size > 30 then ' ' else concat(p_name, ' ', p_brand) end as item", "p_name as description",
+        f"array(p_brand, case when p_retailprice > {threshold} then ' ' else cast(p_size as string) end) as cells",
+    )
+
+
+def blank_versions_sql():
+    """Both versions, collapsed to one value per item and column."""
+    item = "case when p_size > 30 then '' else p_name || ' ' || p_brand end"
+    out = []
+    for name, threshold in (("after", 1200), ("before", 1500)):
+        value = f"case when p_retailprice > {threshold} then null else cast(p_size as varchar) end"
+        out.append(
+            f"""{name}_raw as (select p_type as sheet, p_partkey as row_no, p_brand as c1, {value} as c2, {item} as raw_item
+  from part),
+{name}_items as (select *, coalesce(last_value(nullif(raw_item, '') ignore nulls) over
+  (partition by sheet order by row_no rows unbounded preceding), '') as item from {name}_raw),
+{name}_cells as (select sheet, item, string_agg(c1, ' ' order by row_no) as c1,
+  coalesce(string_agg(c2, ' ' order by row_no), '') as c2 from {name}_items group by 1, 2)"""
+        )
+    return ", ".join(out)
+
+
+@query(
+    sql(
+        blank_versions_sql(),
+        body="""
+select sheet, item, case when a.c1 <> b.c1 or a.c2 <> b.c2 then 'changed' else '' end as state
+from after_cells a join before_cells b using (sheet, item)
+""",
+    )
+)
+def collapsed_row_states(spark, d):
+    """States of collapsed items, blank cells included."""
+    sides = [
+        S.collapse_rows(blank_version(spark, d, threshold), "sheet")[1].withColumnRenamed("col_no", "column")
+        for threshold in (1200, 1500)
+    ]
+    return S.diff_rows(*sides, S.diff_cells(*sides, KEYS), KEYS)
+
+
 @query(
     sql(
         VERSIONS,
@@ -213,15 +257,18 @@ def side_by_side(spark, d):
     )
 
 
-HEADERS = """after_headers as (select p_type as sheet, p_brand as name, min(p_partkey) as pos from part
-                               where p_size < 20 group by 1, 2),
-before_headers as (select p_type as sheet, p_brand as name, min(p_partkey) as pos from part
-                   where p_size > 35 group by 1, 2)"""
+HEADERS = """after_headers as (select p_type as sheet, p_brand || ' ' || p_size as name, min(p_partkey) as pos from part
+                               where p_size < 30 group by 1, 2),
+before_headers as (select p_type as sheet, p_brand || ' ' || p_size as name, min(p_partkey) as pos from part
+                   where p_size >= 20 group by 1, 2)"""
 
 
 def headers(spark, d):
-    part = read_table(spark, d, "part").selectExpr("p_type as sheet", "p_brand as name", "p_partkey", "p_size")
-    keyed = [part.where("p_size < 20"), part.where("p_size > 35")]
+    """Headers of two versions that overlap; every part is in one of them."""
+    part = read_table(spark, d, "part").selectExpr(
+        "p_type as sheet", "concat(p_brand, ' ', p_size) as name", "p_partkey", "p_size"
+    )
+    keyed = [part.where("p_size < 30"), part.where("p_size >= 20")]
     return [df.groupBy("sheet", "name").agg(F.min("p_partkey").alias("pos")) for df in keyed]
 
 
