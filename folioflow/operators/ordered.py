@@ -38,8 +38,14 @@ def time_blocks(col: str, grain: str = "minute") -> list[Column]:
 
 
 def dated_blocks(time_col: str, id_col: str, width: int = BLOCK_ROWS) -> list[Column]:
-    """Blocks for rows ordered by a coarse timestamp and then a unique id."""
-    return [F.col(time_col), F.expr(f"`{id_col}` div {width}")]
+    """Blocks for rows ordered by a timestamp, coarse or fine, and then a unique id."""
+    time = F.col(time_col)
+    return [F.date_trunc("day", time), F.date_trunc("minute", time), time, F.expr(f"`{id_col}` div {width}")]
+
+
+def name_blocks(col: str) -> list[Column]:
+    """Blocks for a string order column: beginnings of growing length, then the whole string."""
+    return [*[F.substring(col, 1, size) for size in (1, 2, 4, 8, 16)], F.col(col)]
 
 
 @dataclass(frozen=True)
@@ -145,15 +151,16 @@ def running(
     blocks: Sequence[Column],
     outs: dict[str, Running],
     reverse: bool = False,
+    in_blocks: bool = False,
 ) -> DataFrame:
     """Add running values per group in the given order.
 
     ``order`` must be unique within a group; ``blocks`` are order-preserving, coarse to fine.
-    ``reverse`` walks the group from its end.
+    ``reverse`` walks the group from its end; ``in_blocks`` walks in blocks whatever the sizes.
     """
     keys, order = list(keys), list(order)
     rest = [c for c in df.columns if c not in outs]
-    if not has_hot_group(df, keys):
+    if not in_blocks and not has_hot_group(df, keys):
         whole = Window.partitionBy(*keys).orderBy(*_sorted(order, reverse))
         return df.select(*rest, *[_local(run, _frame(whole, run)).alias(n) for n, run in outs.items()])
     levels = [f"_block{i}" for i in range(len(blocks))]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from .ordered import Running, first_per, numbered, running
+from .ordered import Running, first_per, name_blocks, numbered, running
 
 
 def insert_missing(
@@ -26,15 +26,17 @@ def delete_keys(table: DataFrame, keys: DataFrame) -> DataFrame:
 def register(table: DataFrame, items: DataFrame, external: str, id_col: str) -> DataFrame:
     """Get or create: known external ids keep their row, new ones get ids above the highest.
 
-    New ids are dense: rows are numbered by a range-partitioned prefix count over the external id's
-    hash bucket, so no task sees all new rows.
+    New ids are dense: rows are numbered inside hash buckets of the external id and a scan over the
+    buckets' counts is added, so no task sees all new rows.
     """
     others = [c for c in items.columns if c != external]
     fresh = first_per(items, [external], others) if others else items.distinct()
     new = fresh.join(table.select(external), external, "left_anti")
     bucket = F.pmod(F.xxhash64(external), F.lit(4096)).alias("_bucket")
     one = new.select("*", bucket, F.lit(0).alias("_all"))
-    placed = running(one, ["_all"], ["_bucket", external], [F.col("_bucket")], {"_n": Running("count")})
+    placed = running(
+        one, ["_all"], ["_bucket", external], [F.col("_bucket")], {"_n": Running("count")}, in_blocks=True
+    )
     top = table.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
     made = placed.withColumn(id_col, top.scalar() + F.col("_n"))
     return table.unionByName(made.select(*table.columns))
@@ -113,7 +115,7 @@ def order_chapters(files: DataFrame, scope: str, tie: str) -> DataFrame:
         }
     )
     order = ["_group", "_number", "_name", tie]
-    blocks = [F.col("_group"), F.col("_number"), F.col("_name")]
+    blocks = [F.col("_group"), F.col("_number"), *name_blocks("_name")]
     placed = numbered(keyed, [scope], order, blocks, out="position")
     return placed.drop("_group", "_number", "_name")
 

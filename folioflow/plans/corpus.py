@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import text as T
 from ..operators import corpus as C
+from ..operators.ordered import number_blocks
 from ..session import read_table, read_texts, settle
 from .catalog import query
 from .roles import sql
@@ -110,7 +111,7 @@ def unchanged_sentences(spark, d):
         "the",
         ["map_title"],
         ["doc_id", "pos"],
-        [F.col("doc_id")],
+        [*number_blocks("doc_id"), F.col("doc_id")],
     )
     return listed.select("map_title", "doc_id", "pos", "text", "list_no")
 

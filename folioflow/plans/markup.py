@@ -10,7 +10,7 @@ from ..operators import hierarchy as H
 from ..operators import layout as L
 from ..operators import markup as M
 from ..operators import toc as O
-from ..operators.ordered import numbered, time_blocks
+from ..operators.ordered import number_blocks, numbered, time_blocks
 from ..session import read_table, read_texts, settle
 from ..sources import markup as S
 from .catalog import query
@@ -201,7 +201,7 @@ def natural_order(spark, d):
     """Place of every document among those of its language, sources in natural order (src9 before src10)."""
     docs = read_table(spark, d, "documents").select("doc_id", "source", "lang")
     keyed = docs.withColumn("key", F.collate(N.natural_key(F.col("source")), "UNICODE_CI_AI"))
-    placed = numbered(keyed, ["lang"], ["key", "doc_id"], [F.col("key")], "place")
+    placed = numbered(keyed, ["lang"], ["key", "doc_id"], [F.col("key"), *number_blocks("doc_id")], "place")
     return placed.select("doc_id", "lang", "source", "place")
 
 
