@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,23 +185,60 @@ META = "\\.^$|?*+()[]{}"
 BORDER_BEFORE = "(^|\\s+|\\p{Ps})"
 BORDER_AFTER = "(\\s+|\\p{P}|\\p{Pe}|$)"
 TERM = '<term translate="no">{}</term>'
-MAX_TERMS = 5000
+LETTER_RUN = "[\\p{L}\\p{N}]+"
 
 
-def term_pattern(terms: Sequence[str]) -> str:
-    """One alternation of all terms, longest first, given order kept among equals."""
-    usable = [t for t in terms if t.strip()]
-    if len(usable) > MAX_TERMS:
-        raise ValueError(f"{len(usable)} terms: a pattern holds at most {MAX_TERMS}")
-    escaped = [
-        "".join("\\" + c if c in META else c for c in t) for t in sorted(usable, key=len, reverse=True)
-    ]
-    return f"{BORDER_BEFORE}({'|'.join(escaped)}){BORDER_AFTER}"
+def usable_terms(terms: DataFrame) -> DataFrame:
+    """Distinct terms that are not blank, with an anchor and their escaped form.
 
+    The anchor is the longest run of letters and digits in the term. A term stands between borders that
+    are neither, so wherever it matches, its anchor is a whole run of the text as well.
+    """
+    runs = F.regexp_extract_all("term", F.lit(LETTER_RUN), 0)
+    longest = F.array_sort(runs, lambda a, b: F.length(b) - F.length(a))
+    special = "([" + "".join("\\" + c for c in META) + "])"
+    return (
+        terms.select("term")
+        .where(F.trim("term") != "")
+        .distinct()
+        .select(
+            "term",
+            F.coalesce(F.get(longest, F.lit(0)), F.lit("")).alias("_anchor"),
+            F.regexp_replace("term", special, "\\\\$1").alias("_escaped"),
+        )
+    )
+
+
+def with_term_pattern(df: DataFrame, text: str, terms: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_pattern``: an alternation of the terms that occur in the row's text, longest first, or null.
 
-def tag_terms(text: Column, terms: Sequence[str], skip: Column | None = None) -> Column:
+    Any number of terms will do: texts meet terms in a join on anchors, and each text's own hits make its
+    pattern. ``keys`` name the row; rows that share them get the same candidates, which their own text
+    then filters. Null texts have no pattern.
+    """
+    keys = list(keys)
+    found = F.array_union(F.regexp_extract_all(text, F.lit(LETTER_RUN), 0), F.array(F.lit("")))
+    words = df.select(*keys, F.explode(found).alias("_anchor"))
+    hits = (
+        words.join(usable_terms(terms), "_anchor")
+        .groupBy(*keys)
+        .agg(F.collect_set(F.struct("term", "_escaped")).alias("_hits"))
+        .select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_hits")
+    )
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hits[f"_of_{k}"]) for k in keys])
+    joined = df.join(hits, same, "left")
+    present = F.filter("_hits", lambda h: F.contains(F.col(text), h["term"]))
+    ordered = F.array_sort(present, lambda a, b: F.length(b["term"]) - F.length(a["term"]))
+    any_of = F.array_join(F.transform(ordered, lambda h: h["_escaped"]), "|")
+    pattern = F.concat(F.lit(f"{BORDER_BEFORE}("), any_of, F.lit(f"){BORDER_AFTER}"))
+    return joined.select(*df.columns, F.when(any_of != "", pattern).alias("_pattern"))
+
+
+def tag_terms(text: Column, pattern: Column, skip: Column | None = None) -> Column:
     """Mark terms as not to be translated; ``skip`` marks texts in places where nothing is tagged."""
-    tagged = F.regexp_replace(text, term_pattern(terms), f"$1{TERM.format('$2')}$3")
+    tagged = F.when(pattern.isNull(), text).otherwise(
+        F.regexp_replace(text, pattern, F.lit(f"$1{TERM.format('$2')}$3"))
+    )
     return tagged if skip is None else F.when(skip, text).otherwise(tagged)
 
 

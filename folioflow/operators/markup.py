@@ -44,7 +44,7 @@ def prune(nodes: DataFrame, rule: Column, doc: str = "doc_id") -> DataFrame:
     return inside(nodes, rule, "_gone", doc).where(~F.col("_gone")).drop("_gone")
 
 
-def tag_node_terms(nodes: DataFrame, terms: Sequence[str], doc: str = "doc_id") -> DataFrame:
+def tag_node_terms(nodes: DataFrame, terms: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Mark terms in text nodes as not to be translated.
 
     Mode names and letters before a colon are marked everywhere; dictionary terms are not marked in
@@ -52,6 +52,7 @@ def tag_node_terms(nodes: DataFrame, terms: Sequence[str], doc: str = "doc_id")
     """
     untouched = F.col("tag").isin(*MARKED_TAGS) & (F.col("attrs")["translate"] == "no")
     flagged = inside(nodes, F.coalesce(untouched, F.lit(False)), "_marked", doc)
+    flagged = C.with_term_pattern(flagged, "text", terms, [doc, "node_id"])
     text = F.col("text")
     skip = F.col("_marked") | F.arrays_overlap("tag_path", F.array(*[F.lit(t) for t in UNTAGGED_IN]))
     tagged = (
@@ -60,9 +61,9 @@ def tag_node_terms(nodes: DataFrame, terms: Sequence[str], doc: str = "doc_id")
             F.regexp_replace(text, MODE_PATTERN, C.TERM.format("$1") + "$2"),
         )
         .when(text.rlike(COLON_LETTER), F.regexp_replace(text, COLON_LETTER, "$1" + C.TERM.format("$2") + ":"))
-        .otherwise(C.tag_terms(text, terms, skip))
+        .otherwise(C.tag_terms(text, F.col("_pattern"), skip))
     )
-    return flagged.withColumn("text", F.when(F.col("tag") == "#text", tagged).otherwise(text)).drop("_marked")
+    return flagged.withColumn("text", F.when(F.col("tag") == "#text", tagged).otherwise(text)).drop("_marked", "_pattern")
 
 
 def drop_attrs(nodes: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -233,7 +233,9 @@ from documents
 )
 def term_tags(spark, d):
     docs = read_texts(spark, d, "documents", "doc_id", "text")
-    return docs.select("doc_id", C.tag_terms(F.col("text"), TERMS).alias("text"))
+    terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
+    hit = C.with_term_pattern(docs, "text", terms, ["doc_id"])
+    return hit.select("doc_id", C.tag_terms(F.col("text"), F.col("_pattern")).alias("text"))
 
 
 @query(

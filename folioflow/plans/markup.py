@@ -312,5 +312,6 @@ def chapter_numbers(spark, d):
 @query()
 def node_terms(spark, d):
     """Marked text nodes of all pages; tested on a small fixture."""
-    tagged = M.tag_node_terms(page_nodes(spark, d), ["The", "la", "en"], "page_id")
+    terms = spark.createDataFrame([("The",), ("la",), ("en",)], "term string")
+    tagged = M.tag_node_terms(page_nodes(spark, d), terms, "page_id")
     return tagged.where(F.contains("text", F.lit("<term"))).select("page_id", "node_id", "text")

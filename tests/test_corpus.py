@@ -81,10 +81,28 @@ def test_translation(spark):
     assert got == {1: ("Bonjour", True), 2: ("Other", False)}
 
 
+def tagged(spark, texts, terms):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    listed = spark.createDataFrame([(t,) for t in terms], "term string")
+    hit = C.with_term_pattern(df, "text", listed, ["id"])
+    rows = hit.select("id", C.tag_terms(F.col("text"), F.col("_pattern")).alias("text")).collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.id)]
+
+
 def test_terms_longest_first(spark):
-    got = one(spark, "UP (TERRAIN MODE) TERRAIN, up A+B.", lambda c: C.tag_terms(c, ["UP", "TERRAIN", "TERRAIN MODE", "A+B"]))
+    texts = ["UP (TERRAIN MODE) TERRAIN, up A+B.", "a ++ b UPON", None, ""]
+    got = tagged(spark, texts, ["UP", "TERRAIN", "TERRAIN MODE", "A+B", "++", " ", "UP"])
     t = '<term translate="no">{}</term>'.format
-    assert got == f"{t('UP')} ({t('TERRAIN MODE')}) {t('TERRAIN')}, up {t('A+B')}."
+    assert got == [
+        f"{t('UP')} ({t('TERRAIN MODE')}) {t('TERRAIN')}, up {t('A+B')}.", f"a {t('++')} b UPON", None, ""
+    ]
+
+
+def test_any_number_of_terms(spark):
+    df = spark.createDataFrame([(1, "see w99999 and w100000 x7.")], "id long, text string")
+    terms = spark.range(100_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("term"))
+    row = C.with_term_pattern(df, "text", terms, ["id"]).select(C.tag_terms(F.col("text"), F.col("_pattern"))).first()
+    assert row[0] == 'see <term translate="no">w99999</term> and w100000 x7.'
 
 
 def test_xrefs(spark):

@@ -185,7 +185,8 @@ def test_terms_in_places(spark):
     body = ('<c><title>UP here</title><p>go UP now</p><p translate="no">UP <b>UP</b></p><p>DOOR mode UP</p>'
             '<p>see B: UP</p><uicontrol>UP</uicontrol></c>')
     nodes = markup.node_table(spark.createDataFrame([("d", body)], "doc_id string, body string"), "doc_id", "body")
-    got = [r.text for r in M.tag_node_terms(nodes, ["UP"]).where("tag = '#text'").orderBy("node_id").collect()]
+    terms = spark.createDataFrame([("UP",)], "term string")
+    got = [r.text for r in M.tag_node_terms(nodes, terms).where("tag = '#text'").orderBy("node_id").collect()]
     t = '<term translate="no">{}</term>'.format
     assert got == ["UP here", f"go {t('UP')} now", "UP ", "UP", f"{t('DOOR')} mode UP", f"see {t('B')}: UP", "UP"]
 
