@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ordered import collected, dated_blocks, first_per, numbered
+from .ordered import dated_blocks, first_per, gathered, numbered
 
 # Labels of the review sheet.
 STATUS_RESOLVED = "해결"
@@ -145,90 +145,68 @@ def is_image(content_type: Column) -> Column:
     return F.coalesce(F.lower(content_type).isin(*IMAGE_TYPES), F.lit(False))
 
 
-def attachment_summary(
-    attachments: DataFrame,
-    keys: Sequence[str],
-    blocks: Sequence[Column] | None = None,
-    per_part: int = 1000,
+def attachment_summary(attachments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per owner, one row whatever its size: how many images and how many other files it has."""
+    image = is_image(F.col("content_type"))
+    return attachments.groupBy(*keys).agg(
+        F.count(F.when(image, 1)).alias("image_count"), F.count(F.when(~image, 1)).alias("other_count")
+    )
+
+
+def attachment_names(
+    attachments: DataFrame, keys: Sequence[str], blocks: Sequence[Column] | None = None
 ) -> DataFrame:
-    """Per owner: joined names of non-image files in (create_dt, id) order, and an image count.
+    """Names of the files that are no images, one row each, numbered per owner by (create_dt, attachment_id).
 
-    Owners with more than ``per_part`` files get several parts.
+    A list in rows has the same form for one file and for a million.
     """
-    # an image contributes null, which array_join leaves out
-    other = F.when(~is_image(F.col("content_type")), F.col("original_name"))
-    packed = collected(
-        attachments,
-        keys,
-        ["create_dt", "attachment_id"],
-        blocks or dated_blocks("create_dt", "attachment_id"),
-        {"names": other, "image": is_image(F.col("content_type")).cast("int")},
-        per_part,
-    )
-    return packed.select(
-        *keys,
-        "part_no",
-        F.array_join("names", ", ").alias("other_files"),
-        F.aggregate("image", F.lit(0), lambda acc, x: acc + x).cast("long").alias("image_count"),
+    others = attachments.where(~is_image(F.col("content_type")))
+    order = ["create_dt", "attachment_id"]
+    placed = numbered(others, keys, order, blocks or dated_blocks(*order), out="position")
+    return placed.select(*keys, "position", "attachment_id", "original_name")
+
+
+def joined_names(names: DataFrame, keys: Sequence[str], width: int = 1000) -> DataFrame:
+    """The numbered names of an owner as lines of ``width`` names joined by a comma; nulls are left out.
+
+    Line 0 is the whole list of an owner with no more names than that; others go on in the next lines.
+    """
+    lines = gathered(names, keys, "position", {"names": F.col("original_name")}, width)
+    return lines.select(
+        *keys, F.col("part_no").alias("line_no"), F.array_join("names", ", ").alias("other_files")
     )
 
 
-def assemble_threads(
-    comments: DataFrame,
-    replies: DataFrame,
-    attachments: DataFrame,
-    reply_blocks: Sequence[Column] | None = None,
-    attachment_blocks: Sequence[Column] | None = None,
-    per_part: int = 1000,
+def thread_replies(
+    replies: DataFrame, attachments: DataFrame, blocks: Sequence[Column] | None = None
 ) -> DataFrame:
-    """Comments with nested replies (each with its files) and nested own files.
+    """Replies numbered per comment by (create_dt, reply_id), each with the counts of its files."""
+    files = attachment_summary(attachments.where(F.col("reply_id").isNotNull()), ["comment_id", "reply_id"])
+    order = ["create_dt", "reply_id"]
+    placed = numbered(replies, ["comment_id"], order, blocks or dated_blocks(*order), out="position")
+    return placed.join(files, ["comment_id", "reply_id"], "left").fillna(0, ["image_count", "other_count"])
+
+
+def thread_files(attachments: DataFrame, blocks: Sequence[Column] | None = None) -> DataFrame:
+    """A comment's own files numbered by (create_dt, attachment_id)."""
+    order = ["create_dt", "attachment_id"]
+    own = comment_attachments(attachments)
+    placed = numbered(own, ["comment_id"], order, blocks or dated_blocks(*order), out="position")
+    return placed.select("comment_id", "position", "attachment_id", "original_name", "content_type")
 
-    Missing children give empty arrays. A thread longer than ``per_part`` continues in further rows
-    with a higher ``part_no``.
+
+def assemble_threads(comments: DataFrame, replies: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Every comment once, with the number of its replies, of its own files and of its replies' files.
+
+    The members follow in :func:`thread_replies` and :func:`thread_files`, so no row grows with a thread.
     """
-    reply_files = attachment_summary(
-        attachments.where(F.col("reply_id").isNotNull()),
-        ["comment_id", "reply_id"],
-        attachment_blocks,
-        per_part,
-    ).withColumnRenamed("part_no", "file_part")
-    # a reply with very many files appears once per file part
-    full = replies.join(reply_files, ["comment_id", "reply_id"], "left").fillna(0, ["file_part"])
-    reply_parts = collected(
-        full,
-        ["comment_id"],
-        ["create_dt", "reply_id", "file_part"],
-        reply_blocks or dated_blocks("create_dt", "reply_id"),
-        {
-            "replies": F.struct(
-                "reply_id",
-                "user_id",
-                "reply_text",
-                "create_dt",
-                "file_part",
-                F.coalesce("other_files", F.lit("")).alias("other_files"),
-                F.coalesce("image_count", F.lit(0)).alias("image_count"),
-            )
-        },
-        per_part,
-        sizes=replies,
-    )
-    file_parts = collected(
-        comment_attachments(attachments),
-        ["comment_id"],
-        ["create_dt", "attachment_id"],
-        attachment_blocks or dated_blocks("create_dt", "attachment_id"),
-        {"attachments": F.struct("attachment_id", "original_name", "content_type")},
-        per_part,
-    )
-    parts = reply_parts.join(file_parts, ["comment_id", "part_no"], "full_outer")
-    joined = comments.join(parts, "comment_id", "left")
-    return joined.select(
-        *comments.columns,
-        F.coalesce("part_no", F.lit(0)).alias("part_no"),
-        F.coalesce("replies", F.array()).alias("replies"),
-        F.coalesce("attachments", F.array()).alias("attachments"),
+    counted = replies.groupBy("comment_id").agg(F.count(F.lit(1)).alias("reply_count"))
+    below = F.col("reply_id").isNotNull()
+    files = attachments.groupBy("comment_id").agg(
+        F.count(F.when(~below, 1)).alias("file_count"), F.count(F.when(below, 1)).alias("reply_file_count")
     )
+    joined = comments.join(counted, "comment_id", "left").join(files, "comment_id", "left")
+    return joined.fillna(0, ["reply_count", "file_count", "reply_file_count"])
 
 
 # -- review sheet ----------------------------------------------------------------------------
@@ -279,28 +257,29 @@ def order_recent(df: DataFrame) -> DataFrame:
 
 
 def review_sheet(
-    comments: DataFrame,
-    replies: DataFrame,
-    users: DataFrame,
-    attachments: DataFrame,
-    attachment_blocks: Sequence[Column] | None = None,
+    comments: DataFrame, replies: DataFrame, users: DataFrame, attachments: DataFrame
 ) -> DataFrame:
-    """The whole sheet: rows, labels and the files of every row."""
-    rows = review_rows(comments, replies, users)
+    """The whole sheet, one row per comment or reply: labels and file counts.
+
+    The names of a row's files are in :func:`attachment_names` and :func:`joined_names` under
+    (comment_id, owner_reply); ``owner_reply`` is -1 for the comment itself.
+    """
+    rows = review_rows(comments, replies, users).withColumn("owner_reply", F.coalesce("reply_id", F.lit(-1)))
     # one pass over the attachments serves comments and replies; null reply ids become a flag
-    owner = attachments.withColumn("owner_reply", F.coalesce("reply_id", F.lit(-1)))
-    files = attachment_summary(owner, ["comment_id", "owner_reply"], attachment_blocks)
-    sheet = rows.withColumn("owner_reply", F.coalesce("reply_id", F.lit(-1))).join(
-        files, ["comment_id", "owner_reply"], "left"
-    )
+    files = attachment_summary(owned(attachments), ["comment_id", "owner_reply"])
+    sheet = rows.join(files, ["comment_id", "owner_reply"], "left")
     return sheet.select(
         *rows.columns,
-        F.coalesce("part_no", F.lit(0)).alias("part_no"),
-        F.coalesce("other_files", F.lit("")).alias("other_files"),
         F.coalesce("image_count", F.lit(0)).alias("image_count"),
+        F.coalesce("other_count", F.lit(0)).alias("other_count"),
     )
 
 
+def owned(attachments: DataFrame) -> DataFrame:
+    """Attachments with ``owner_reply``: the reply, or -1 for the comment itself."""
+    return attachments.withColumn("owner_reply", F.coalesce("reply_id", F.lit(-1)))
+
+
 # -- maintenance -----------------------------------------------------------------------------
 
 

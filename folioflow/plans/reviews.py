@@ -6,21 +6,26 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import reviews as R
+from ..operators.ordered import numbered
 from ..session import read_table
 from . import roles as role
 from .catalog import query
 from .roles import ATTACHMENTS, COMMENTS, DOCS, REPLIES, USERS, sql
 
-FILE_SUMMARY = """file_rows as (
+FILE_ROWS = """file_rows as (
   select comment_id, coalesce(reply_id, -1) as owner_reply, create_dt, attachment_id, original_name,
          coalesce(lower(content_type) in ('image/png', 'image/jpeg', 'image/jpg'), false) as image
-  from attachments),
+  from attachments)"""
+FILE_SUMMARY = FILE_ROWS + """,
 files as (
-  select comment_id, owner_reply,
-         coalesce(string_agg(case when not image then original_name end, ', '
-                    order by create_dt, attachment_id), '') as other_files,
-         count(*) filter (where image) as image_count
+  select comment_id, owner_reply, count(*) filter (where image) as image_count,
+         count(*) filter (where not image) as other_count
   from file_rows group by all)"""
+NAMES = FILE_ROWS + """,
+names as (
+  select comment_id, owner_reply, attachment_id, original_name,
+         row_number() over (partition by comment_id, owner_reply order by create_dt, attachment_id) as position
+  from file_rows where not image)"""
 
 
 @query(
@@ -38,7 +43,8 @@ files as (
 select s.*, case when status = 'RESOLVED' then '해결' else '미해결' end as status_label,
        coalesce(nullif(trim(user_name), ''), user_id, '') as author,
        coalesce(page_num || '페이지', '') as page_label,
-       cast(0 as bigint) as part_no, coalesce(other_files, '') as other_files, coalesce(image_count, 0) as image_count
+       coalesce(s.reply_id, -1) as owner_reply, coalesce(image_count, 0) as image_count,
+       coalesce(other_count, 0) as other_count
 from sheet s left join files f
   on f.comment_id = s.comment_id and f.owner_reply = coalesce(s.reply_id, -1)
 """,
@@ -50,55 +56,57 @@ def review_sheet(spark, d):
         role.replies(spark, d),
         role.users(spark, d),
         role.attachments(spark, d),
-        role.attachment_blocks(),
     )
     return R.order_review(sheet)
 
 
 @query(
     sql(
-        COMMENTS, REPLIES, ATTACHMENTS, FILE_SUMMARY,
+        COMMENTS, REPLIES, ATTACHMENTS,
         body="""
-, reply_side as (
-  select r.comment_id, count(*) as reply_count,
-         string_agg(r.reply_id || ':' || coalesce(f.image_count, 0) || ':' || coalesce(f.other_files, ''), '|'
-                    order by r.create_dt, r.reply_id) as reply_list
-  from replies r left join files f on f.comment_id = r.comment_id and f.owner_reply = r.reply_id
-  group by 1),
+, reply_side as (select comment_id, count(*) as reply_count from replies group by 1),
 file_side as (
-  select comment_id, count(*) as file_count,
-         string_agg(original_name, '|' order by create_dt, attachment_id) as file_list
-  from attachments where reply_id is null group by 1)
-select c.comment_id, c.doc_id, cast(0 as bigint) as part_no, coalesce(reply_count, 0) as reply_count,
-       coalesce(reply_list, '') as reply_list, coalesce(file_count, 0) as file_count,
-       coalesce(file_list, '') as file_list
+  select comment_id, count(*) filter (where reply_id is null) as file_count,
+         count(*) filter (where reply_id is not null) as reply_file_count
+  from attachments group by 1)
+select c.*, coalesce(reply_count, 0) as reply_count, coalesce(file_count, 0) as file_count,
+       coalesce(reply_file_count, 0) as reply_file_count
 from comments c left join reply_side using (comment_id) left join file_side using (comment_id)
 """,
     )
 )
 def thread_assembly(spark, d):
-    threads = R.assemble_threads(
-        role.comments(spark, d),
-        role.replies(spark, d),
-        role.attachments(spark, d),
-        role.reply_blocks(),
-        role.attachment_blocks(),
-    )
-    line = F.transform(
-        "replies",
-        lambda r: F.concat_ws(
-            ":", r["reply_id"].cast("string"), r["image_count"].cast("string"), r["other_files"]
-        ),
+    return R.assemble_threads(role.comments(spark, d), role.replies(spark, d), role.attachments(spark, d))
+
+
+@query(
+    sql(
+        REPLIES, ATTACHMENTS, FILE_SUMMARY,
+        body="""
+select r.comment_id, r.reply_id,
+       row_number() over (partition by r.comment_id order by r.create_dt, r.reply_id) as position,
+       coalesce(image_count, 0) as image_count, coalesce(other_count, 0) as other_count
+from replies r left join files f on f.comment_id = r.comment_id and f.owner_reply = r.reply_id
+""",
     )
-    return threads.select(
-        "comment_id",
-        "doc_id",
-        "part_no",
-        F.size("replies").cast("long").alias("reply_count"),
-        F.array_join(line, "|").alias("reply_list"),
-        F.size("attachments").cast("long").alias("file_count"),
-        F.array_join("attachments.original_name", "|").alias("file_list"),
+)
+def thread_replies(spark, d):
+    rows = R.thread_replies(role.replies(spark, d), role.attachments(spark, d), role.reply_blocks())
+    return rows.select("comment_id", "reply_id", "position", "image_count", "other_count")
+
+
+@query(
+    sql(
+        ATTACHMENTS,
+        body="""
+select comment_id, attachment_id, original_name, content_type,
+       row_number() over (partition by comment_id order by create_dt, attachment_id) as position
+from attachments where reply_id is null
+""",
     )
+)
+def thread_files(spark, d):
+    return R.thread_files(role.attachments(spark, d), role.attachment_blocks())
 
 
 @query(
@@ -287,17 +295,58 @@ def resolved_mentions(spark, d):
     return R.resolve_mentions(mentioned, role.users(spark, d))
 
 
+OWNER = ["comment_id", "owner_reply"]
+
+
 @query(
     sql(
         ATTACHMENTS, FILE_SUMMARY,
-        body="select comment_id, owner_reply, cast(0 as bigint) as part_no, other_files, image_count from files",
+        body="select comment_id, owner_reply, image_count, other_count from files",
     )
 )
 def attachment_summary(spark, d):
-    owner = role.attachments(spark, d).withColumn(
-        "owner_reply", F.coalesce("reply_id", F.lit(-1))
+    return R.attachment_summary(R.owned(role.attachments(spark, d)), OWNER)
+
+
+@query(sql(ATTACHMENTS, NAMES, body="select * from names"))
+def attachment_names(spark, d):
+    return R.attachment_names(R.owned(role.attachments(spark, d)), OWNER, role.attachment_blocks())
+
+
+@query(
+    sql(
+        ATTACHMENTS, NAMES,
+        body="""
+select comment_id, owner_reply, cast((position - 1) // 1000 as bigint) as line_no,
+       coalesce(string_agg(original_name, ', ' order by position), '') as other_files
+from names group by all
+""",
+    )
+)
+def joined_names(spark, d):
+    names = R.attachment_names(R.owned(role.attachments(spark, d)), OWNER, role.attachment_blocks())
+    return R.joined_names(names, OWNER)
+
+
+@query(
+    sql(
+        ATTACHMENTS,
+        body="""
+, part_time as (select attachment_id, comment_id, case when attachment_id % 3 = 0 then null else create_dt end as create_dt
+  from attachments)
+select comment_id, attachment_id,
+       row_number() over (partition by comment_id order by create_dt nulls first, attachment_id) as number
+from part_time
+""",
+    )
+)
+def untimed_numbers(spark, d):
+    """Numbering where a third of the times are null: those rows come first and none is lost."""
+    files = role.attachments(spark, d).selectExpr(
+        "attachment_id", "comment_id", "case when attachment_id % 3 = 0 then null else create_dt end as create_dt"
     )
-    return R.attachment_summary(owner, ["comment_id", "owner_reply"], role.attachment_blocks())
+    order = ["create_dt", "attachment_id"]
+    return numbered(files, ["comment_id"], order, role.attachment_blocks(), out="number").drop("create_dt")
 
 
 @query(

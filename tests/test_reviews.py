@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.operators import ordered
 from folioflow.operators import reviews as R
 
 AT = dt.datetime(2026, 6, 15, 8, 30)
@@ -24,23 +25,37 @@ def tables(spark):
 def test_review_sheet_rows(spark):
     comments, replies, users, files = tables(spark)
     rows = R.order_review(R.review_sheet(comments, replies, users, files)).collect()
-    assert [(r.status_label, r.kind, r.page_label, r.author, r.text, r.other_files, r.image_count) for r in rows] == [
-        ("해결", "원댓글", "3페이지", "관리자", "본문", "b.txt", 1),
-        ("해결", "답글", "3페이지", "답글 작성자", "↳ 답글", "c.pdf", 0),
-        ("미해결", "원댓글", "", "x", "t", "", 0),
+    assert [(r.status_label, r.kind, r.page_label, r.author, r.text, r.other_count, r.image_count) for r in rows] == [
+        ("해결", "원댓글", "3페이지", "관리자", "본문", 1, 1),
+        ("해결", "답글", "3페이지", "답글 작성자", "↳ 답글", 1, 0),
+        ("미해결", "원댓글", "", "x", "t", 0, 0),
     ]
+    keys = ["comment_id", "owner_reply"]
+    lines = R.joined_names(R.attachment_names(R.owned(files), keys), keys).collect()
+    assert sorted((r.line_no, r.other_files) for r in lines) == [(0, "b.txt"), (0, "c.pdf")]
 
 
-def test_threads_nest_replies_and_split_long_ones(spark):
-    comments, _, _, files = tables(spark)
+def test_threads_keep_one_row_per_comment_whatever_their_size(spark, monkeypatch):
+    comments, _, users, files = tables(spark)
     replies = spark.createDataFrame(
         [(i, 10, "u2", f"r{i}", AT + dt.timedelta(seconds=i)) for i in range(7)], REPLY
     )
-    rows = R.assemble_threads(comments, replies, files, per_part=3).orderBy("comment_id", "part_no").collect()
-    assert [(r.comment_id, r.part_no, [x.reply_id for x in r.replies]) for r in rows] == [
-        (10, 0, [0, 1, 2]), (10, 1, [3, 4, 5]), (10, 2, [6]), (11, 0, [])
-    ]
-    assert [a.original_name for a in rows[0].attachments] == ["a.png", "b.txt"]
+    many = spark.range(2500).select(
+        (F.col("id") + 1000).alias("attachment_id"), F.lit(11).alias("comment_id"), F.lit(None).cast("long").alias("reply_id"),
+        F.lit("p.png").alias("original_name"), F.lit("image/png").alias("content_type"), F.lit(AT).alias("create_dt"),
+    )
+    files = files.unionByName(many)
+    for hot in (1 << 20, 0):
+        monkeypatch.setattr(ordered, "HOT_ROWS", hot)
+        rows = R.assemble_threads(comments, replies, files).orderBy("comment_id").collect()
+        assert [(r.comment_id, r.reply_count, r.file_count) for r in rows] == [(10, 7, 2), (11, 0, 2500)]
+        placed = R.thread_replies(replies, files).orderBy("position").collect()
+        assert [(r.position, r.reply_id) for r in placed] == [(i + 1, i) for i in range(7)]
+        own = R.thread_files(files)
+        assert [r.original_name for r in own.where("comment_id = 10").orderBy("position").collect()] == ["a.png", "b.txt"]
+        assert own.where("comment_id = 11").agg(F.max("position")).first()[0] == 2500
+        sheet = R.review_sheet(comments, replies, users, files).where("comment_id = 11").collect()
+        assert [(r.image_count, r.other_count) for r in sheet] == [(2500, 0)]
 
 
 def test_codes_are_never_truncated(spark):
