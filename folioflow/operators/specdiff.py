@@ -25,13 +25,13 @@ def fill_items(rows: DataFrame, scope: str) -> DataFrame:
     return filled.withColumn("item", F.coalesce("_item", F.lit(""))).drop("_item")
 
 
-def collapse_rows(rows: DataFrame, scope: str, per_part: int = 1000) -> tuple[DataFrame, DataFrame]:
+def collapse_rows(rows: DataFrame, scope: str, per_line: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Merge continuation rows per item.
 
     Input rows are (scope, row_no, item, description, cells array). Returns items (first row number,
-    description, column count, highlight flag) and cells (item, col_no, part_no, value): per column
-    the non-blank cells of all rows joined by spaces in row order, '' if there are none. Very long joins
-    come in parts.
+    description, column count, highlight flag) and cells (item, col_no, line_no, value): per column
+    the non-blank cells of all rows joined by spaces in row order, '' if there are none. A line joins
+    ``per_line`` cells; more go on in the next lines.
     """
     filled = fill_items(rows, scope)
     marked = F.exists("cells", lambda c: F.contains(c, F.lit(HIGHLIGHT_MARK)))
@@ -50,37 +50,42 @@ def collapse_rows(rows: DataFrame, scope: str, per_part: int = 1000) -> tuple[Da
     )
     keys = [scope, "item", "col_no"]
     joined = collected(
-        long, keys, ["row_no"], number_blocks("row_no"), {"values": F.col("value")}, per_part
-    ).select(*keys, "part_no", F.array_join("values", " ").alias("value"))
+        long, keys, ["row_no"], number_blocks("row_no"), {"values": F.col("value")}, per_line
+    ).select(*keys, F.col("part_no").alias("line_no"), F.array_join("values", " ").alias("value"))
     # the first row's width is the item's: columns beyond it leave, blank ones within it stay
     wide = items.where("column_count > 0").select(
         scope, "item", F.explode(F.sequence(F.lit(1).cast("long"), F.col("column_count"))).alias("col_no")
     )
     cells = wide.join(joined, keys, "left").select(
-        *keys, F.coalesce("part_no", F.lit(0)).alias("part_no"), F.coalesce("value", F.lit("")).alias("value")
+        *keys, F.coalesce("line_no", F.lit(0)).alias("line_no"), F.coalesce("value", F.lit("")).alias("value")
     )
     return items, cells
 
 
 def with_lookups(items: DataFrame, authors: DataFrame, important: DataFrame) -> DataFrame:
-    """Add editor names (several are joined by spaces) and the important mark per item."""
-    wanted = authors.select(T.collapse(F.col("item_no")).alias("_key"), "name", "pos")
-    editors = collected(
-        wanted, ["_key"], ["pos"], number_blocks("pos"), {"names": F.col("name")}
-    ).select(
-        "_key", F.col("part_no").alias("editor_part"), F.array_join("names", " ").alias("editor")
-    )
+    """Add the number of editors and the important mark; every item stays one row.
+
+    The editors' names are in :func:`item_editors`.
+    """
+    editors = authors.groupBy(T.collapse(F.col("item_no")).alias("_key")).agg(F.count("name").alias("editor_count"))
     marked = important.select(T.collapse(F.col("item")).alias("_key"), F.lit("V").alias("important"))
     keyed = items.withColumn("_key", T.collapse(F.col("item")))
     return (
         keyed.join(marked.distinct(), "_key", "left")
         .join(editors, "_key", "left")
         .drop("_key")
-        .fillna("", ["important", "editor"])
-        .fillna(0, ["editor_part"])
+        .fillna("", ["important"])
+        .fillna(0, ["editor_count"])
     )
 
 
+def item_editors(authors: DataFrame) -> DataFrame:
+    """Editor names per collapsed item, one row each, numbered by their place in the list."""
+    named = authors.where("name is not null").select(T.collapse(F.col("item_no")).alias("item"), "name", "pos")
+    placed = numbered(named, ["item"], ["pos"], number_blocks("pos"), out="position")
+    return placed.select("item", "position", "name")
+
+
 def merge_versions(after: DataFrame, before: DataFrame, scope: str) -> DataFrame:
     """One row per item of either version; the first row stands for duplicates.
 

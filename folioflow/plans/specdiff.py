@@ -55,8 +55,10 @@ def collapsed_items(spark, d):
         SPEC_ROWS,
         body="""
 , long as (select sheet, item, row_no, unnest([1, 2, 3]) as col_no, unnest([c1, c2, c3]) as value from filled)
-select sheet, item, cast(col_no as bigint) as col_no, cast(0 as bigint) as part_no, string_agg(value, ' ' order by row_no) as value
-from long group by all
+, placed as (select *, (row_number() over (partition by sheet, item, col_no order by row_no) - 1) // 1000 as line_no from long)
+select sheet, item, cast(col_no as bigint) as col_no, cast(line_no as bigint) as line_no,
+       string_agg(value, ' ' order by row_no) as value
+from placed group by all
 """,
     )
 )
@@ -69,23 +71,36 @@ def collapsed_cells(spark, d):
         SPEC_ROWS,
         body="""
 , items as (select sheet, item from filled group by 1, 2),
-authors as (select p_name || ' ' || p_brand as item, string_agg(p_type, ' ' order by p_partkey) as editor
-            from part where p_size > 25 group by 1),
+authors as (select p_name || ' ' || p_brand as item, count(*) as editor_count from part where p_size > 25 group by 1),
 important as (select distinct p_name || ' ' || p_brand as item from part where p_retailprice > 1000)
-select i.sheet, i.item, coalesce(editor, '') as editor, cast(0 as bigint) as editor_part,
-       case when m.item is null then '' else 'V' end as important
+select i.sheet, i.item, coalesce(editor_count, 0) as editor_count, case when m.item is null then '' else 'V' end as important
 from items i left join authors a using (item) left join important m using (item)
 """,
     )
 )
 def item_lookups(spark, d):
-    part = read_table(spark, d, "part")
     items = S.collapse_rows(spec_rows(spark, d), "sheet")[0].select("sheet", "item")
-    authors = part.where("p_size > 25").selectExpr(
+    important = (
+        read_table(spark, d, "part").where("p_retailprice > 1000").selectExpr("concat(p_name, '  ', p_brand) as item")
+    )
+    return S.with_lookups(items, item_authors(spark, d), important)
+
+
+def item_authors(spark, d):
+    return read_table(spark, d, "part").where("p_size > 25").selectExpr(
         "concat(p_name, ' ', p_brand) as item_no", "p_type as name", "p_partkey as pos"
     )
-    important = part.where("p_retailprice > 1000").selectExpr("concat(p_name, '  ', p_brand) as item")
-    return S.with_lookups(items, authors, important)
+
+
+@query(
+    """
+select p_name || ' ' || p_brand as item, p_type as name,
+       row_number() over (partition by p_name || ' ' || p_brand order by p_partkey) as position
+from part where p_size > 25
+"""
+)
+def item_editors(spark, d):
+    return S.item_editors(item_authors(spark, d))
 
 
 def version_rows(spark, d):
