@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import carried, number_blocks
+from ..session import settle
+from .ordered import BLOCK_ROWS, Running, carried, number_blocks, running
+
+#: labels whose heights differ by less than this stand in one row of drawings
+ROW_REACH = 20.0
+#: image regions: least side, how far below the label's line one may end, least reach to both sides and
+#: its share of the width, and the height beyond which the nearest one is not the label's
+LEAST_SIDE, OVERLAP, LEAST_REACH, REACH_SHARE, MAX_HEIGHT = 40.0, 12.0, 60.0, 1.5, 160.0
 
 
 def chapter_for_pages(pages: DataFrame, outline: DataFrame) -> DataFrame:
@@ -34,3 +41,204 @@ def chapter_for_pages(pages: DataFrame, outline: DataFrame) -> DataFrame:
     return filled.where("kind = 1").select(
         "doc_id", "page", "detected", F.coalesce("_outline", "_page").alias("chapter")
     )
+
+# rank ranges of a power-of-two size: the ones around a rank, and the fewest that make up first .. past - 1
+_LOWER, _UPPER = "shiftright(first + shiftleft(1L, k) - 1, k)", "shiftright(past, k)"
+SLOTS_AROUND = "explode(transform(sequence(0, _top), k -> struct(k as level, shiftright(rank, k) as slot))) as s"
+SLOTS_OF_RANGE = (
+    f"explode(filter(flatten(transform(sequence(0, _top), k -> array("
+    f"if({_LOWER} < {_UPPER} and {_LOWER} % 2 = 1, struct(k as level, {_LOWER} as slot), null), "
+    f"if({_LOWER} < {_UPPER} and {_UPPER} % 2 = 1, struct(k as level, {_UPPER} - 1 as slot), null)))), "
+    f"x -> x is not null)) as s"
+)
+
+
+def _top_levels(labels: DataFrame) -> DataFrame:
+    """The largest level that a page's ranks need."""
+    return labels.groupBy("page").agg((F.length(F.bin(F.count(F.lit(1)))) - 1).alias("_top"))
+
+
+def _places(col: str, kind: str) -> list:
+    """Blocks of rows ordered by a place on the page, a kind and a label."""
+    place = F.col(col)
+    return [F.floor(place / 64), F.floor(place), place, F.col(kind), F.expr(f"label_id div {BLOCK_ROWS}")]
+
+
+def row_ranges(labels: DataFrame, reach: float) -> DataFrame:
+    """Rank of every label by height on its page, and the ranks ``first`` to ``past`` - 1 of its row.
+
+    Input is (page, label_id, center, y). Three events per label walk down the page together: where its
+    row begins, the label, and where its row ends; a running count of labels gives all three ranks.
+    """
+    events = labels.select(
+        "page", "label_id", "center",
+        F.explode(
+            F.array(
+                F.struct((F.col("y") + reach).alias("at"), F.lit(-1).alias("kind")),
+                F.struct(F.col("y").alias("at"), F.lit(0).alias("kind")),
+                F.struct((F.col("y") - reach).alias("at"), F.lit(1).alias("kind")),
+            )
+        ).alias("e"),
+    ).select("page", "label_id", "center", "e.*")
+    passed = {"_passed": Running("sum", (F.col("kind") == 0).cast("long"))}
+    counted = running(events, ["page"], ["at", "kind", "label_id"], _places("at", "kind"), passed)
+
+    def at(kind: int):
+        return F.max(F.when(F.col("kind") == kind, F.col("_passed")))
+
+    return counted.groupBy("page", "label_id", "center").agg(
+        (at(0) - 1).alias("rank"), at(1).alias("first"), at(-1).alias("past")
+    )
+
+
+def row_neighbours(labels: DataFrame, reach: float = ROW_REACH) -> DataFrame:
+    """Nearest centers left and right of each label among the labels of its row, without pairs.
+
+    Heights of a page are ranked; each label speaks in the log(n) power-of-two rank ranges around it and
+    asks in the at most 2 log(n) ranges that make up its row. Inside a range the neighbours are the last
+    speaker before and after it by center. Labels are unique per page. Of equal centers the others count
+    as right neighbours; null means that there is none on that side.
+    """
+    placed = settle(row_ranges(labels, reach).join(_top_levels(labels), "page"))
+    where = ["page", "level", "slot"]
+    speak = (
+        placed.selectExpr("page", "center", SLOTS_AROUND)
+        .groupBy("page", "s.level", "s.slot", "center")
+        .agg(F.count(F.lit(1)).alias("_same"))
+    )
+    ask = placed.selectExpr("page", "label_id", "center", SLOTS_OF_RANGE).select("page", "s.level", "s.slot", "center", "label_id")
+    nobody, nothing = F.lit(None).cast("long").alias("label_id"), F.lit(None).cast("double").alias("_center")
+    both = settle(
+        speak.select(*where, "center", nobody, F.col("center").alias("_center"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+        .unionByName(ask.select(*where, "center", "label_id", nothing, F.lit(0).alias("down"), F.lit(1).alias("up")))
+    )
+    last = Running("last", F.col("_center"))
+    answers = [
+        running(both, where, ["center", kind, "label_id"], _places("center", kind), {side: last}, reverse)
+        .where("label_id is not null")
+        .groupBy("page", "label_id", "center")
+        .agg(pick(side).alias(side))
+        for side, kind, reverse, pick in (("left", "down", False, F.max), ("right", "up", True, F.min))
+    ]
+    same = ask.join(speak, [*where, "center"]).groupBy("page", "label_id", "center").agg(F.sum("_same").alias("_same"))
+    key = ["page", "label_id", "center"]
+    return answers[0].join(answers[1], key).join(same, key).select(
+        *key, "left", F.when(F.col("_same") > 1, F.col("center")).otherwise(F.col("right")).alias("right")
+    )
+
+
+def horizontal_limits(labels: DataFrame, pages: DataFrame, reach: float = ROW_REACH) -> DataFrame:
+    """Left and right bound of each label's drawing: half way to its neighbours in the row.
+
+    ``labels`` has page, label_id, x, y and width; ``pages`` has page, page_left and page_right, one row
+    per page. A side without neighbour takes the other side's distance; a label alone in its row gets
+    the page's bounds. Labels that lack a page or a place get null bounds.
+    """
+    here = F.col("x").cast("double") + F.col("width") / 2
+    centers = labels.select("page", "label_id", here.alias("center"), F.col("y").cast("double").alias("y"))
+    near = row_neighbours(settle(centers.dropna()), reach)
+    before, after = F.col("center") - F.col("left"), F.col("right") - F.col("center")
+    bounds = near.join(pages.select("page", "page_left", "page_right"), "page", "left").select(
+        "page", "label_id",
+        F.coalesce(F.col("center") - F.coalesce(before, after) / 2, "page_left").alias("left_bound"),
+        F.coalesce(F.col("center") + F.coalesce(after, before) / 2, "page_right").alias("right_bound"),
+    )
+    return labels.join(bounds, ["page", "label_id"], "left")
+
+
+def nearest_regions(labels: DataFrame, regions: DataFrame) -> DataFrame:
+    """The image region of each label: the least sum of vertical and horizontal distance, without pairs.
+
+    ``labels`` has page, label_id, center and y; ``regions`` has page, region_no, left, right, top and
+    bottom. A region counts if both sides are long enough, it ends at most ``OVERLAP`` below the label's
+    y, and the center is within its reach. Ties go to the smaller region_no. If the nearest region is
+    more than ``MAX_HEIGHT`` away in height, or there is none, region_no is null.
+
+    A region's reach falls into three spans of x (left of it, across, right of it), and on each the
+    distance is a value of the region plus a value of the label. Spans are covered by power-of-two ranges
+    of center ranks; within a range regions and labels walk down the page together, and a running least
+    value answers each label.
+    """
+    usable = regions.where(f"right - left >= {LEAST_SIDE} and bottom - top >= {LEAST_SIDE}").select(
+        "page", "region_no", "left", "right", "bottom",
+        F.greatest(F.lit(LEAST_REACH), (F.col("right") - F.col("left")) * REACH_SHARE).alias("reach"),
+    )
+    centers = labels.select("page", "label_id", "center", "y").dropna()
+    edges = usable.select(
+        "page", F.col("region_no").alias("label_id"),
+        F.expr(
+            "explode(array(struct(left - reach as at, -1 as kind, 1 as edge), struct(left as at, -1 as kind, 2 as edge), "
+            "struct(right as at, 1 as kind, 3 as edge), struct(right + reach as at, 1 as kind, 4 as edge))) as e"
+        ),
+    ).select("page", "label_id", "e.*")
+    events = edges.unionByName(
+        centers.select("page", "label_id", F.col("center").alias("at"), F.lit(0).alias("kind"), F.lit(0).alias("edge"))
+    )
+    passed = {"_passed": Running("sum", (F.col("kind") == 0).cast("long"))}
+    counted = settle(running(events, ["page"], ["at", "kind", "label_id"], _places("at", "kind"), passed))
+    tops = _top_levels(centers)
+    where = ["page", "level", "slot"]
+    asks = (
+        centers.join(counted.where("edge = 0").selectExpr("page", "label_id", "_passed - 1 as rank"), ["page", "label_id"])
+        .join(tops, "page")
+        .selectExpr("page", "label_id", "center", "y", SLOTS_AROUND)
+        .select("page", "s.level", "s.slot", "label_id", "center", "y")
+    )
+    edge = [F.max(F.when(F.col("edge") == i, F.col("_passed"))).alias(f"_edge{i}") for i in (1, 2, 3, 4)]
+    ranges = counted.where("edge > 0").groupBy("page", F.col("label_id").alias("region_no")).agg(*edge)
+    sides = "explode(array({})) as r".format(
+        ", ".join(
+            f"struct({n} as side, coalesce(_edge{n}, 0L) as first, coalesce(_edge{n + 1}, 0L) as past)" for n in (1, 2, 3)
+        )
+    )
+    # what the region itself adds to the horizontal distance on each of its sides
+    own = {1: F.col("left"), 2: F.lit(0.0), 3: -F.col("right")}
+    speakers = (
+        usable.join(ranges, ["page", "region_no"])
+        .selectExpr("page", "region_no", "left", "right", "bottom", sides)
+        .select("page", "region_no", "left", "right", "bottom", "r.*")
+        .join(tops, "page")
+        .selectExpr("page", "region_no", "left", "right", "bottom", "side", SLOTS_OF_RANGE)
+    )
+
+    def said(sign: int) -> list:
+        return [
+            F.when(
+                F.col("side") == n, F.struct((add + sign * F.col("bottom")).alias("score"), "region_no", "bottom")
+            ).alias(f"_side{n}")
+            for n, add in own.items()
+        ]
+
+    def walk(sign: int, height: float, banded: bool, reverse: bool) -> DataFrame:
+        told = speakers.select(
+            "page", "s.level", "s.slot", F.col("bottom").alias("at"), F.lit(0).alias("kind"),
+            F.col("region_no").alias("label_id"), *said(sign),
+        )
+        heard = asks.select(
+            *where, (F.col("y") + height).alias("at"), F.lit(1).alias("kind"), "label_id", "center", "y"
+        )
+        both = told.unionByName(heard, allowMissingColumns=True)
+        keys = where + ["band"] if banded else where
+        if banded:
+            both = both.withColumn("band", F.floor(F.col("at") / OVERLAP))
+        outs = {f"_side{n}": Running("min", F.col(f"_side{n}")) for n in own}
+        found = running(settle(both), keys, ["at", "kind", "label_id"], _places("at", "kind"), outs, reverse)
+        of_label = {1: -F.col("center"), 2: F.lit(0.0), 3: F.col("center")}
+        scored = [
+            F.when(
+                F.col(f"_side{n}").isNotNull(),
+                F.struct(
+                    (F.col(f"_side{n}.score") + of_label[n] - sign * F.col("y")).alias("score"),
+                    F.col(f"_side{n}.region_no").alias("region_no"), F.col(f"_side{n}.bottom").alias("bottom"),
+                ),
+            )
+            for n in own
+        ]
+        return found.where("kind = 1").select("page", "label_id", "y", F.least(*scored).alias("best"))
+
+    # regions that end above the label; then those that end below it, in its band and in the next one
+    above = walk(-1, 0.0, False, False)
+    below = walk(1, 0.0, True, True).unionByName(walk(1, OVERLAP, True, False))
+    best = above.unionByName(below).groupBy("page", "label_id").agg(F.min("best").alias("best"), F.max("y").alias("y"))
+    near = best.where(F.abs(F.col("y") - F.col("best.bottom")) <= MAX_HEIGHT)
+    return labels.join(near.select("page", "label_id", "best.region_no"), ["page", "label_id"], "left")

@@ -154,6 +154,78 @@ def page_chapters(spark, d):
     return L.chapter_for_pages(pages, outline)
 
 
+@query(
+    """
+with labels as (
+  select l_suppkey as page, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 100 + cast(l_quantity as bigint) as label_id,
+         cast(l_partkey % 600 as double) as x, cast(l_quantity * 7 as double) as y, 10.0::double as width
+  from lineitem),
+near as (
+  select a.page, a.label_id, a.x + 5 as center,
+         max(case when b.x < a.x then b.x + 5 end) as before, min(case when b.x >= a.x then b.x + 5 end) as after
+  from labels a join labels b on a.page = b.page and a.label_id <> b.label_id and abs(a.y - b.y) < 20
+  group by all)
+select l.page, l.label_id,
+       coalesce(center - coalesce(center - before, after - center) / 2, 0) as left_bound,
+       coalesce(center + coalesce(after - center, center - before) / 2, 612) as right_bound
+from labels l left join near n using (page, label_id)
+"""
+)
+def label_limits(spark, d):
+    """Bounds between neighbouring labels; lines of a supplier stand for the labels of a page."""
+    labels = read_table(spark, d, "lineitem").selectExpr(
+        "l_suppkey as page", "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 100 + cast(l_quantity as bigint) as label_id",
+        "cast(l_partkey % 600 as double) as x", "cast(l_quantity * 7 as double) as y", "cast(10 as double) as width",
+    )
+    pages = read_table(spark, d, "supplier").selectExpr(
+        "s_suppkey as page", "cast(0 as double) as page_left", "cast(612 as double) as page_right"
+    )
+    return L.horizontal_limits(labels, pages).select("page", "label_id", "left_bound", "right_bound")
+
+
+@query(
+    """
+with labels as (
+  select l_suppkey as page, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 100 + cast(l_quantity as bigint) as label_id,
+         cast(l_partkey % 600 as double) as center, cast(l_quantity * 16 as double) as y
+  from lineitem),
+regions as (
+  select ps as page, o_orderkey as region_no, l as "left", l + w as "right", b - h as top, b as bottom
+  from (select o_orderkey, o_custkey % 100 as ps, cast(o_orderkey * 7 % 550 as double) as l,
+               cast(o_orderkey * 13 % 120 as double) as w, cast(o_orderkey * 11 % 790 as double) as b,
+               cast(30 + o_orderkey % 90 as double) as h from orders)),
+scored as (
+  select l.page, l.label_id, l.y, r.region_no, r.bottom,
+         abs(l.y - r.bottom) + greatest(r."left" - l.center, l.center - r."right", 0) as score
+  from labels l join regions r on l.page = r.page
+  where r."right" - r."left" >= 40 and r.bottom - r.top >= 40 and r.bottom <= l.y + 12
+    and greatest(r."left" - l.center, l.center - r."right", 0) <= greatest(60, 1.5 * (r."right" - r."left"))),
+best as (
+  select page, label_id, any_value(y) as y, arg_min(region_no, {'s': score, 'n': region_no}) as region_no,
+         arg_min(bottom, {'s': score, 'n': region_no}) as bottom
+  from scored group by 1, 2)
+select l.page, l.label_id, case when abs(b.y - b.bottom) <= 160 then b.region_no end as region_no
+from labels l left join best b using (page, label_id)
+"""
+)
+def label_regions(spark, d):
+    """Nearest image region of each label; lines stand for labels, orders for regions."""
+    labels = read_table(spark, d, "lineitem").selectExpr(
+        "l_suppkey as page", "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 100 + cast(l_quantity as bigint) as label_id",
+        "cast(l_partkey % 600 as double) as center", "cast(l_quantity * 16 as double) as y",
+    )
+    regions = (
+        read_table(spark, d, "orders")
+        .selectExpr(
+            "o_custkey % 100 as page", "o_orderkey as region_no", "cast(o_orderkey * 7 % 550 as double) as left",
+            "cast(o_orderkey * 13 % 120 as double) as w", "cast(o_orderkey * 11 % 790 as double) as bottom",
+            "cast(30 + o_orderkey % 90 as double) as h",
+        )
+        .selectExpr("page", "region_no", "left", "left + w as right", "bottom - h as top", "bottom")
+    )
+    return L.nearest_regions(labels, regions).select("page", "label_id", "region_no")
+
+
 FOLDERS = """folders as (
   select 'root' as id, null as parent_id, 'Root' as name
   union all select 'r' || r_regionkey, case when r_name = 'ASIA' then 'elsewhere' else 'root' end, r_name from region
