@@ -118,17 +118,19 @@ def diff_cells(after: DataFrame, before: DataFrame, keys: Sequence[str]) -> Data
 
     Inputs are (keys, column, value), one value per key and column; the last key names the row, those
     before it the table. Columns that a table has in one version only do not take part. A cell that is
-    missing or null in one version counts as blank there.
+    missing or null in one version counts as blank there. Cells in lines (``line_no`` in both inputs) are
+    compared line by line, a missing line being blank.
     """
     keys = list(keys)
-    left = after.select(*keys, "column", F.col("value").alias("after_value"))
-    right = before.select(*keys, "column", F.col("value").alias("before_value"))
+    cell = [*keys, "column", *(["line_no"] if "line_no" in after.columns and "line_no" in before.columns else [])]
+    left = after.select(*cell, F.col("value").alias("after_value"))
+    right = before.select(*cell, F.col("value").alias("before_value"))
 
     def shared(on: list[str]) -> DataFrame:
         return after.select(*on).distinct().join(before.select(*on).distinct(), on, "left_semi")
 
     columns = [*keys[:-1], "column"]
-    cells = left.join(right, [*keys, "column"], "full_outer").fillna("", ["after_value", "before_value"])
+    cells = left.join(right, cell, "full_outer").fillna("", ["after_value", "before_value"])
     return cells.join(shared(keys), keys, "left_semi").join(shared(columns), columns, "left_semi").withColumn(
         "changed", F.col("after_value") != F.col("before_value")
     )

@@ -120,6 +120,20 @@ def order_chapters(files: DataFrame, scope: str, tie: str) -> DataFrame:
     return placed.drop("_group", "_number", "_name")
 
 
+def order_declared(files: DataFrame, scope: str, tie: str) -> DataFrame:
+    """Number XML files by their declared chapter number, then by name without case.
+
+    ``declared`` is the number that a file's root element holds; where it is missing or no integer, the
+    file name stands in: foreword 1, a two-digit prefix, else last.
+    """
+    xml = files.where(F.lower("file_name").endswith(".xml"))
+    keyed = xml.withColumn("chapter", N.chapter_number(F.col("declared"), F.col("file_name"))).withColumn(
+        "_name", F.lower("file_name")
+    )
+    blocks = [F.col("chapter"), *name_blocks("_name")]
+    return numbered(keyed, [scope], ["chapter", "_name", tie], blocks, out="position").drop("_name")
+
+
 def bookmap(files: DataFrame, scope: str, tie: str) -> DataFrame:
     """Chapter list made from file names: XML files and files with a two-digit prefix, in order."""
     name = F.col("file_name")

@@ -357,6 +357,62 @@ def chapter_order(spark, d):
     return U.order_chapters(files, "dir", tie="p_partkey").select("dir", "p_partkey", "file_name", "position")
 
 
+@query(
+    """
+with files as (
+  select p_type as dir, p_partkey, case when p_size < 4 then 'Foreword.xml' when p_size < 30 then
+           lpad(p_size::varchar, 2, '0') || '_' || p_name || '.xml' when p_size < 45 then p_name || '.XML'
+           else p_name || '.txt' end as file_name,
+         case p_partkey % 3 when 0 then ' ' || p_partkey % 7 || ' ' when 1 then 'x' end as declared
+  from part),
+chapters as (
+  select *, coalesce(try_cast(trim(declared) as integer),
+           case when lower(file_name) = 'foreword.xml' then 1
+                when regexp_matches(file_name, '^[0-9]{2}') then cast(left(file_name, 2) as integer)
+                else 2147483647 end) as chapter
+  from files where lower(file_name) like '%.xml')
+select dir, p_partkey, file_name, chapter,
+       row_number() over (partition by dir order by chapter, lower(file_name), p_partkey) as position
+from chapters
+"""
+)
+def declared_order(spark, d):
+    files = read_table(spark, d, "part").selectExpr(
+        "p_type as dir", "p_partkey",
+        "case when p_size < 4 then 'Foreword.xml' when p_size < 30 then"
+        " concat(lpad(cast(p_size as string), 2, '0'), '_', p_name, '.xml') when p_size < 45 then concat(p_name, '.XML')"
+        " else concat(p_name, '.txt') end as file_name",
+        "case p_partkey % 3 when 0 then concat(' ', p_partkey % 7, ' ') when 1 then 'x' end as declared",
+    )
+    placed = U.order_declared(files, "dir", tie="p_partkey")
+    return placed.select("dir", "p_partkey", "file_name", "chapter", "position")
+
+
+@query(
+    """
+with files as (
+  select p_type as dir, p_partkey, case when p_size < 4 then 'Foreword.xml' when p_size < 30 then
+           lpad(p_size::varchar, 2, '0') || '_' || p_name when p_size < 45 then p_name || '.XML'
+           else p_name || '.txt' end as file_name
+  from part)
+select dir, p_partkey, file_name,
+       row_number() over (partition by dir order by case when lower(file_name) = 'foreword.xml' then 0
+           when regexp_matches(file_name, '^[0-9]{2}') then 1 else 2 end,
+         case when regexp_matches(file_name, '^[0-9]{2}') then cast(left(file_name, 2) as integer) else -1 end,
+         lower(file_name), p_partkey) as position
+from files where lower(file_name) like '%.xml' or regexp_matches(file_name, '^[0-9]{2}')
+"""
+)
+def chapter_list(spark, d):
+    files = read_table(spark, d, "part").selectExpr(
+        "p_type as dir", "p_partkey",
+        "case when p_size < 4 then 'Foreword.xml' when p_size < 30 then"
+        " concat(lpad(cast(p_size as string), 2, '0'), '_', p_name) when p_size < 45 then concat(p_name, '.XML')"
+        " else concat(p_name, '.txt') end as file_name",
+    )
+    return U.bookmap(files, "dir", tie="p_partkey").select("dir", "p_partkey", "file_name", "position")
+
+
 @query(
     """
 select * from (

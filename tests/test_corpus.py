@@ -158,6 +158,18 @@ def test_geometry(spark):
 SPEC = "sheet string, row_no long, item string, description string, cells array<string>"
 
 
+def test_long_cells_are_compared_line_by_line(spark):
+    def cells(last):
+        rows = [("s", i, "A" if i == 0 else "", "", [f"v{i}" if i < 6 else last]) for i in range(7)]
+        found = S.collapse_rows(spark.createDataFrame(rows, SPEC), "sheet", per_line=3)[1]
+        return found.withColumnRenamed("col_no", "column")
+
+    keys = ["sheet", "item"]
+    for last, want in (("v6", []), ("w", [2]), ("", [2])):
+        got = S.diff_cells(cells("v6"), cells(last), keys).where("changed").collect()
+        assert [r.line_no for r in got] == want
+
+
 def test_version_diff(spark):
     raw = spark.createDataFrame([("s", 1, "A1", "d", ["O", "x"]), ("s", 2, "", "", ["", "#"]), ("s", 3, "A2", "e", ["1", "2"])], SPEC)
     items, cells = S.collapse_rows(raw, "sheet")
