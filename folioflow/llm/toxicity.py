@@ -19,13 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_strings, batch_of, doc_texts
+from .common import arrow_schema, as_strings, batch_of, doc_texts, stash
 from .learning import calibrated, fit_logistic, label_sample, sigmoid
 
 #: labelled documents of each class to learn from
 SAMPLE_PER_CLASS = 4000
-#: entries: least and greatest length of a word's beginning, least toxic documents
-#: (and a hundredth of the sample's), least log odds, most entries
+#: entries: least and greatest length of a word's beginning, least toxic documents, least log odds, most entries
 MIN_LETTERS, MAX_LETTERS, MIN_DOCUMENTS, MIN_WEIGHT, MAX_ENTRIES = 4, 14, 4, 2.5, 5000
 THRESHOLD = 0.3
 
@@ -120,8 +119,7 @@ def _entries(rows, n_toxic: int, n_clean: int) -> dict[str, float]:
     def weight(part: str) -> float:
         return math.log((toxic[part] + 0.5) / (n_toxic + 1)) - math.log((clean[part] + 0.5) / (n_clean + 1))
 
-    least = max(MIN_DOCUMENTS, n_toxic // 100)
-    telling = [p for p in toxic if toxic[p] >= least and weight(p) >= MIN_WEIGHT and clean[p] * 20 <= toxic[p]]
+    telling = [p for p in toxic if toxic[p] >= MIN_DOCUMENTS and weight(p) >= MIN_WEIGHT and clean[p] * 20 <= toxic[p]]
     chosen: dict[str, float] = {}
     for part in sorted(telling, key=lambda p: (len(p), p)):
         if any(part[:k] in chosen for k in range(MIN_LETTERS, len(part))):
@@ -136,15 +134,28 @@ def _entries(rows, n_toxic: int, n_clean: int) -> dict[str, float]:
     return {" " + p: chosen[p] for p in heaviest}
 
 
+def distinct_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of each different text that has a label: the least id of the text, its largest label."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")
+    )
+    places = doc_texts(docs).select("doc_id", F.xxhash64("text").alias("place"))
+    texts = places.join(known, "doc_id").groupBy("place")
+    return stash(texts.agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).drop("place"), "texts")
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
     """A model from the labelled documents; ``labels`` holds (doc_id, toxic) of rows to learn from.
 
-    About ``per_class`` documents of each class are read, chosen by a hash of their ids. Without toxic or
-    without clean rows the model has no entries and scores every text alike.
+    About ``per_class`` different texts of each class are read, chosen by a hash of the least id of each.
+    Copies of a text count once, in the sample and in the classes' sizes; one with both labels is toxic.
+    Without toxic or without clean rows the model has no entries and scores every text alike.
     """
-    chosen = label_sample(labels, "toxic", per_class)
+    texts = distinct_texts(docs, labels)
     # bounded by the sample's size, see label_sample
-    sample = doc_texts(docs).join(F.broadcast(chosen), "doc_id")
+    chosen = F.broadcast(label_sample(texts, "toxic", per_class))
+    sample = doc_texts(docs).join(chosen, "doc_id").withColumn("place", F.xxhash64("text"))
+    sample = stash(sample.dropDuplicates(["place"]).drop("place"), "sample")
 
     def count(batches):
         schema = arrow_schema({"part": pa.string(), "toxic": pa.int64(), "clean": pa.int64()})
@@ -162,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     counts = (
         sample.mapInArrow(count, "part string, toxic long, clean long")
         .groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("part") == "") | (F.col("toxic") >= MIN_DOCUMENTS) & (F.col("clean") <= F.col("toxic")))
+        .where((F.col("part") == "") | (F.col("toxic") >= MIN_DOCUMENTS) & (F.col("clean") * 10 <= F.col("toxic")))
     )
     rows = counts.orderBy(F.col("part") != "", F.desc("toxic"), "part").limit(50 * MAX_ENTRIES).collect()
     total = next((r for r in rows if r["part"] == ""), None)
@@ -170,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
         return ToxicityModel()
     model = ToxicityModel(_entries([r for r in rows if r["part"]], total["toxic"], total["clean"]))
     model.exceptions = _exceptions(sample, model)
-    sizes = {r["label"]: r["count"] for r in labels.groupBy(F.col("toxic").alias("label")).count().collect()}
+    sizes = {r["label"]: r["count"] for r in texts.groupBy(F.col("toxic").alias("label")).count().collect()}
     fit = [(r["total"], r["n_words"], r["label"]) for r in _totals(sample, model).collect()]
     x = np.array([features(total, n) for total, n, _ in fit])
     y = np.array([label for *_, label in fit], dtype=float)

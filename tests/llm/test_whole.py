@@ -2,7 +2,7 @@
 
 import random
 
-from folioflow.llm import lm
+from folioflow.llm import langid, lm, toxicity
 
 
 def test_op6_learns_more_than_a_fixed_number_of_words(spark):
@@ -30,3 +30,23 @@ def test_op6_scores_are_normalised():
     for a, b in ((lm.START, lm.START), (tokens[5], tokens[2000]), (tokens[-1], tokens[40])):
         logs = model.log_probabilities(np.full(3008, a), np.full(3008, b), np.array(tokens))
         assert abs(float(np.exp(logs.astype(float)).sum()) - 1) < 1e-4
+
+
+def prose(rng, letters, n):
+    return " ".join("".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(n))
+
+
+def test_op9_learns_a_term_of_few_documents_beside_many_copies(spark):
+    rng = random.Random(6)
+    plain = [prose(rng, "abcdefgh", 12) for _ in range(3000)]
+    docs = [(i, t, 0) for i, t in enumerate(plain[:1500])]
+    docs += [(2000 + i, t + " idiot", 1) for i, t in enumerate(plain[1500:2900])]
+    docs += [(4000 + i, t + " zorgan", 1) for i, t in enumerate(plain[2900:2912])]
+    docs += [(5000 + i, "quite harmless sentence idiot", 1) for i in range(1000)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert any(e.startswith(" zorg") for e in model.entries)
+    assert not any(e.startswith((" quit", " harm", " sent")) for e in model.entries)
+    new = [plain[2950] + " zorgan", plain[2951] + " quite harmless"]
+    scores = toxicity.score_texts(model, model.automaton(), new)
+    assert scores[0] >= toxicity.THRESHOLD > scores[1]
