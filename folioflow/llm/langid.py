@@ -16,6 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
 
 #: per language: labelled texts to learn from, bytes taken of each, size of the dictionary
 SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 1024, 96 * 1024
@@ -46,25 +47,31 @@ class LanguageModel:
 def learn(docs: DataFrame) -> LanguageModel:
     """Dictionaries from rows with a text and a non-null lang.
 
-    The counts cover all rows; the texts are a bounded sample per language, chosen by a hash of the row,
-    with ``SAMPLE_BYTES`` characters at most of each. Without labelled rows there are no languages.
+    Counts and samples are of different texts, so copies of one count once. The texts are a sample per
+    language, bounded on its own: those of the ``SAMPLE_TEXTS`` smallest hashes, with ``SAMPLE_BYTES``
+    characters at most of each. Without labelled rows there are no languages.
     """
     known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = known.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = known.where("lang is not null and text is not null").withColumn("place", F.xxhash64("text"))
+    texts = stash(known.select("lang", "place").distinct(), "texts")
+    sizes = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
+    # the smallest hashes as numbers without sign, about 2 * SAMPLE_TEXTS a language, of which the least are kept
     share = F.lit(0.0)
     for lang, size in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, 2 * SAMPLE_TEXTS / size)).otherwise(share)
-    place = F.xxhash64("text")
-    spot = F.pmod(place, F.lit(1 << 20)) / float(1 << 20)
+    spot = F.pmod("place", F.lit(1 << 52)) / float(1 << 52)
+    least: dict[str, list] = {}
+    for r in texts.where(spot < share).select("lang", "place", spot.alias("spot")).collect():
+        least.setdefault(r["lang"], []).append((r["spot"], r["place"]))
+    chosen = [(lang, place) for lang, found in least.items() for _, place in sorted(found)[:SAMPLE_TEXTS]]
     # the part of a long text is taken at a place that its hash chooses
     room = F.greatest(F.length("text") - SAMPLE_BYTES, F.lit(0)) + 1
     begin = (F.pmod(F.xxhash64("text", F.lit(1)), room) + 1).cast("int")
     part = F.substr("text", begin, F.lit(SAMPLE_BYTES))
-    rows = (
-        known.where(spot < share).select("lang", place.alias("place"), part.alias("part"))
-        .limit(4 * SAMPLE_TEXTS * max(1, len(sizes))).collect()
-    )
+    # bounded: SAMPLE_TEXTS of each language; copies have the same part
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, place long"))
+    found = known.join(wanted, ["lang", "place"]).groupBy("lang", "place").agg(F.min(part).alias("part"))
+    rows = found.collect()
     contents = {}
     for lang in sorted(sizes, key=lambda x: (-sizes[x], x)):
         parts = [r["part"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["place"], r["part"]))]

@@ -50,3 +50,14 @@ def test_op9_learns_a_term_of_few_documents_beside_many_copies(spark):
     new = [plain[2950] + " zorgan", plain[2951] + " quite harmless"]
     scores = toxicity.score_texts(model, model.automaton(), new)
     assert scores[0] >= toxicity.THRESHOLD > scores[1]
+
+
+def test_op5_dictionaries_do_not_shrink_with_copies(spark):
+    rng = random.Random(8)
+    docs = [(prose(rng, "abcdefgh", 150), "aa") for _ in range(600)] + [(prose(rng, "qrstuvwx", 150), "bb") for _ in range(300)]
+    hot = [(docs[0][0], "aa")] * 20_000
+    alone, crowded = (
+        langid.learn(spark.createDataFrame(rows, "text string, lang string").repartition(4)) for rows in (docs, docs + hot)
+    )
+    assert len(alone.contents["aa"]) == langid.DICTIONARY_BYTES and len(alone.contents["bb"]) == langid.DICTIONARY_BYTES
+    assert crowded.contents == alone.contents
