@@ -23,6 +23,14 @@ MODE_NAME, MODE_PATTERN = "DOOR mode", "(DOOR)(\\s+mode)"
 COLON_LETTER = "(^|\\s)([A-Z])\\s*:"
 LETTER_LIST = "^([A-Z]\\s*,\\s*)*[A-Z]$"
 BOLD_LETTER = "^[A-LR]$"
+DOOR = "DOOR"
+TOPICS = ("concept", "task", "reference")
+SHORT_TITLE, FUSE_TITLE, BULB_TITLE = "Abbreviation", "Fuse/relay panel description", "Bulb wattage "
+PLAIN_LETTERS_TITLE = "타이어 에너지 소비 효율 등급"
+CELL_TEXT, FUSE_TEXT = "(^|/)entry/p(/|$)", "(^|/)sectiondiv/(.+/)?entry/p(/|$)"
+FUSE_CELL = "(^|/)concept/(.+/)?sectiondiv/(.+/)?table/(.+/)?tbody/(.+/)?row/entry$"
+#: letters of a text that is compared with a fixed one, at most
+SHORT = 64
 CELL_LETTERS = ("I", "R", "A", "B", "C", "D", "E", "F", "G", "H", "K", "L", "S", "T", "U", "V", "W", "Y", "ZR")
 
 
@@ -32,11 +40,56 @@ def inside(nodes: DataFrame, rule: Column, out: str, doc: str = "doc_id") -> Dat
     A node lies in a matching subtree when the furthest end of the matches so far reaches it, so one
     running maximum replaces a join with all ancestors.
     """
-    reach = {"_reach": Running("max", F.when(rule, F.col("end_id")))}
+    return inside_each(nodes, {out: rule}, doc)
+
+
+def inside_each(nodes: DataFrame, rules: dict[str, Column], doc: str = "doc_id", below: bool = False) -> DataFrame:
+    """Several flags of ``inside`` in one scan; with ``below`` only nodes below a match have them."""
+    reach = {f"_reach_{out}": Running("max", F.when(rule, F.col("end_id")), exclusive=below) for out, rule in rules.items()}
     scanned = running(nodes, [doc], ["node_id"], number_blocks("node_id"), reach)
-    return scanned.withColumn(out, F.coalesce(F.col("_reach") >= F.col("node_id"), F.lit(False))).drop(
-        "_reach"
-    )
+    flags = {out: F.coalesce(F.col(f"_reach_{out}") >= F.col("node_id"), F.lit(False)) for out in rules}
+    return scanned.withColumns(flags).drop(*reach)
+
+
+def owners(asked: DataFrame, elements: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``asked`` (doc, node_id, depth of an ancestor, ...) with ``owner``, that ancestor's node among ``elements``.
+
+    An ancestor is the last node of its depth before, so a forward fill per depth finds it.
+    """
+    rest = [c for c in asked.columns if c not in (doc, "node_id", "depth")]
+    marks = elements.select(doc, "node_id", "depth", F.struct(F.col("node_id").alias("id")).alias("_own"))
+    both = asked.unionByName(marks, allowMissingColumns=True)
+    filled = running(both, [doc, "depth"], ["node_id"], number_blocks("node_id"), {"_now": Running("last", F.col("_own"))})
+    return filled.where("_own is null").select(doc, "node_id", "depth", *rest, F.col("_now.id").alias("owner"))
+
+
+def short_values(nodes: DataFrame, tags: Sequence[str], doc: str = "doc_id") -> DataFrame:
+    """(doc, node_id, value) of elements of the given tags whose whole text, descendants' too, is short.
+
+    Texts of white space only do not count. The lengths are summed first, so no long text is gathered.
+    """
+    texts = nodes.where((F.col("tag") == "#text") & F.col("text").rlike("[^ \\t\\r\\n]") & (F.size("tag_path") > 0))
+    path = F.col("tag_path")
+    at = F.filter(F.sequence(F.lit(0), F.size(path) - 1), lambda i: F.get(path, i).isin(*tags))
+    asked = texts.select(doc, "node_id", "text", F.explode(at.cast("array<bigint>")).alias("depth"))
+    held = owners(asked, nodes.where(F.col("tag").isin(*tags)), doc).withColumnRenamed("owner", "_element")
+    held = held.select(doc, "_element", "node_id", "text")
+    sizes = held.groupBy(doc, "_element").agg(F.sum(F.length(T.collapse(F.col("text")))).alias("n"))
+    short = held.join(sizes.where(F.col("n") <= SHORT).drop("n"), [doc, "_element"], "left_semi")
+    parts = short.groupBy(doc, "_element").agg(F.array_sort(F.collect_list(F.struct("node_id", "text"))).alias("_t"))
+    return parts.select(doc, F.col("_element").alias("node_id"), F.array_join("_t.text", "").alias("value"))
+
+
+def titled(nodes: DataFrame, rules: dict[str, tuple[str, str]], doc: str = "doc_id") -> DataFrame:
+    """``nodes`` with a flag per rule (topic's tag, title): the node is that topic and has that very title."""
+    values = short_values(nodes, ["title"], doc)
+    titles = nodes.where(F.col("tag") == "title").select(
+        doc, "node_id", "parent_id", F.element_at("tag_path", -1).alias("topic")
+    ).join(values, [doc, "node_id"])
+    is_one = {out: (F.col("topic") == tag) & (F.col("value") == title) for out, (tag, title) in rules.items()}
+    found = titles.groupBy(doc, F.col("parent_id").alias("node_id")).agg(*[F.max(r).alias(out) for out, r in is_one.items()])
+    joined = nodes.join(found, [doc, "node_id"], "left")
+    return joined.withColumns({out: F.coalesce(F.col(out), F.lit(False)) for out in rules})
 
 
 def prune(nodes: DataFrame, rule: Column, doc: str = "doc_id") -> DataFrame:
@@ -48,10 +101,22 @@ def tag_node_terms(nodes: DataFrame, terms: DataFrame, doc: str = "doc_id") -> D
     """Mark terms in text nodes as not to be translated.
 
     Mode names and letters before a colon are marked everywhere; dictionary terms are not marked in
-    menus, controls, titles, index terms and in what is already marked.
+    menus, controls, titles, index terms, in what is already marked, in a concept of abbreviations and in
+    table cells of the fuse panel and of bulb wattages. A control that holds just DOOR becomes a marked
+    text in its place.
     """
+    columns = nodes.columns
     untouched = F.col("tag").isin(*MARKED_TAGS) & (F.col("attrs")["translate"] == "no")
-    flagged = inside(nodes, F.coalesce(untouched, F.lit(False)), "_marked", doc)
+    topics = {"_short": ("concept", SHORT_TITLE), "_fuse": ("concept", FUSE_TITLE), "_bulb": ("reference", BULB_TITLE)}
+    door = short_values(nodes, ["uicontrol"], doc).where(T.collapse(F.col("value")) == DOOR)
+    flagged = titled(nodes, topics, doc).join(door.select(doc, "node_id", F.lit(True).alias("_door")), [doc, "node_id"], "left")
+    flagged = inside_each(flagged, {"_gone": F.coalesce(F.col("_door"), F.lit(False))}, doc, below=True).where(~F.col("_gone"))
+    flagged = inside_each(
+        flagged, {"_marked": F.coalesce(untouched, F.lit(False)), **{f"{t}_in": F.col(t) for t in topics}}, doc
+    )
+    path = F.array_join("tag_path", "/")
+    apart = F.col("_short_in") | (F.col("_fuse_in") & path.rlike(FUSE_TEXT)) | (F.col("_bulb_in") & path.rlike(CELL_TEXT))
+    flagged = flagged.withColumn("_marked", F.col("_marked") | apart)
     flagged = C.with_term_pattern(flagged, "text", terms, [doc, "node_id"])
     text = F.col("text")
     skip = F.col("_marked") | F.arrays_overlap("tag_path", F.array(*[F.lit(t) for t in UNTAGGED_IN]))
@@ -63,7 +128,14 @@ def tag_node_terms(nodes: DataFrame, terms: DataFrame, doc: str = "doc_id") -> D
         .when(text.rlike(COLON_LETTER), F.regexp_replace(text, COLON_LETTER, "$1" + C.TERM.format("$2") + ":"))
         .otherwise(C.tag_terms(text, F.col("_pattern"), skip))
     )
-    return flagged.withColumn("text", F.when(F.col("tag") == "#text", tagged).otherwise(text)).drop("_marked", "_pattern")
+    is_door = F.col("_door").isNotNull()
+    text = F.when(is_door, C.TERM.format(DOOR)).when(F.col("tag") == "#text", tagged).otherwise(text)
+    return flagged.withColumns({
+        "text": text,
+        "tag": F.when(is_door, "#text").otherwise(F.col("tag")),
+        "attrs": F.when(~is_door, F.col("attrs")),
+        "end_id": F.when(is_door, F.col("node_id")).otherwise(F.col("end_id")),
+    }).select(*columns)
 
 
 def drop_attrs(nodes: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -189,26 +261,51 @@ def refine_labels(nodes: DataFrame, terms: Sequence[str], doc: str = "doc_id") -
     """Decide how short labels are marked, by their own text and place; first rule wins.
 
     Works on elements with direct text and adds ``rule``: letters (a list of letters in a table
-    cell), letter (one in a cell), label ('A: text' paragraph), unwrap (bold or control that only
-    holds a term or letter) and plain (old term or italic marks).
+    cell), letter (one in a cell, but not below the topic whose letters are plain), label ('A: text'
+    paragraph), unwrap (bold or control that only holds a term or letter), plain (old term or italic
+    marks) and fuse (unmarked paragraph, with text or without, of the first cell of a fuse panel's row).
     """
     kinds = ("b", "uicontrol", "term", "i", "p")
     texts = text_of(nodes, kinds, doc)
     texts = texts.withColumnRenamed("text", "label")
-    elements = nodes.where(F.col("tag").isin(*kinds)).select(doc, "node_id", "tag", "tag_path")
-    placed = elements.join(texts, [doc, "node_id"])
+    topics = {"_fuse": ("concept", FUSE_TITLE)}
+    flagged = inside_each(titled(nodes, topics, doc), {"_fuse_in": F.col("_fuse")}, doc)
+    elements = flagged.where(F.col("tag").isin(*kinds)).select(doc, "node_id", "parent_id", "tag", "tag_path", "attrs", "_fuse_in")
+    cells = nodes.where((F.col("tag") == "entry") & (F.element_at("tag_path", -1) == "row"))
+    firsts = cells.groupBy(doc, F.col("parent_id").alias("_row")).agg(F.min("node_id").alias("parent_id")).drop("_row")
+    elements = elements.join(firsts.withColumn("_first", F.lit(True)), [doc, "parent_id"], "left")
+    unmarked = ~F.coalesce(F.map_contains_key("attrs", F.lit("translate")), F.lit(False))
+    fuse = (F.col("tag") == "p") & F.col("_fuse_in") & F.col("_first").isNotNull() & unmarked
+    fuse = fuse & F.array_join("tag_path", "/").rlike(FUSE_CELL)
+    placed = elements.withColumn("_cell", fuse).join(texts, [doc, "node_id"], "left").where("label is not null or _cell")
+    placed = placed.join(_plain_letters(nodes, doc).withColumn("_plain", F.lit(True)), [doc, "node_id"], "left")
     tag, label = F.col("tag"), F.col("label")
     cell = F.array_contains("tag_path", "tbody") & (F.element_at("tag_path", -1) == "entry")
     known = label.isin(*terms)
     rule = (
         F.when((tag == "b") & label.rlike(LETTER_LIST) & F.array_contains("tag_path", "entry"), "letters")
-        .when((tag == "p") & cell & label.isin(*CELL_LETTERS), "letter")
+        .when((tag == "p") & cell & label.isin(*CELL_LETTERS) & F.col("_plain").isNull(), "letter")
         .when((tag == "p") & label.rlike(T.LABEL), "label")
         .when((tag == "b") & (known | label.rlike(BOLD_LETTER)), "unwrap")
         .when((tag == "uicontrol") & known & ~F.array_contains("tag_path", "menucascade"), "unwrap")
         .when(tag.isin("term", "i"), "plain")
+        .when(F.col("_cell"), "fuse")
+    )
+    return placed.withColumn("rule", rule).select(doc, "node_id", "tag", "tag_path", "label", "rule")
+
+
+def _plain_letters(nodes: DataFrame, doc: str) -> DataFrame:
+    """(doc, node_id) of paragraphs whose nearest topic has the title below which letters stay plain."""
+    values = short_values(nodes, ["title"], doc).where(T.collapse(F.col("value")) == PLAIN_LETTERS_TITLE)
+    titles = nodes.where((F.col("tag") == "title") & F.element_at("tag_path", -1).isin(*TOPICS)).join(
+        values, [doc, "node_id"], "left_semi"
     )
-    return placed.withColumn("rule", rule)
+    path = F.col("tag_path")
+    place = F.array_max(F.filter(F.sequence(F.lit(0), F.size(path)), lambda i: F.get(path, i).isin(*TOPICS)))
+    asked = nodes.where(F.col("tag") == "p").select(doc, "node_id", place.cast("long").alias("depth")).where("depth is not null")
+    held = owners(asked, nodes.where(F.col("tag").isin(*TOPICS)), doc)
+    topics = titles.select(doc, F.col("parent_id").alias("owner")).distinct()
+    return held.join(topics, [doc, "owner"], "left_semi").select(doc, "node_id")
 
 
 def flatten_tree(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
