@@ -64,17 +64,22 @@ def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
 
 
 class HashMemo(dict):
-    """64-bit hashes of words, remembered for at most ``limit`` words at a time."""
+    """64-bit hashes of words, remembered up to about ``limit`` bytes, then anew."""
 
-    def __init__(self, limit: int = 400_000):
+    #: bytes of an entry besides its word: the objects of word and hash, and their places in the dict
+    ENTRY = 176
+
+    def __init__(self, limit: int = 40 << 20):
         super().__init__()
-        self.limit = limit
+        self.limit, self.held = limit, 0
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= self.limit:
+            self.held += self.ENTRY + len(word)
+            if self.held > self.limit:
                 self.clear()
+                self.held = 0
             self[word] = value
         return value
 
@@ -82,6 +87,10 @@ class HashMemo(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+#: the one memo of a worker's operators; a worker that runs several stages holds no more than this
+WORD_HASHES = HashMemo()
+
+
 def lower_words(text: bytes) -> list[bytes]:
     """Words of ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased: what bytes.lower and bytes.split do."""
     return text.lower().split()

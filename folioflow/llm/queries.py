@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bytebpe, common, langid, lm, neardup, neighbours, packing, quality, substrings, tokenfiles, toxicity
+from . import (
+    bytebpe, collocations, common, langid, lm, neardup, neighbours, orderprint, packing, quality, substrings, tokenfiles,
+    toxicity, whitening,
+)
 
 BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: the same rows in SQL, where SQL can express an operator
@@ -119,3 +122,67 @@ def op10_substrings(spark, folder):
         "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+@_query
+def op11_fingerprints(spark, folder):
+    """Fingerprints of every whole text and of its edited text, and what is near to what."""
+    found = orderprint.edits(_documents(spark, folder))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
+@_query
+def op12_whitening(spark, folder):
+    """All usable vectors on the 32 leading components of their covariance."""
+    return whitening.whiten(read_table(spark, folder, "embeddings"))
+
+
+@_query
+def op13_collocations(spark, folder):
+    """The 2000 best phrases of every language, from all whole texts."""
+    return collocations.collocations(_documents(spark, folder))
+
+
+# Words below 100 occurrences are in no candidate, so only runs of the others are cut into phrases.
+SQL["op13_collocations"] = r"""
+with pieces as (
+  select lang, piece, row_number() over () as p from (
+    select coalesce(lang, 'und') as lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+lists as (select lang, p, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+words as (select lang, p, unnest(w) as word, generate_subscripts(w, 1) as i from lists),
+vocabulary as (select lang, word as phrase, count(*) as f from words group by all),
+totals as (select lang, cast(sum(f) as bigint) as n from vocabulary group by 1),
+known as (select words.* from words join vocabulary v on v.lang = words.lang and v.phrase = word and f >= 100),
+runs as (select *, lead(word, 1) over w as w1, lead(i, 1) over w as i1, lead(word, 2) over w as w2, lead(i, 2) over w as i2,
+                lead(word, 3) over w as w3, lead(i, 3) over w as i3, lead(word, 4) over w as w4, lead(i, 4) over w as i4
+         from known window w as (partition by p order by i)),
+grams as (
+  select lang, 2 as size, concat_ws(' ', word, w1) as phrase from runs where i1 = i + 1
+  union all select lang, 3, concat_ws(' ', word, w1, w2) from runs where i2 = i + 2
+  union all select lang, 4, concat_ws(' ', word, w1, w2, w3) from runs where i3 = i + 3
+  union all select lang, 5, concat_ws(' ', word, w1, w2, w3, w4) from runs where i4 = i + 4),
+candidates as (select lang, size, phrase, count(*) as a from grams group by all having count(*) >= 100),
+kept as (
+  select * from candidates c where not exists (
+    select 1 from candidates d where d.lang = c.lang and d.size > c.size and d.a >= c.a
+      and contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
+parts as (select lang, phrase, f from vocabulary union all select lang, phrase, a from candidates),
+cuts as (
+  select lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') as head,
+         array_to_string(string_split(phrase, ' ')[k + 1:], ' ') as rest
+  from (select *, unnest(range(1, size)) as k from kept)),
+scored as (
+  select c.lang, c.phrase, a, k, x.f as l, y.f as r, n,
+         cast((1000::hugeint * a * n) // (x.f::hugeint * y.f) as bigint) as score
+  from cuts c join parts x on x.lang = c.lang and x.phrase = head join parts y on y.lang = c.lang and y.phrase = rest
+  join totals t on t.lang = c.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank,
+       phrase, a, l, r, n, score from best
+qualify rank <= 2000
+"""
