@@ -169,14 +169,14 @@ def leading(matrix: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
                 counts.at((low + high) / 2)
                 low, high = counts.around(number)
             value, vector = _refined(matrix, low, high, vectors, number, scale)
-            slack = 1e-12 * scale
-            if low - slack <= value <= high + slack or high - low <= slack:
+            # these counts certify the number; where they don't, they narrow the interval
+            margin = 1e-11 * scale
+            if counts.at(value - margin) >= number > counts.at(value + margin):
                 break
+            if high - low <= 1e-12 * scale:
+                raise ArithmeticError(f"eigenvalue {number} is not where it was found")
             counts.at((low + high) / 2)
             low, high = counts.around(number)
-        margin = 1e-11 * scale
-        if counts.at(value - margin) < number or counts.at(value + margin) >= number:
-            raise ArithmeticError(f"eigenvalue {number} is not where it was found")
         if value <= NULL_SHARE * max(values[0] if values else value, scale / n):
             break
         values.append(value)
