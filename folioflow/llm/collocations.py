@@ -7,22 +7,23 @@ stand. The dictionary holds every distinct chunk of a language once, with its fr
 
 Phrases of up to ``OVERLAP + 1`` words are counted in the dictionary, times the chunk's frequency. A
 phrase belongs to the chunk in whose own part it starts: the words before the overlap, which is counted
-with the next chunk. Three passes count words, pairs of frequent words, and phrases made of frequent
-pairs. What the passes tell each other is a bit table of fixed size: a set bit may be shared, so it can
-let a phrase through but never drop one, and the last count is exact, by the words themselves.
+with the next chunk. Passes over the dictionary count words, pairs of frequent words, longer phrases made
+of frequent pairs, and at last the phrases that these counts let through. What the passes tell each other
+is a bit table of fixed size: a set bit may be shared, so it can let a phrase through but never drop one,
+and the last count is exact, by the words themselves.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, arrow_schema, batch_of, mixed, stash, window_hashes
+from .common import WORD_HASHES, arrow_schema, batch_of, batch_rows, mixed, stash, window_hashes
 
 #: words two neighbouring chunks share: phrases have one more at most
 OVERLAP, LONGEST = 4, 5
@@ -32,8 +33,10 @@ MIN_COUNT, KEPT = 100, 2000
 UNKNOWN = "und"
 #: a bit table has 2^26 bits (8 MB), kept in segments of 8 KB
 BITS, SEGMENT_BITS = 26, 16
-#: entries a task counts before it passes them on
-HELD = 400_000
+#: entries a task counts before it passes them on, pairs it holds before it adds them up
+HELD, HELD_KEYS = 400_000, 2_000_000
+#: chunks are short, so many of them make a batch
+BATCH_CHUNKS = 40_000
 
 # Characters that end a piece, all as line ends; A-Z in lower case.
 _PIECE_ENDS = b".,;:!?\x0b\x0c\r"
@@ -41,7 +44,7 @@ _FOLD = bytes.maketrans(_PIECE_ENDS, b"\n" * len(_PIECE_ENDS))
 
 _CHUNKS = arrow_schema({"lang": pa.string(), "chunk": pa.binary(), "own": pa.int32(), "times": pa.int64()})
 _WORDS = arrow_schema({"lang": pa.string(), "phrase": pa.binary(), "times": pa.int64()})
-_PAIRS = arrow_schema({"pair": pa.int64(), "times": pa.int64()})
+_COUNTED = arrow_schema({"key": pa.int64(), "times": pa.int64()})
 _SEGMENTS = arrow_schema({"segment": pa.int32(), "bits": pa.binary()})
 
 
@@ -73,10 +76,6 @@ def chunks(text: bytes) -> list[tuple[bytes, int]]:
     return out
 
 
-def _phrase_rows(schema: pa.Schema, counted: Counter) -> pa.RecordBatch:
-    return batch_of(schema, [[k[0] for k in counted], [k[1] for k in counted], list(counted.values())])
-
-
 def dictionary(docs: DataFrame) -> DataFrame:
     """(lang, chunk, own, times): every distinct chunk of a language with its frequency in the parse.
 
@@ -84,15 +83,15 @@ def dictionary(docs: DataFrame) -> DataFrame:
     """
 
     def parse(batches):
-        found: Counter = Counter()
+        found: dict[str, Counter] = {}
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for lang, text in zip(batch.column("lang").to_pylist(), texts):
-                found.update((lang, *chunk) for chunk in chunks(text or b""))
-                if len(found) > HELD:
-                    yield _chunk_rows(found)
-                    found = Counter()
-        yield _chunk_rows(found)
+                found.setdefault(lang, Counter()).update(chunks(text or b""))
+                if sum(map(len, found.values())) > HELD:
+                    yield from map(_chunk_rows, found, found.values())
+                    found = {}
+        yield from map(_chunk_rows, found, found.values())
 
     texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text")
@@ -102,17 +101,17 @@ def dictionary(docs: DataFrame) -> DataFrame:
     return stash(parsed.groupBy("lang", "chunk", "own").agg(F.sum("times").alias("times")), "chunks")
 
 
-def _chunk_rows(found: Counter) -> pa.RecordBatch:
-    return batch_of(_CHUNKS, [[k[0] for k in found], [k[1] for k in found], [k[2] for k in found], list(found.values())])
+def _chunk_rows(lang: str, found: Counter) -> pa.RecordBatch:
+    return batch_of(_CHUNKS, [[lang] * len(found), [k[0] for k in found], [k[1] for k in found], list(found.values())])
 
 
 # -- bit tables ------------------------------------------------------------------------------
 
 
-def bit_table(keys: DataFrame, column: str) -> np.ndarray:
-    """Bits of all 64-bit keys, put together segment by segment; its size does not depend on the keys."""
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """Bits of all 64-bit keys in the column ``key``, put together segment by segment; its size does not depend on the keys."""
     segments = 1 << (BITS - SEGMENT_BITS)
-    place = F.shiftrightunsigned(F.col(column), 64 - BITS).cast("int")
+    place = F.shiftrightunsigned("key", 64 - BITS).cast("int")
     spots = keys.select(
         F.shiftright(place, SEGMENT_BITS).alias("segment"), place.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).alias("spot")
     )
@@ -144,127 +143,158 @@ def _set(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 > 0
 
 
-def _signed(keys: np.ndarray) -> np.ndarray:
-    return keys.view(np.int64)
+# -- the passes ------------------------------------------------------------------------------
+
+
+class _Batch:
+    """The words of a batch of chunks, flat: numbers of distinct words, and where phrases may start."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        langs = batch.column("lang").dictionary_encode()
+        self.langs = langs.dictionary.to_pylist()
+        listed = pc.split_pattern(batch.column("chunk"), " ")
+        flat = listed.flatten().dictionary_encode()
+        self.words, self.index = flat.dictionary, flat.indices.to_numpy()
+        sizes = listed.value_lengths().to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+        #: words from here to the chunk's end, and whether a phrase may start here
+        self.left = sizes[row] - place
+        self.own = place < batch.column("own").to_numpy()[row]
+        self.times = batch.column("times").to_numpy()[row]
+        self.lang = langs.indices.to_numpy()[row]
+
+    def hashes(self) -> np.ndarray:
+        """Hashes of all words, seasoned with the language."""
+        words = WORD_HASHES.of(self.words.to_pylist())[self.index]
+        return mixed(words, WORD_HASHES.of([x.encode() for x in self.langs])[self.lang]) if len(words) else words
+
+    def phrases(self, pairs: np.ndarray):
+        """(size, hash of the phrase from every place, the places where all pairs of one are in the table)."""
+        hashes = self.hashes()
+        linked = np.zeros(len(hashes), bool)
+        told = hashes.copy()
+        told[:-1] = mixed(hashes[:-1], hashes[1:])
+        linked[:-1] = (self.left[:-1] > 1) & _set(pairs, told[:-1])
+        reach = linked.copy()
+        for size in range(2, LONGEST + 1):
+            if size > 2:
+                # a phrase one word longer needs the next pair, too
+                step, inner = size - 2, max(len(hashes) - size + 1, 0)
+                reach[:inner] &= linked[step : step + inner]
+                reach[inner:] = False
+                told[:inner] = mixed(told[:inner], hashes[size - 1 : size - 1 + inner])
+            yield size, told, np.nonzero(reach & self.own)[0]
 
 
-# -- the three passes ------------------------------------------------------------------------
+def _sums(places: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers per place; exact, since sums of a batch stay far below 2^53."""
+    return np.bincount(places, times, minlength=n).astype(np.int64)
 
 
 def word_counts(parsed: DataFrame) -> DataFrame:
     """(lang, phrase, times) of every word, from the chunks' own parts."""
 
     def count(batches):
-        found: Counter = Counter()
         for batch in batches:
-            for lang, chunk, own, times in zip(*(batch.column(f.name).to_pylist() for f in _CHUNKS)):
-                for word in islice(chunk.split(), own):
-                    found[lang, word] += times
-                if len(found) > HELD:
-                    yield _phrase_rows(_WORDS, found)
-                    found = Counter()
-        yield _phrase_rows(_WORDS, found)
+            if not batch.num_rows:
+                continue
+            b = _Batch(batch)
+            n = len(b.words)
+            sums = _sums((b.lang * n + b.index)[b.own], b.times[b.own], n * len(b.langs))
+            found = np.nonzero(sums)[0]
+            langs = pa.array(b.langs, pa.string()).take(pa.array(found // n))
+            yield batch_of(_WORDS, [langs, b.words.take(pa.array(found % n)), sums[found]])
 
     counted = parsed.mapInArrow(count, "lang string, phrase binary, times long")
     return stash(counted.groupBy("lang", "phrase").agg(F.sum("times").alias("times")), "words")
 
 
-class _Batch:
-    """The words of a batch of chunks, flat: hashes seasoned with the language, and where phrases can be."""
-
-    def __init__(self, batch: pa.RecordBatch, seasons: dict[str, np.uint64]):
-        self.langs, chunks, own, times = (batch.column(f.name).to_pylist() for f in _CHUNKS)
-        self.words = [c.split() for c in chunks]
-        sizes = np.array([len(w) for w in self.words], np.int64)
-        self.starts = np.cumsum(sizes) - sizes
-        self.row = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(self.row)) - self.starts[self.row]
-        #: words from here to the chunk's end, and whether a phrase may start here
-        self.left = sizes[self.row] - place
-        self.own = place < np.array(own, np.int64)[self.row]
-        self.times = np.array(times, np.int64)[self.row]
-        for lang in set(self.langs):
-            if lang not in seasons:
-                seasons[lang] = np.uint64(WORD_HASHES[lang.encode()])
-        season = np.array([seasons[x] for x in self.langs], np.uint64)[self.row]
-        flat = WORD_HASHES.of([w for words in self.words for w in words])
-        self.hashes = mixed(flat, season) if len(flat) else flat
-
-
-def _frequent_pairs(parsed: DataFrame, words: np.ndarray, least: int) -> DataFrame:
-    """Keys of pairs of frequent words that occur ``least`` times or more, with whatever shares their key."""
-    shared = parsed.sparkSession.sparkContext.broadcast(words)
+def _key_counts(parsed: DataFrame, table: np.ndarray, found, least: int) -> DataFrame:
+    """Keys that ``found`` gives for a batch and a bit table, with their counts, if those reach ``least``."""
+    shared = parsed.sparkSession.sparkContext.broadcast(table)
 
     def count(batches):
-        seasons: dict[str, np.uint64] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            b = _Batch(batch, seasons)
-            known = _set(shared.value, b.hashes)
-            at = np.nonzero(b.own[:-1] & (b.left[:-1] > 1) & known[:-1] & known[1:])[0]
-            held.append((mixed(b.hashes[at], b.hashes[at + 1]), b.times[at]))
-            if sum(len(k) for k, _ in held) > 4 * HELD:
-                yield _pair_rows(held)
+            if batch.num_rows:
+                held.extend(found(_Batch(batch), shared.value))
+            if sum(len(k) for k, _ in held) > HELD_KEYS:
+                yield _key_rows(held)
                 held = []
-        yield _pair_rows(held)
+        yield _key_rows(held)
 
-    counted = parsed.mapInArrow(count, "pair long, times long")
-    return counted.groupBy("pair").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
+    counted = parsed.mapInArrow(count, "key long, times long")
+    return counted.groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
 
 
-def _pair_rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    if not held:
-        return batch_of(_PAIRS, [[], []])
-    keys, times = (np.concatenate(x) for x in zip(*held))
-    order = np.argsort(keys, kind="stable")
+def _key_rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    keys, times = (np.concatenate(x) for x in zip(*held)) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    order = np.argsort(keys)
     keys, times = keys[order], times[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
-    sums = np.add.reduceat(times, np.nonzero(first)[0]) if len(keys) else times
-    return batch_of(_PAIRS, [_signed(keys[first]), sums])
+    first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])[0]
+    return batch_of(_COUNTED, [keys[first].view(np.int64), np.add.reduceat(times, first) if len(keys) else times])
+
+
+def _pairs(b: _Batch, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of neighbouring words that are both in the table."""
+    hashes = b.hashes()
+    known = _set(words, hashes)
+    at = np.nonzero(b.own[:-1] & (b.left[:-1] > 1) & known[:-1] & known[1:])[0]
+    return [(mixed(hashes[at], hashes[at + 1]), b.times[at])]
+
+
+def _longer(b: _Batch, pairs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(told[at], b.times[at]) for size, told, at in b.phrases(pairs) if size > 2]
 
 
-def _phrases(parsed: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """(lang, phrase, times) of phrases of 2 to LONGEST words whose neighbouring words are all such pairs."""
-    shared = parsed.sparkSession.sparkContext.broadcast(pairs)
+def _exact(parsed: DataFrame, pairs: np.ndarray, longer: np.ndarray) -> DataFrame:
+    """(lang, phrase, times) of the phrases of 2 to LONGEST words that the tables let through, by their words."""
+    shared = parsed.sparkSession.sparkContext.broadcast((pairs, longer))
 
     def count(batches):
-        seasons: dict[str, np.uint64] = {}
         found: Counter = Counter()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            b = _Batch(batch, seasons)
-            linked = np.zeros(len(b.hashes), bool)
-            linked[:-1] = (b.left[:-1] > 1) & _set(shared.value, mixed(b.hashes[:-1], b.hashes[1:]))
-            reach = linked.copy()
-            for size in range(2, LONGEST + 1):
-                at = np.nonzero(reach & b.own)[0]
-                rows = b.row[at]
-                places = at - b.starts[rows]
-                for row, place, times in zip(rows.tolist(), places.tolist(), b.times[at].tolist()):
-                    found[b.langs[row], b" ".join(b.words[row][place : place + size])] += times
-                if len(found) > HELD:
-                    yield _phrase_rows(_WORDS, found)
-                    found = Counter()
-                # a phrase one word longer needs the next pair, too
-                reach[: len(reach) - size + 1] &= linked[size - 1 :]
-                reach[len(reach) - size + 1 :] = False
-        yield _phrase_rows(_WORDS, found)
+            if batch.num_rows:
+                _count_phrases(_Batch(batch), *shared.value, found)
+            if len(found) > HELD:
+                yield _phrase_rows(found)
+                found = Counter()
+        yield _phrase_rows(found)
 
     counted = parsed.mapInArrow(count, "lang string, phrase binary, times long")
     return counted.groupBy("lang", "phrase").agg(F.sum("times").alias("times"))
 
 
+def _count_phrases(b: _Batch, pairs: np.ndarray, longer: np.ndarray, found: Counter) -> None:
+    words = b.words.to_pylist()
+    for size, told, at in b.phrases(pairs):
+        if size > 2:
+            at = at[_set(longer, told[at])]
+        _, first, same = np.unique(told[at], return_index=True, return_inverse=True)
+        spots = at[:, None] + np.arange(size)
+        phrases = b.index[spots]
+        # places of one hash hold the same words; should they ever differ, each counts by its own words
+        if (phrases == phrases[first[same]]).all() and (b.lang[at] == b.lang[at[first[same]]]).all():
+            counted = zip(first.tolist(), _sums(same, b.times[at], len(first)).tolist())
+        else:
+            counted = enumerate(b.times[at].tolist())
+        for place, times in counted:
+            found[b.langs[b.lang[at[place]]], b" ".join([words[i] for i in phrases[place]])] += times
+
+
+def _phrase_rows(found: Counter) -> pa.RecordBatch:
+    return batch_of(_WORDS, [[k[0] for k in found], [k[1] for k in found], list(found.values())])
+
+
 def _keys(words: DataFrame) -> DataFrame:
     schema = arrow_schema({"key": pa.int64()})
 
     def work(batches):
         for batch in batches:
             langs, phrases = (batch.column(c).to_pylist() for c in ("lang", "phrase"))
-            flat = mixed(WORD_HASHES.of(phrases), WORD_HASHES.of([x.encode() for x in langs])) if langs else np.empty(0, np.uint64)
-            yield batch_of(schema, [_signed(flat)])
+            keys = mixed(WORD_HASHES.of(phrases), WORD_HASHES.of([x.encode() for x in langs])) if langs else np.empty(0, np.uint64)
+            yield batch_of(schema, [keys.view(np.int64)])
 
     return words.select("lang", "phrase").mapInArrow(work, "key long")
 
@@ -272,15 +302,16 @@ def _keys(words: DataFrame) -> DataFrame:
 def counts(docs: DataFrame, least: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """(lang, n) and (lang, phrase, n_words, times) of all words and phrases that occur ``least`` times or more."""
     parsed = dictionary(docs)
-    words = word_counts(parsed)
-    totals = words.groupBy("lang").agg(F.sum("times").alias("n"))
-    frequent = words.where(F.col("times") >= least)
-    pairs = _frequent_pairs(parsed, bit_table(_keys(frequent), "key"), least)
-    longer = _phrases(parsed, bit_table(pairs, "pair")).where(F.col("times") >= least)
-    both = frequent.select("lang", "phrase", "times").unionByName(longer)
-    text = F.col("phrase").cast("string")
-    sized = both.select("lang", text.alias("phrase"), F.size(F.split(text, " ")).alias("n_words"), "times")
-    return totals, stash(sized, "phrases")
+    with batch_rows(docs.sparkSession, BATCH_CHUNKS):
+        words = word_counts(parsed)
+        totals = words.groupBy("lang").agg(F.sum("times").alias("n"))
+        frequent = words.where(F.col("times") >= least)
+        pairs = bit_table(_key_counts(parsed, bit_table(_keys(frequent)), _pairs, least))
+        longer = bit_table(_key_counts(parsed, pairs, _longer, least))
+        both = frequent.unionByName(_exact(parsed, pairs, longer).where(F.col("times") >= least))
+        text = F.col("phrase").cast("string")
+        sized = both.select("lang", text.alias("phrase"), F.size(F.split(text, " ")).alias("n_words"), "times")
+        return totals, stash(sized, "phrases")
 
 
 def collocations(docs: DataFrame, least: int = MIN_COUNT, kept: int = KEPT) -> DataFrame:
