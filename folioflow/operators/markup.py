@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import settle
 from . import corpus as C
 from .ordered import Running, number_blocks, numbered, running
 
@@ -166,39 +167,36 @@ def update_attrs(nodes: DataFrame, updates: DataFrame, doc: str = "doc_id") -> D
 def effective_lang(nodes: DataFrame, attribute: str = "xml:lang", doc: str = "doc_id") -> DataFrame:
     """Language of the nearest ancestor or self that names one.
 
-    A language holds from its element to the element's end, where the outer one holds again. Start and
-    end marks per nesting depth of language elements turn this into one forward fill.
+    One running sum over the starts and ends of language elements tells every node how many of them are
+    open around it. The nearest one is then the last that was opened at that nesting, a forward fill per
+    nesting; a node takes part in it once, however deep it lies.
     """
     spoken = F.col("attrs")[attribute]
-    named = nodes.where(spoken.isNotNull()).select(doc, "node_id", "end_id", "depth", spoken.alias("lang"))
+    named = nodes.where(spoken.isNotNull()).select(doc, "node_id", "end_id", spoken.alias("lang"))
+    nothing = F.lit(None).cast("string")
     marks = named.select(
         doc,
-        "depth",
         F.inline(
             F.array(
-                F.struct(F.col("node_id").alias("at"), F.col("lang"), F.lit(True).alias("opens")),
-                F.struct((F.col("end_id") + 1).alias("at"), F.lit(None).cast("string").alias("lang"), F.lit(False).alias("opens")),
+                F.struct(F.col("node_id").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("step"), F.col("lang")),
+                F.struct((F.col("end_id") + 1).alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("step"), nothing.alias("lang")),
             )
         ),
+        F.col("node_id").alias("tie"),
     )
-    # per node: the deepest open language element, found among its ancestors by depth
-    asked = nodes.select(doc, "node_id", F.explode(F.sequence(F.lit(0).cast("long"), "depth")).alias("depth"))
-    depths = named.select(doc, "depth").distinct()
-    asks = asked.join(depths, [doc, "depth"], "left_semi").select(
-        doc, "depth", F.col("node_id").alias("at"), F.lit(None).cast("string").alias("lang"),
-        F.lit(None).cast("boolean").alias("opens"),
+    asks = nodes.select(
+        doc, F.col("node_id").alias("at"), F.lit(2).alias("kind"), F.lit(0).alias("step"), nothing.alias("lang"),
+        F.col("node_id").alias("tie"),
     )
-    both = marks.unionByName(asks).withColumn(
-        "kind", F.when(F.col("opens").isNull(), 2).when(F.col("opens"), 1).otherwise(0)
+    nested = running(
+        marks.unionByName(asks), [doc], ["at", "kind", "tie"], number_blocks("at"), {"nest": Running("sum", F.col("step"))}
     )
-    state = F.when(F.col("kind") < 2, F.struct("lang"))
+    opened = settle(nested.where("kind > 0 and nest > 0").select(doc, "nest", "at", "kind", "lang"))
     filled = running(
-        both, [doc, "depth"], ["at", "kind"], number_blocks("at"), {"_now": Running("last", state)}
-    ).where("kind = 2")
-    best = filled.where(F.col("_now.lang").isNotNull()).groupBy(doc, F.col("at").alias("node_id")).agg(
-        F.max_by("_now.lang", "depth").alias("effective_lang")
+        opened, [doc, "nest"], ["at", "kind"], number_blocks("at"), {"effective_lang": Running("last", F.col("lang"))}
     )
-    return nodes.join(best, [doc, "node_id"], "left")
+    found = filled.where("kind = 2").select(doc, F.col("at").alias("node_id"), "effective_lang")
+    return nodes.join(found, [doc, "node_id"], "left")
 
 
 def text_of(nodes: DataFrame, tags: Sequence[str], doc: str = "doc_id") -> DataFrame:

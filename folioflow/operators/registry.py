@@ -169,34 +169,42 @@ def selected_entries(reviewed: DataFrame) -> DataFrame:
     return reviewed.where(F.upper(T.strip(F.coalesce("color_value", F.lit("")))) == "V")
 
 
-#: chapters below this have a row without entries, too
-DENSE_CHAPTERS = 10_000
+#: chapter numbers are written out in pieces of this many, so that no array grows with them
+SPINE_PIECE = 1024
+
+
+def chapter_spine(tops: DataFrame, scope: str) -> DataFrame:
+    """(scope, position): 0 for Q and every number from 1 to ``_top``, as rows.
+
+    The range is opened in three steps: pieces of SPINE_PIECE squared, dealt over the tasks, then pieces,
+    then numbers.
+    """
+    far = SPINE_PIECE * SPINE_PIECE
+    wide = tops.select(scope, "_top", F.explode(F.expr(f"sequence(0L, _top div {far})")).alias("_far"))
+    inner = F.expr(f"explode(sequence(_far * {SPINE_PIECE}, least(_far * {SPINE_PIECE} + {SPINE_PIECE - 1}, _top div {SPINE_PIECE})))")
+    near = wide.repartition(scope, "_far").select(scope, "_top", inner.alias("_near"))
+    last = F.expr(f"explode(sequence(_near * {SPINE_PIECE}, least(_near * {SPINE_PIECE} + {SPINE_PIECE - 1}, _top)))")
+    return near.select(scope, last.alias("position"))
 
 
 def order_summary(entries: DataFrame, scope: str) -> DataFrame:
-    """Count per chapter over the full list Q, 1..n (n at least 11), zeros included.
+    """Count per chapter over the full list Q, 1..n (n the largest chapter, 11 at least), zeros included.
 
-    The list is dense up to the largest chapter below ``DENSE_CHAPTERS``; chapters beyond it have a row
-    where they have entries.
+    Chapters are 32-bit numbers; a larger one has a row where it has entries and lengthens no list.
     """
     counts = (
         entries.groupBy(scope, chapter_no(F.col("chapter_no")).alias("chapter"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    number = F.expr("try_cast(chapter as bigint)")
-    highest = counts.groupBy(scope).agg(
-        F.greatest(
-            F.lit(SMALLEST_LAST_CHAPTER),
-            F.coalesce(F.max(F.when(number < DENSE_CHAPTERS, number)), F.lit(0)),
-        ).cast("int").alias("_top")
-    )
-    numbers = F.transform(F.sequence(F.lit(1), F.col("_top")), lambda x: x.cast("string"))
-    spine = highest.select(
-        scope, F.posexplode(F.concat(F.array(F.lit("Q")), numbers)).alias("position", "chapter")
+    number = F.expr("try_cast(chapter as int)")
+    tops = counts.groupBy(scope).agg(
+        F.greatest(F.lit(SMALLEST_LAST_CHAPTER), F.coalesce(F.max(number), F.lit(0))).cast("long").alias("_top")
     )
+    shown = F.when(F.col("position") == 0, "Q").otherwise(F.col("position").cast("string"))
+    spine = chapter_spine(tops, scope).withColumn("chapter", shown)
     return spine.join(counts, [scope, "chapter"], "full").select(
         scope,
-        F.coalesce(F.col("position").cast("long"), number).alias("position"),
+        F.coalesce("position", F.expr("try_cast(chapter as bigint)")).alias("position"),
         "chapter",
         F.coalesce("n", F.lit(0)).alias("entry_count"),
         (F.coalesce("n", F.lit(0)) * UNIT_PRICE).alias("amount"),

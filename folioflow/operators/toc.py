@@ -6,11 +6,6 @@ from 1 within its map. Spark has no recursive type, so a tree stays flat.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +13,7 @@ from ..functions import names as N
 from ..functions import text as T
 from ..session import settle
 from .hierarchy import chain_roots
+from .listdiff import match_lists
 from .ordered import Running, carried, first_per, number_blocks, numbered, running
 
 # Target patterns, tags, group names and level limits.
@@ -72,32 +68,36 @@ def tree_from_levels(rows: DataFrame) -> DataFrame:
 def subtree_end(rows: DataFrame) -> DataFrame:
     """Add ``end_no``: the next row whose level is not deeper (one past the last row if none).
 
-    A row ends every open subtree at its own level and below, so it speaks in all those groups.
+    Levels are counted from the map's least one. A row speaks in the power-of-two range of levels that
+    holds its own, once for each size; it asks in the ranges that make up all levels down to its own. So
+    a row costs as many copies as the levels' span has binary digits, whatever the levels are.
     """
-    reach = rows.groupBy("map_id").agg(F.max("level").alias("_deepest"), F.max("row_no").alias("_last"))
-    says = F.transform(
-        F.sequence("level", "_deepest"),
-        lambda at: F.struct(at.alias("_at"), F.col("row_no").alias("_said"), F.lit(0).alias("_kind")),
+    reach = rows.groupBy("map_id").agg(
+        F.min("level").alias("_least"), F.max("level").alias("_most"), F.max("row_no").alias("_last")
     )
-    nobody = F.lit(None).cast("long")
-    asks = F.struct(F.col("level").alias("_at"), nobody.alias("_said"), F.lit(1).alias("_kind"))
-    both = (
-        rows.withColumn("_row", F.struct(*rows.columns))
-        .join(reach, "map_id")
-        .select("map_id", "row_no", "_row", "_last", F.inline(F.concat(says, F.array(asks))))
-        .withColumn("_row", F.when(F.col("_kind") == 1, F.col("_row")))
+    placed = rows.select("map_id", "row_no", "level").join(reach, "map_id").withColumn("_spot", F.expr("level - _least"))
+    sizes = "sequence(0, length(bin(_most - _least + 1)) - 1)"
+    says = (
+        f"transform({sizes}, b -> named_struct('_size', b, '_range', shiftright(_spot, b),"
+        " '_said', row_no, '_kind', 0))"
+    )
+    asks = (
+        f"transform(filter({sizes}, b -> shiftright(_spot + 1, b) % 2 = 1), b -> named_struct('_size', b,"
+        " '_range', shiftright(_spot + 1, b) - 1, '_said', cast(null as bigint), '_kind', 1))"
     )
+    both = placed.select("map_id", "row_no", "_last", F.expr(f"inline(concat({says}, {asks}))"))
     found = running(
         both,
-        ["map_id", "_at"],
+        ["map_id", "_size", "_range"],
         ["row_no", "_kind"],
         number_blocks("row_no"),
-        {"end_no": Running("last", F.col("_said"))},
+        {"_end": Running("last", F.col("_said"))},
         reverse=True,
     )
-    return found.where(F.col("_kind") == 1).select(
-        "_row.*", F.coalesce("end_no", F.col("_last") + 1).alias("end_no")
+    ends = found.where(F.col("_kind") == 1).groupBy("map_id", "row_no").agg(
+        F.coalesce(F.min("_end"), F.max("_last") + 1).alias("end_no")
     )
+    return rows.join(ends, ["map_id", "row_no"]).select(*rows.columns, "end_no")
 
 
 # -- legal targets ---------------------------------------------------------------------------
@@ -400,81 +400,10 @@ def diff_status(
     )
 
 
-def _lcs_rows(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Lengths of the longest common subsequence of left[i:] and right[j:], last row first."""
-    row = np.zeros(len(right) + 1, dtype=np.int32)
-    yield len(left), row
-    for i in range(len(left) - 1, -1, -1):
-        best = row.copy()
-        same = right == left[i]
-        best[:-1][same] = row[1:][same] + 1
-        row = np.maximum.accumulate(best[::-1])[::-1]
-        yield i, row
-
-
-def common_order(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Matched positions; on a tie the left row is skipped first.
-
-    Rows are kept at intervals and rebuilt in between, so memory grows with len(right) * sqrt(len(left)).
-    """
-    n, m = len(left), len(right)
-    step = max(1, math.isqrt(n))
-    kept = {i: row for i, row in _lcs_rows(left, right) if i % step == 0 or i == n}
-    found, i, j = [], 0, 0
-    rows: dict[int, np.ndarray] = {}
-    while i < n and j < m:
-        if i not in rows or i + 1 not in rows:
-            end = min(n, (i // step + 1) * step)
-            rows = {end: kept[end]}
-            row = kept[end]
-            for k in range(end - 1, i - 1, -1):
-                best = row.copy()
-                same = right == left[k]
-                best[:-1][same] = row[1:][same] + 1
-                row = np.maximum.accumulate(best[::-1])[::-1]
-                rows[k] = row
-        if left[i] == right[j]:
-            found.append((i, j))
-            i, j = i + 1, j + 1
-        elif rows[i + 1][j] >= rows[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return found
-
-
 def lcs_diff(master: DataFrame, manual: DataFrame) -> DataFrame:
-    """Rows of two contents lists matched in order: (map_id, master_no, manual_no).
+    """Rows of two contents lists matched in order by file, or by title where there is none.
 
-    The work is spread over maps; one map is one contents list, compared as a whole.
+    Returns (map_id, master_no, manual_no); see :mod:`listdiff` for lists of any length.
     """
-    pieces = int(master.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        key = row_key(F.col("file_name"), F.col("title")).alias("key")
-        # a fixed number keeps the maps spread; small shuffles would be merged into one task
-        spread = df.select("map_id", "row_no", key).repartition(pieces, "map_id")
-        rows = F.array_sort(F.collect_list(F.struct("row_no", "key")))
-        return spread.groupBy("map_id").agg(rows.alias("_r")).select(
-            "map_id", F.col("_r.row_no").alias(f"{name}_nos"), F.col("_r.key").alias(f"{name}_keys")
-        )
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                codes, _ = pd.factorize(np.concatenate([row.master_keys, row.manual_keys]))
-                cut = len(row.master_keys)
-                pairs = common_order(codes[:cut], codes[cut:])
-                if pairs:
-                    at, to = (list(x) for x in zip(*pairs))
-                    yield pd.DataFrame(
-                        {
-                            "map_id": row.map_id,
-                            "master_no": np.asarray(row.master_nos)[at],
-                            "manual_no": np.asarray(row.manual_nos)[to],
-                        }
-                    )
-
-    map_type = dict(master.dtypes)["map_id"]
-    both = side(master, "master").join(side(manual, "manual"), "map_id")
-    return both.mapInPandas(match, f"map_id {map_type}, master_no long, manual_no long")
+    key = row_key(F.col("file_name"), F.col("title")).alias("key")
+    return match_lists(master.select("map_id", "row_no", key), manual.select("map_id", "row_no", key))

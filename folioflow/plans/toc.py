@@ -382,8 +382,40 @@ def diff_states(spark, d):
     )
 
 
-@query()
+#: lengths of the common subsequence row by row from the end, then the path from the beginning
+MATCHED = """sides as (
+  select l_linestatus as side, map_id, list(row_no order by row_no) as nos,
+         list(case when file_key <> '' then 'file:' || file_key else 'title:title ' || l_suppkey end order by row_no) as keys
+  from (select l.*, l_suppkey from list_rows l join (
+          select l_orderkey * 1000000000 + l_suppkey * 100000 + (l_partkey % 10000) * 10 + l_linenumber as row_no, l_suppkey
+          from lineitem) using (row_no))
+  group by 1, 2),
+pairs as (
+  select a.map_id, a.nos as nos_a, a.keys as a, b.nos as nos_b, b.keys as b
+  from sides a join sides b on a.map_id = b.map_id and a.side = 'F' and b.side = 'O'),
+lengths as (
+  select map_id, a, b, len(a) + 1 as i, list_transform(range(len(b) + 1), lambda x: 0) as lengths from pairs
+  union all
+  select map_id, a, b, i - 1, list_transform(range(1, len(b) + 2), lambda j: list_max(list_transform(range(j, len(b) + 2),
+           lambda k: case when k <= len(b) and b[k] = a[i - 1] then lengths[k + 1] + 1 else lengths[k] end)))
+  from lengths where i > 1),
+paths as (
+  select map_id, a, b, nos_a, nos_b, cast(1 as bigint) as i, cast(1 as bigint) as j from pairs
+  union all
+  select p.map_id, p.a, p.b, nos_a, nos_b,
+         case when p.a[p.i] = p.b[j] or below.lengths[j] >= here.lengths[j + 1] then p.i + 1 else p.i end,
+         case when p.a[p.i] = p.b[j] or below.lengths[j] < here.lengths[j + 1] then j + 1 else j end
+  from paths p join lengths here on here.map_id = p.map_id and here.i = p.i
+  join lengths below on below.map_id = p.map_id and below.i = p.i + 1
+  where p.i <= len(p.a) and j <= len(p.b))"""
+
+
+@query(
+    "with recursive " + LISTS + ",\n" + MATCHED + """
+select map_id, nos_a[i] as master_no, nos_b[j] as manual_no from paths where i <= len(a) and j <= len(b) and a[i] = b[j]
+"""
+)
 def ordered_diff(spark, d):
-    """Matched rows of both lists; tested against a plain table on a small fixture."""
+    """Matched rows of both lists of every customer."""
     master, manual, _ = two_lists(spark, d)
     return O.lcs_diff(master, manual)

@@ -143,3 +143,14 @@ def test_large_chapters_are_counted(spark):
     entries = spark.createDataFrame([(1, "99999999999"), (1, "2")], "doc_id int, chapter_no string")
     found = {r.chapter: r.entry_count for r in registry.order_summary(entries, "doc_id").collect()}
     assert found["99999999999"] == 1 and found["2"] == 1 and sum(found.values()) == 2 and found["11"] == 0
+
+
+def test_order_sheets_are_dense_up_to_high_chapters(spark):
+    from folioflow.operators import registry
+
+    entries = spark.createDataFrame([(1, "1"), (1, "2000000"), (2, "3")], "doc_id int, chapter_no string")
+    found = registry.order_summary(entries, "doc_id")
+    sums = {r.doc_id: (r.n, r.top, r.entries) for r in found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("position").alias("top"), F.sum("entry_count").alias("entries")).collect()}
+    assert sums == {1: (2_000_001, 2_000_000, 2), 2: (12, 11, 1)}
+    assert found.where("doc_id = 1").select("position").distinct().count() == 2_000_001

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import hierarchy as H
+from folioflow.operators import listdiff as D
 from folioflow.operators import markup as M
 from folioflow.operators import toc as O
 from folioflow.sources import files, markup
@@ -63,7 +64,92 @@ def test_common_order_matches_full_table():
     for _ in range(300):
         a = [rng.randint(0, 5) for _ in range(rng.randint(0, 25))]
         b = [rng.randint(0, 5) for _ in range(rng.randint(0, 25))]
-        assert O.common_order(np.array(a), np.array(b)) == plain_matches(a, b)
+        assert D.common_order(np.array(a), np.array(b)) == plain_matches(a, b)
+
+
+def tiled(a, b, width):
+    """The matches of two lists by tiles of ``width`` rows, without Spark."""
+    cut = lambda x: [x[k : k + width] for k in range(0, len(x), width)]
+    left, right, rows = cut(a), cut(b), {}
+    for i in range(len(left) - 1, -1, -1):
+        for j in range(len(right) - 1, -1, -1):
+            lower = rows[i + 1, j][0] if i + 1 < len(left) else np.zeros(len(right[j]) + 1, np.int32)
+            beside = rows[i, j + 1][:, 0] if j + 1 < len(right) else np.zeros(len(left[i]) + 1, np.int32)
+            rows[i, j] = D.tile_rows(left[i], right[j], lower, beside)
+    found, i, j, y, x = [], 0, 0, 0, 0
+    while i < len(left) and j < len(right):
+        part, y, x = D.tile_path(left[i], right[j], rows[i, j], y, x)
+        found += [(i * width + p, j * width + q) for p, q in part]
+        down, on = y == len(left[i]), x == len(right[j])
+        i, j, y, x = i + down, j + on, 0 if down else y, 0 if on else x
+    return found
+
+
+def test_tiles_match_as_the_whole_table_does():
+    rng = random.Random(6)
+    for _ in range(10_000):
+        a, b = (np.array([rng.randint(0, 5) for _ in range(rng.randint(0, 14))], int) for _ in range(2))
+        assert tiled(a, b, rng.randint(1, 5)) == D.common_order(a, b)
+
+
+@pytest.mark.parametrize("cells,tile", [(1 << 24, 1024), (0, 3), (30, 4)])
+def test_lists_of_any_length_match_alike(spark, cells, tile, monkeypatch):
+    monkeypatch.setattr(D, "WHOLE_CELLS", cells)
+    monkeypatch.setattr(D, "TILE", tile)
+    rng = random.Random(7)
+    lists = {f"m{k}": [[rng.choice("abcdef") for _ in range(rng.randint(0, 11))] for _ in range(2)] for k in range(40)}
+    lists["same"] = [list("abcabcabc")] * 2
+    lists["apart"] = [list("aaaa"), list("bbbbb")]
+    lists["once"] = [list("abc"), []]
+    schema = "map_id string, row_no long, key string"
+    sides = [
+        spark.createDataFrame([(m, 10 * n + side, c) for m, x in lists.items() for n, c in enumerate(x[side])], schema)
+        for side in (0, 1)
+    ]
+    got = {(r.map_id, r.master_no, r.manual_no) for r in D.match_lists(*sides).collect()}
+    want = {(m, 10 * i, 10 * j + 1) for m, (a, b) in lists.items() for i, j in plain_matches(a, b)}
+    assert got == want
+
+
+def test_one_long_pair_is_spread_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(D, "TILE", 256)
+    monkeypatch.setattr(D, "WHOLE_CELLS", 1 << 16)
+    rng = random.Random(8)
+    a = [str(rng.randint(0, 400)) for _ in range(900)]
+    b = [x if rng.random() < 0.8 else str(rng.randint(0, 400)) for x in a if rng.random() < 0.9]
+    schema = "map_id long, row_no long, key string"
+    sides = [spark.createDataFrame([(1, n, c) for n, c in enumerate(x)], schema) for x in (a, b)]
+    got = sorted((r.master_no, r.manual_no) for r in D.match_lists(*sides).collect())
+    codes = {c: n for n, c in enumerate(dict.fromkeys(a + b))}
+    assert got == D.common_order(np.array([codes[c] for c in a]), np.array([codes[c] for c in b]))
+
+
+def test_subtree_ends_at_any_level(spark):
+    rng = random.Random(9)
+    levels = [rng.choice([1, 2, 3, 1_000_000, -5, 2**40]) for _ in range(200)]
+    df = spark.createDataFrame([("m", n, lv) for n, lv in enumerate(levels, 1)], "map_id string, row_no long, level long")
+    ends = {r.row_no: r.end_no for r in O.subtree_end(df).collect()}
+    for n, level in enumerate(levels, 1):
+        later = [k for k in range(n + 1, len(levels) + 1) if levels[k - 1] <= level]
+        assert ends[n] == (later[0] if later else len(levels) + 1)
+
+
+def test_languages_of_deep_nodes(spark):
+    # a chain of 10,000 elements; each 100th names a language, the last 10 children sit at the bottom
+    n = 10_000
+    rows = [("d", k, n + 9, k, {"xml:lang": f"l{k}"} if k % 100 == 0 else {}) for k in range(n)]
+    rows += [("d", n + k, n + k, n, {"xml:lang": "x"} if k == 4 else None) for k in range(10)]
+    rows += [("none", 0, 0, 0, None)]
+    nodes = spark.createDataFrame(rows, "doc_id string, node_id long, end_id long, depth long, attrs map<string,string>")
+    found = {(r.doc_id, r.node_id): r.effective_lang for r in M.effective_lang(nodes).collect()}
+    assert len(found) == n + 11 and found["none", 0] is None
+    assert all(found["d", k] == f"l{k // 100 * 100}" for k in range(n))
+    assert [found["d", n + k] for k in range(10)] == ["x" if k == 4 else "l9900" for k in range(10)]
+
+
+def test_dropped_attributes(spark):
+    nodes = spark.createDataFrame([(1, {"a": "1", "b": "2"}), (2, None), (3, {})], "node_id long, attrs map<string,string>")
+    assert [r.attrs for r in M.drop_attrs(nodes, ["a", "c"]).orderBy("node_id").collect()] == [{"b": "2"}, None, {}]
 
 
 def test_ordered_diff_fixture(spark):
