@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import read_table
 from ..streaming import events as E
+from ..streaming import live as L
 from . import roles as role
 from .catalog import query
 from .roles import DOCS, USERS, sql
@@ -46,22 +47,29 @@ opened as (select *, cast(sum(change) over (partition by room, user_id order by
            from changes)"""
 
 
-@query(
-    sql(
-        ROOM_EVENTS, OPENED,
-        body="""
+PRESENCE = sql(
+    ROOM_EVENTS, OPENED,
+    body="""
 , steps as (select *, (open_sessions > 0)::int - (open_sessions - change > 0)::int as step from opened)
 select event_id, room, user_id, open_sessions,
        cast(sum(step) over (partition by room order by ts, event_id) as bigint) as present_users from steps
 """,
-    )
 )
+
+
+@query(PRESENCE)
 def presence(spark, d):
     return E.presence(table_events(spark, d)).select(
         "event_id", "room", "user_id", "open_sessions", "present_users"
     )
 
 
+@query(PRESENCE)
+def presence_live(spark, d):
+    """The same counts, emitted by the stream at each join and leave."""
+    return L.presence_live(stream_events(spark, d)).drop("batch_no")
+
+
 @query(
     sql(
         ROOM_EVENTS,
@@ -95,10 +103,9 @@ def editing_stream(spark, d):
     return E.drain(E.editing_feed(stream_events(spark, d), room_comments(spark, d))).drop("batch_no")
 
 
-@query(
-    sql(
-        ROOM_EVENTS,
-        body="""
+INTERVALS = sql(
+    ROOM_EVENTS,
+    body="""
 , keyed as (select *, 0::bigint as doc from room_events),
 feed as (select event_id, ts, room, user_id, room as comment_id, type from keyed where type in ('EDITING_START', 'EDITING_STOP')),
 ends as (
@@ -110,8 +117,10 @@ ends as (
   from feed f where type = 'EDITING_START')
 select event_id, room, user_id, comment_id, ts as started_at, least(stopped, gone) as ended_at from ends
 """,
-    )
 )
+
+
+@query(INTERVALS)
 def editing_intervals(spark, d):
     """Every room holds one comment, numbered like the room."""
     events = table_events(spark, d).withColumn("comment_id", F.col("room"))
@@ -119,6 +128,14 @@ def editing_intervals(spark, d):
     return E.editing_intervals(events, comments)
 
 
+@query(INTERVALS)
+def editing_live(spark, d):
+    """The same intervals from the stream's starts and ends."""
+    comments = table_events(spark, d).selectExpr("room as comment_id", "room as doc_id").distinct()
+    events = stream_events(spark, d).withColumn("comment_id", F.col("room"))
+    return L.edits(E.drain(L.editing_updates(events, comments)).drop("batch_no"))
+
+
 @query(
     sql(
         ROOM_EVENTS,
