@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as T
+from ..session import settle
 from .ordered import first_per, number_blocks, numbered
 
 # Marks written by the replacement and reference steps.
@@ -186,13 +187,19 @@ BORDER_BEFORE = "(^|\\s+|\\p{Ps})"
 BORDER_AFTER = "(\\s+|\\p{P}|\\p{Pe}|$)"
 TERM = '<term translate="no">{}</term>'
 LETTER_RUN = "[\\p{L}\\p{N}]+"
+SIGN = "[^\\p{L}\\p{N}\\s]"
+#: up to this many terms are one pattern for all texts
+FEW_TERMS = 64
+#: longs of the bit table that tells words which may be an anchor; its size does not depend on the terms
+TABLE_LONGS = 1 << 16
 
 
 def usable_terms(terms: DataFrame) -> DataFrame:
     """Distinct terms that are not blank, with an anchor and their escaped form.
 
     The anchor is the longest run of letters and digits in the term. A term stands between borders that
-    are neither, so wherever it matches, its anchor is a whole run of the text as well.
+    are neither, so wherever it matches, its anchor is a whole run of the text as well. The anchor of a
+    term of signs alone is its first sign.
     """
     runs = F.regexp_extract_all("term", F.lit(LETTER_RUN), 0)
     longest = F.array_sort(runs, lambda a, b: F.length(b) - F.length(a))
@@ -203,35 +210,74 @@ def usable_terms(terms: DataFrame) -> DataFrame:
         .distinct()
         .select(
             "term",
-            F.coalesce(F.get(longest, F.lit(0)), F.lit("")).alias("_anchor"),
+            F.coalesce(F.get(longest, F.lit(0)), F.regexp_extract("term", SIGN, 0)).alias("_anchor"),
             F.regexp_replace("term", special, "\\\\$1").alias("_escaped"),
         )
     )
 
 
+def _any_of(hits: Column) -> Column:
+    """One pattern of all terms, the longest first; null if there are none."""
+    ordered = F.array_sort(hits, lambda a, b: F.length(b["term"]) - F.length(a["term"]))
+    any_of = F.array_join(F.transform(ordered, lambda h: h["_escaped"]), "|")
+    return F.when(any_of != "", F.concat(F.lit(f"{BORDER_BEFORE}("), any_of, F.lit(f"){BORDER_AFTER}")))
+
+
+def _table_place(anchor: Column) -> tuple[Column, Column]:
+    """Long and bit of the table that stand for an anchor."""
+    hashed = F.xxhash64(anchor)
+    return F.pmod(hashed, F.lit(TABLE_LONGS)).cast("int"), F.pmod(F.shiftright(hashed, 40), F.lit(64)).cast("int")
+
+
+def _anchor_table(usable: DataFrame) -> Column:
+    """The bits of all anchors as a constant array; the driver sees the table, not the terms."""
+    place, bit = _table_place(F.col("_anchor"))
+    bits = usable.select(place.alias("place"), bit.alias("bit"))
+    rows = bits.groupBy("place").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()
+    table = dict.fromkeys(range(TABLE_LONGS), 0) | {r["place"]: r["bits"] for r in rows}
+    # written as text, so that the plan holds one constant instead of an expression per number
+    return F.split(F.lit(",".join(map(str, table.values()))), ",").cast("array<bigint>")
+
+
 def with_term_pattern(df: DataFrame, text: str, terms: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``_pattern``: an alternation of the terms that occur in the row's text, longest first, or null.
 
-    Any number of terms will do: texts meet terms in a join on anchors, and each text's own hits make its
-    pattern. ``keys`` name the row; rows that share them get the same candidates, which their own text
-    then filters. Null texts have no pattern.
+    A few terms make one pattern for all texts. Of many, a bit table of their anchors tells which words
+    and signs of a text may be one. Texts without any stay where they are; the others meet their terms in
+    a join on anchors, and each text's own hits make its pattern. ``keys`` name the row; rows that share
+    them get the same candidates, which their own text then filters. Null texts have no pattern.
     """
     keys = list(keys)
-    found = F.array_union(F.regexp_extract_all(text, F.lit(LETTER_RUN), 0), F.array(F.lit("")))
-    words = df.select(*keys, F.explode(found).alias("_anchor"))
+    usable = usable_terms(terms)
+    few = usable.select("term", "_escaped").limit(FEW_TERMS + 1).collect()
+    if len(few) <= FEW_TERMS:
+        any_of = "|".join(r["_escaped"] for r in sorted(few, key=lambda r: (-len(r["term"]), r["term"])))
+        pattern = F.lit(f"{BORDER_BEFORE}({any_of}){BORDER_AFTER}" if few else None).cast("string")
+        return df.select(*df.columns, F.when(F.col(text).isNotNull(), pattern).alias("_pattern"))
+    usable = settle(usable)
+    table = _anchor_table(usable)
+
+    def listed(word: Column) -> Column:
+        place, bit = _table_place(word)
+        return F.call_function("getbit", F.get(table, place), bit) == 1
+
+    runs = F.regexp_extract_all(text, F.lit(LETTER_RUN), 0)
+    signs = F.regexp_extract_all(text, F.lit(SIGN), 0)
+    marked = df.withColumn("_words", F.filter(F.array_distinct(F.concat(runs, signs)), listed))
+    possible = F.coalesce(F.size("_words") > 0, F.lit(False))
+    apart = marked.where(possible)
     hits = (
-        words.join(usable_terms(terms), "_anchor")
+        apart.select(*keys, F.explode("_words").alias("_anchor"))
+        .join(usable, "_anchor")
         .groupBy(*keys)
         .agg(F.collect_set(F.struct("term", "_escaped")).alias("_hits"))
         .select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_hits")
     )
-    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hits[f"_of_{k}"]) for k in keys])
-    joined = df.join(hits, same, "left")
+    same = reduce(lambda a, b: a & b, [apart[k].eqNullSafe(hits[f"_of_{k}"]) for k in keys])
+    joined = apart.join(hits, same, "left")
     present = F.filter("_hits", lambda h: F.contains(F.col(text), h["term"]))
-    ordered = F.array_sort(present, lambda a, b: F.length(b["term"]) - F.length(a["term"]))
-    any_of = F.array_join(F.transform(ordered, lambda h: h["_escaped"]), "|")
-    pattern = F.concat(F.lit(f"{BORDER_BEFORE}("), any_of, F.lit(f"){BORDER_AFTER}"))
-    return joined.select(*df.columns, F.when(any_of != "", pattern).alias("_pattern"))
+    met = joined.select(*df.columns, _any_of(present).alias("_pattern"))
+    return marked.where(~possible).select(*df.columns, F.lit(None).cast("string").alias("_pattern")).unionByName(met)
 
 
 def tag_terms(text: Column, pattern: Column, skip: Column | None = None) -> Column:

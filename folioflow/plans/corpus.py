@@ -238,6 +238,29 @@ def term_tags(spark, d):
     return hit.select("doc_id", C.tag_terms(F.col("text"), F.col("_pattern")).alias("text"))
 
 
+@query(
+    r"""
+with terms as (
+  select distinct regexp_extract(text, '[a-z]+ [a-z]+') as term from benchmark
+  union select distinct regexp_extract(text, '[A-Z][a-z]+') from benchmark),
+pattern as (
+  select '(^|\s+|\p{Ps})(' || string_agg(term, '|' order by length(term) desc, term) || ')(\s+|\p{P}|\p{Pe}|$)' as p
+  from terms where term <> '')
+select doc_id, regexp_replace(text, p, '\1<term translate="no">\2</term>\3', 'g') as text
+from documents, pattern
+"""
+)
+def dictionary_terms(spark, d):
+    """Terms of a dictionary of any size, here the first two words and the first name of every benchmark item."""
+    docs = read_texts(spark, d, "documents", "doc_id", "text")
+    items = read_table(spark, d, "benchmark")
+    terms = items.select(F.explode(F.array(
+        F.regexp_extract("text", "[a-z]+ [a-z]+", 0), F.regexp_extract("text", "[A-Z][a-z]+", 0)
+    )).alias("term"))
+    hit = C.with_term_pattern(docs, "text", terms, ["doc_id"])
+    return hit.select("doc_id", C.tag_terms(F.col("text"), F.col("_pattern")).alias("text"))
+
+
 @query(
     r"""
 select l_orderkey, l_partkey, l_suppkey,

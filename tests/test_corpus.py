@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as G
@@ -98,6 +99,25 @@ def test_terms_longest_first(spark):
     ]
 
 
+@pytest.mark.parametrize("few", [64, 0])
+def test_a_few_terms_and_many_mark_alike(spark, few, monkeypatch):
+    monkeypatch.setattr(C, "FEW_TERMS", few)
+    texts = ["UP -> on (->) UP->on", "-> a. «x» é é́", "a -> b -- c", "no hit", None, "", "été (été) v2.0 v2", "on on on"]
+    terms = ["->", "on", "été", "v2.0", "«x»", "--", "b -- c", "é"]
+    either = "|".join(regex.escape(x) for x in sorted(terms, key=len, reverse=True))
+    plain = regex.compile(rf"(^|\s+|\p{{Ps}})({either})(\s+|\p{{P}}|\p{{Pe}}|$)")
+    want = [t and plain.sub(r'\1<term translate="no">\2</term>\3', t) for t in texts]
+    assert tagged(spark, texts, terms) == want and sum(t is not None and "<term" in t for t in want) == 5
+
+
+def test_texts_without_a_possible_term_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(C, "FEW_TERMS", 0)
+    df = spark.range(1000).select("id", F.lit("nothing here").alias("text"))
+    terms = spark.createDataFrame([(f"term{k}",) for k in range(100)], "term string")
+    plan = C.with_term_pattern(df, "text", terms, ["id"])
+    assert plan.where("_pattern is not null").count() == 0 and plan.count() == 1000
+
+
 def test_any_number_of_terms(spark):
     df = spark.createDataFrame([(1, "see w99999 and w100000 x7.")], "id long, text string")
     terms = spark.range(100_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("term"))
