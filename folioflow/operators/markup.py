@@ -208,6 +208,37 @@ def text_of(nodes: DataFrame, tags: Sequence[str], doc: str = "doc_id") -> DataF
     return joined.select(doc, "node_id", T.collapse(F.array_join("_t.text", " ")).alias("text"))
 
 
+def block_hashes(nodes: DataFrame, tags: Sequence[str], doc: str = "doc_id") -> DataFrame:
+    """Content hash of mixed-content elements: (doc, node_id, tag, hash).
+
+    A block's children count in order, texts as they are, elements as their name and all text below them;
+    number ranges are spelled one way first. The parts of a child, then the children of a block, are
+    gathered where they are before they meet; one gathered value is never more than one element's content.
+    """
+    path = F.col("tag_path")
+    below = F.filter(F.sequence(F.lit(0), F.size(path) - 1), lambda i: (i > 0) & F.get(path, i - 1).isin(*tags))
+    texts = nodes.where((F.col("tag") == "#text") & (F.size(path) > 0))
+    asked = texts.select(doc, "node_id", "text", F.explode(below.cast("array<bigint>")).alias("depth"))
+    held = owners(asked, nodes.where(F.col("tag") != "#text"), doc)
+    values = held.groupBy(doc, F.col("owner").alias("node_id")).agg(
+        F.array_sort(F.collect_list(F.struct("node_id", "text"))).alias("_t")
+    )
+    inner = values.select(doc, "node_id", F.array_join("_t.text", "").alias("_below"))
+    children = nodes.where(F.try_element_at("tag_path", F.lit(-1)).isin(*tags)).select(doc, "node_id", "parent_id", "tag", "text")
+    is_text = F.col("tag") == "#text"
+    part = F.struct(
+        "node_id",
+        F.when(is_text, "").otherwise(F.col("tag")).alias("tag"),
+        F.when(is_text, F.col("text")).otherwise(F.coalesce("_below", F.lit(""))).alias("text"),
+    )
+    parts = children.join(inner, [doc, "node_id"], "left").groupBy(doc, F.col("parent_id").alias("node_id")).agg(
+        F.array_sort(F.collect_list(part)).alias("_parts")
+    )
+    blocks = nodes.where(F.col("tag").isin(*tags)).select(doc, "node_id", "tag").join(parts, [doc, "node_id"], "left")
+    parts = F.coalesce("_parts", F.array().cast("array<struct<node_id:bigint,tag:string,text:string>>"))
+    return blocks.select(doc, "node_id", "tag", T.node_hash(parts).alias("hash"))
+
+
 def multi_group_tables(nodes: DataFrame, table: str, group: str, doc: str = "doc_id") -> DataFrame:
     """Tables with two or more column groups, per document."""
     groups = nodes.where(

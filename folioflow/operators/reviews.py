@@ -291,9 +291,9 @@ def guarded_update(
     ``changes`` holds comment_id, user_id and the new values. Of several rows for one (comment, user) the
     least by their values counts. With ``geometry`` only movable shapes change.
     """
-    single = first_per(changes.select("comment_id", "user_id", *columns), ["comment_id", "user_id"], list(columns))
-    fresh = single.select(
-        "comment_id", "user_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns]
+    least = changes.groupBy("comment_id", "user_id").agg(F.min(F.struct(*columns)).alias("_least"))
+    fresh = least.select(
+        "comment_id", "user_id", F.lit(True).alias("_hit"), *[F.col(f"_least.{c}").alias(f"_{c}") for c in columns]
     )
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     if geometry:

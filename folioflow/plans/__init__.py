@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .catalog import BUILDERS, SQL
 
-MODULES = ("reviews", "registry", "specdiff", "corpus", "names", "toc", "streams", "markup")
+MODULES = ("reviews", "registry", "specdiff", "corpus", "names", "toc", "streams", "markup", "files")
 
 
 def _load() -> None:
