@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import arrow_schema, as_bytes, batch_of, doc_texts
-from .encoding import ChunkEncoder
+from .encoding import ChunkEncoder, held
 
 #: cells of the trees that are worked on at a time
 BLOCK_CELLS = 1 << 19
@@ -134,15 +134,14 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_coders: dict[str, tuple[ByteBPE, ChunkEncoder]] = {}
-
-
 def coder(path: str, pattern: str) -> tuple[ByteBPE, ChunkEncoder]:
     """The worker's coder for a vocabulary, with the chunks it has encoded so far."""
-    if path not in _coders:
+
+    def make():
         bpe = ByteBPE(path, pattern)
-        _coders[path] = bpe, ChunkEncoder(bpe.encode)
-    return _coders[path]
+        return bpe, ChunkEncoder(bpe.encode)
+
+    return held(("byte bpe", path, pattern), make)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -166,7 +166,7 @@ class _Batch:
 
     def hashes(self) -> np.ndarray:
         """Hashes of all words, seasoned with the language."""
-        words = WORD_HASHES.of(self.words.to_pylist())[self.index]
+        words = WORD_HASHES.of(self.words.to_numpy(zero_copy_only=False).tolist())[self.index]
         return mixed(words, WORD_HASHES.of([x.encode() for x in self.langs])[self.lang]) if len(words) else words
 
     def phrases(self, pairs: np.ndarray):
@@ -267,7 +267,7 @@ def _exact(parsed: DataFrame, pairs: np.ndarray, longer: np.ndarray) -> DataFram
 
 
 def _count_phrases(b: _Batch, pairs: np.ndarray, longer: np.ndarray, found: Counter) -> None:
-    words = b.words.to_pylist()
+    words = b.words.to_numpy(zero_copy_only=False)
     for size, told, at in b.phrases(pairs):
         if size > 2:
             at = at[_set(longer, told[at])]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    HashMemo, arrow_schema, as_bytes, batch_of, doc_texts, int_lists, lower_words, squeeze, stash, unsqueeze,
+    WORD_HASHES, arrow_schema, as_bytes, batch_of, doc_texts, int_lists, lower_words, squeeze, stash, unsqueeze,
     unsqueezed, window_hashes,
 )
 from .components import components
@@ -41,7 +41,6 @@ _SIGNED = arrow_schema({
     "doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "bands": pa.list_(pa.int64()),
     "sketch": pa.binary(),
 })
-_memo = HashMemo()
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -49,7 +48,7 @@ def shingle_set(text: bytes) -> np.ndarray:
     words = lower_words(text)
     if not words:
         return np.empty(0, np.uint64)
-    hashes = _memo.of(words)
+    hashes = WORD_HASHES.of(words)
     return np.unique(window_hashes(hashes, min(SHINGLE_WORDS, len(words))))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, as_strings, batch_of, doc_texts, stash
-from .encoding import ChunkEncoder, id_type, tokenizer_encode
+from .encoding import ChunkEncoder, held, id_type, special_tokens, tokenizer_encode
 
 #: offsets of at most this many partitions (16 bytes each) are sent to all executors; more are joined
 BROADCAST_PARTS = 200_000
@@ -27,7 +27,6 @@ _PIECES = arrow_schema({
     "doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64(),
     "sequence_id": pa.int64(), "offset": pa.int64(),
 })
-_encoders: dict = {}
 
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int, largest_id: int) -> DataFrame:
@@ -35,9 +34,9 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int, largest_id: int)
     dtype = id_type(largest_id)
 
     def encode(batches):
-        encoder = _encoders.get(vocabulary)
-        if encoder is None:
-            encoder = _encoders[vocabulary] = ChunkEncoder(tokenizer_encode(vocabulary, dtype))
+        encoder = held(("packing", vocabulary, dtype), lambda: ChunkEncoder(
+            tokenizer_encode(vocabulary, dtype), special_tokens(vocabulary)
+        ))
         part, before, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype).tobytes()
         width = np.dtype(dtype).itemsize
         for batch in batches:
@@ -56,7 +55,8 @@ def pack(
     """Pieces of all documents in one gapless stream of windows of ``length`` tokens.
 
     Returns (doc_id, start, length, ids, doc_tokens, sequence_id, offset); ``ids`` holds the piece's
-    tokens as little-endian unsigned 32-bit integers. Only the last sequence is short. A null text is an
+    tokens as little-endian unsigned 32-bit integers. The string of a special token in a text has that
+    token's id, as the tokenizers library gives it. Only the last sequence is short. A null text is an
     empty one: its document holds the end id alone. Repeated rows and null ids are documents like any
     other; an empty table gives no pieces; other columns of ``docs`` are not looked at.
     """

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashMemo, arrow_schema, as_bytes, batch_of, doc_texts, mixed, window_hashes
+from .common import WORD_HASHES, arrow_schema, as_bytes, batch_of, doc_texts, mixed, window_hashes
 from .learning import calibrated, fit_logistic, label_sample, sigmoid
 
 #: labelled rows of each class to learn from; bins of each family
@@ -27,7 +27,6 @@ THRESHOLD = 0.3
 MIN_WORDS, MAX_REPEATED = 50, 50
 
 SYMBOLS = b"#*$%&|<>"
-_memo = HashMemo()
 _BASE = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(),
          "n_repeat_words": pa.int64()}
 
@@ -91,7 +90,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
     def extract(batches):
         for batch in batches:
-            rows = [features(t, _memo.of(t.lower().split())).astype(np.float16).tobytes() for t in as_bytes(batch)]
+            rows = [features(t, WORD_HASHES.of(t.lower().split())).astype(np.float16).tobytes() for t in as_bytes(batch)]
             yield batch_of(schema, [batch.column("doc_id"), batch.column("label").cast(pa.int32()), rows])
 
     rows = sorted(sample.mapInArrow(extract, "doc_id long, label int, x binary").collect(), key=lambda r: r["doc_id"])
@@ -125,10 +124,10 @@ def assess(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -
         for batch in batches:
             counts, margins = [], []
             for text in as_bytes(batch):
-                hashes = _memo.of(text.split())
+                hashes = WORD_HASHES.of(text.split())
                 counts.append(base_counts(text, hashes))
                 lowered = text.lower()
-                hashes = hashes if lowered == text else _memo.of(lowered.split())
+                hashes = hashes if lowered == text else WORD_HASHES.of(lowered.split())
                 margins.append(float(features(text, hashes) @ model.weights))
             columns = list(zip(*counts)) or [[]] * len(_BASE)
             n_words, repeated = np.array(columns[0], np.int64), np.array(columns[4], np.int64)

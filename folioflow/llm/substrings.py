@@ -17,7 +17,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashMemo, arrow_schema, as_bytes, batch_of, doc_texts, int_lists, mixed, squeeze, stash, unsqueezed, window_hashes
+from .common import WORD_HASHES, arrow_schema, as_bytes, batch_of, doc_texts, int_lists, mixed, squeeze, stash, unsqueezed, window_hashes
 
 #: anchors with more places than this are dealt over several tasks
 HOT_PLACES = 20_000
@@ -33,7 +33,6 @@ _WINDOWS = arrow_schema({
 _DECIDED = arrow_schema({
     "anchor": pa.int64(), "doc_id": pa.int64(), "start": pa.int32(), "stop": pa.int32(), "window": pa.int64(),
 })
-_memo = HashMemo()
 
 
 def _owners(half: np.ndarray, length: int) -> np.ndarray:
@@ -49,7 +48,7 @@ def _level_one(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             sizes, digests, anchors, places = [], [], [], []
             for text in as_bytes(batch):
-                hashes = _memo.of(text.split())
+                hashes = WORD_HASHES.of(text.split())
                 half = window_hashes(hashes, length // 2)
                 at = np.unique(_owners(half, length))
                 sizes.append(len(hashes))
@@ -72,7 +71,7 @@ def _level_two(candidates: DataFrame, length: int) -> DataFrame:
             for doc_id, text, found in zip(
                 batch.column("doc_id").to_pylist(), unsqueezed(batch), batch.column("found").to_pylist()
             ):
-                half = window_hashes(_memo.of((text or b"").split()), length // 2)
+                half = window_hashes(WORD_HASHES.of((text or b"").split()), length // 2)
                 owners = _owners(half, length)
                 full = mixed(half[: len(owners)], half[length - length // 2 :])
                 for hit in found:

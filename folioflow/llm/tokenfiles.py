@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, as_strings, batch_of, doc_texts, stash
-from .encoding import WordEncoder, id_type, tokenizer_encode
+from .encoding import WordEncoder, held, id_type, special_tokens, tokenizer_encode
 
 #: sequences in one record batch of a file
 BATCH_SEQUENCES = 64
@@ -29,7 +29,6 @@ _DOCS = arrow_schema({"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.
 _MANIFEST = arrow_schema({
     "part": pa.int64(), "path": pa.string(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "length": pa.int64(),
 })
-_encoders: dict = {}
 
 
 def file_schema(length: int, dtype: str) -> pa.Schema:
@@ -80,7 +79,8 @@ def write_files(
 ) -> DataFrame:
     """Write all documents in ascending id order below ``folder``; returns the manifest.
 
-    A null text is an empty one and holds the end id alone; rows without an id come first; rows that
+    The string of a special token in a text has that token's id, as the tokenizers library gives it. A
+    null text is an empty one and holds the end id alone; rows without an id come first; rows that
     share an id lie next to each other; an empty table gives an empty manifest. Other columns are not
     looked at. The manifest's rows: (part, path, n_docs, n_tokens, length, base), ``base`` being the
     number of tokens in all earlier ranges.
@@ -89,9 +89,9 @@ def write_files(
     ordered = doc_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def write(batches):
-        encoder = _encoders.get(vocabulary)
-        if encoder is None:
-            encoder = _encoders[vocabulary] = WordEncoder(tokenizer_encode(vocabulary, dtype, lower=True), lower=True)
+        encoder = held(("token files", vocabulary, dtype), lambda: WordEncoder(
+            tokenizer_encode(vocabulary, dtype, lower=True), True, special_tokens(vocabulary)
+        ))
         end, part, n_docs, writer = np.array([end_id], dtype).tobytes(), TaskContext.get().partitionId(), 0, None
         name = f"{folder.rstrip('/')}/range-{part:06d}-{uuid.uuid4().hex}"
         for batch in batches:

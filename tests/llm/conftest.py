@@ -50,6 +50,7 @@ def documents():
         (300, None, None), (301, "", "en"), (302, " \n\t ", "en"), (303, "one", "en"), (304, "One two", None),
         (305, "x" * 3000, "en"), (306, " ".join(["again"] * 400), "en"), (307, "  odd\r\n spaces and\x1csigns  <|endoftext|> \n\n\nline\nline", "en"),
         (308, "日本語 テキスト 😀 é ñandú " * 30, "ja"), (None, prose("en", 60), "en"), (None, None, None),
+        (311, "say <|endoftext|> or<|endoftext|>x <|ENDOFTEXT|> <|StartOfText|> \n<|startoftext|>\n <|endoftext|>  end", "en"),
         (309, prose("en", 4000), "en"), (310, "12 34 !!", "en"), (5, out[5][1], "fr"),
     ]
     return out

@@ -33,7 +33,6 @@ def packed(ids):
 
 def encoded(vocabulary, text):
     tokenizer = Tokenizer.from_file(P.path(vocabulary))
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
