@@ -55,6 +55,17 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def free_names(columns: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores in front as keep it apart from the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(modulus: int, column: str = "doc_id") -> Column:
     """Remainder of the crc32 of an id written as text; a null id falls into no fold."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -16,15 +16,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import free_names, stash
 
-#: per language: labelled texts to learn from, bytes taken of each, size of the dictionary
-SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 1024, 96 * 1024
+#: per language: labelled texts to learn from, and characters taken of each; all of them make the dictionary
+SAMPLE_TEXTS, SAMPLE_CHARS = 128, 768
 BLOCK_BYTES, LEVEL = 2048, 5
-#: share of the second best size that the best must save at least
+#: share of the second best size that the best must save at least; sizes are whole bytes, so of a short
+#: text a single byte is more than that, and only a tie is rejected
 MARGIN = 0.004
-#: of a shorter text the sizes differ by a byte or none, so a narrow margin says nothing against it
-SURE_BYTES = 200
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -48,7 +47,7 @@ def learn(docs: DataFrame) -> LanguageModel:
     """Dictionaries from rows with a text and a non-null lang.
 
     Counts and samples are of different texts, so copies of one count once. The texts are a sample per
-    language, bounded on its own: those of the ``SAMPLE_TEXTS`` smallest hashes, with ``SAMPLE_BYTES``
+    language, bounded on its own: those of the ``SAMPLE_TEXTS`` smallest hashes, with ``SAMPLE_CHARS``
     characters at most of each. Without labelled rows there are no languages.
     """
     known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -65,9 +64,9 @@ def learn(docs: DataFrame) -> LanguageModel:
         least.setdefault(r["lang"], []).append((r["spot"], r["place"]))
     chosen = [(lang, place) for lang, found in least.items() for _, place in sorted(found)[:SAMPLE_TEXTS]]
     # the part of a long text is taken at a place that its hash chooses
-    room = F.greatest(F.length("text") - SAMPLE_BYTES, F.lit(0)) + 1
+    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
     begin = (F.pmod(F.xxhash64("text", F.lit(1)), room) + 1).cast("int")
-    part = F.substr("text", begin, F.lit(SAMPLE_BYTES))
+    part = F.substr("text", begin, F.lit(SAMPLE_CHARS))
     # bounded: SAMPLE_TEXTS of each language; copies have the same part
     wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, place long"))
     found = known.join(wanted, ["lang", "place"]).groupBy("lang", "place").agg(F.min(part).alias("part"))
@@ -75,14 +74,14 @@ def learn(docs: DataFrame) -> LanguageModel:
     contents = {}
     for lang in sorted(sizes, key=lambda x: (-sizes[x], x)):
         parts = [r["part"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["place"], r["part"]))]
-        content = "\n".join(dict.fromkeys(parts)).lower().encode()[-DICTIONARY_BYTES:]
+        content = "\n".join(dict.fromkeys(parts)).lower().encode()
         if len(content) >= 8:
             contents[lang] = content
     return LanguageModel(contents)
 
 
 def identify(text: str | None, compressors: list) -> tuple[str, float, float]:
-    """(language, score, margin) of one whole text; the margin of a very short one counts as wide."""
+    """(language, score, margin) of one whole text; the margin is 0 at a tie."""
     if not text or not compressors or not _LETTER.search(text):
         return UNKNOWN, 0.0, 0.0
     raw = text.lower().encode()
@@ -92,26 +91,33 @@ def identify(text: str | None, compressors: list) -> tuple[str, float, float]:
     others = np.delete(sizes, best)
     margin = float(1.0 - sizes[best] / others.min()) if len(others) else 1.0
     score = 1.0 - 0.5 * float(np.exp(-40.0 * margin))
-    return compressors[best][0], score, 1.0 if len(raw) < SURE_BYTES else margin
+    return compressors[best][0], score, margin
+
+
+def added_names(docs: DataFrame) -> list[str]:
+    """The names of the columns that :func:`predict` adds, apart from those that ``docs`` has."""
+    return free_names(docs.columns, "_lang", "_lang_score", "_lang_rejected")
 
 
 def predict(docs: DataFrame, model: LanguageModel, margin: float = MARGIN) -> DataFrame:
     """``docs`` with ``_lang``, ``_lang_score`` (0 to 1), ``_lang_rejected``; rows and columns stay.
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected. A tie goes to the more
-    frequent language with score 0.5; a text of ``SURE_BYTES`` or more is then rejected. The dictionaries are bounded by their limits.
+    frequent language with score 0.5 and is rejected, whatever the length. The dictionaries are bounded by
+    their samples; see :func:`added_names` for columns of those names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.withColumns({"_lang": F.lit(""), "_lang_score": F.lit(0.0), "_lang_rejected": F.lit(False)}).schema
+    lang, degree, rejected = added_names(docs)
+    schema = docs.withColumns({lang: F.lit(""), degree: F.lit(0.0), rejected: F.lit(False)}).schema
 
     def work(batches):
         compressors = shared.value.compressors()
         for batch in batches:
             found = [identify(t, compressors) for t in batch.column("text").to_pylist()]
             yield (
-                batch.append_column("_lang", pa.array([f[0] for f in found], pa.string()))
-                .append_column("_lang_score", pa.array([f[1] for f in found], pa.float64()))
-                .append_column("_lang_rejected", pa.array([f[0] == UNKNOWN or f[2] < margin for f in found], pa.bool_()))
+                batch.append_column(lang, pa.array([f[0] for f in found], pa.string()))
+                .append_column(degree, pa.array([f[1] for f in found], pa.float64()))
+                .append_column(rejected, pa.array([f[0] == UNKNOWN or f[2] < margin for f in found], pa.bool_()))
             )
 
     return docs.mapInArrow(work, schema)

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import doc_texts, stash
+
 
 def label_sample(labels: DataFrame, column: str, per_class: int) -> DataFrame:
     """About ``per_class`` labelled ids of each class, chosen by a hash of the id: (doc_id, label).
@@ -26,6 +28,24 @@ def label_sample(labels: DataFrame, column: str, per_class: int) -> DataFrame:
     return known.where(place < share).limit(3 * per_class)
 
 
+def distinct_texts(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, ``column``) of each different text that has a label: the least id of the text, its largest label."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias(column)
+    )
+    places = doc_texts(docs).select("doc_id", F.xxhash64("text").alias("place"))
+    texts = places.join(known, "doc_id").groupBy("place")
+    return stash(texts.agg(F.min("doc_id").alias("doc_id"), F.max(column).alias(column)).drop("place"), "texts")
+
+
+def text_sample(docs: DataFrame, texts: DataFrame, column: str, per_class: int) -> DataFrame:
+    """(doc_id, text, label) of a bounded sample of the texts that :func:`distinct_texts` gives, each once."""
+    # bounded by the sample's size, see label_sample
+    chosen = F.broadcast(label_sample(texts, column, per_class))
+    sample = doc_texts(docs).join(chosen, "doc_id").withColumn("place", F.xxhash64("text"))
+    return sample.dropDuplicates(["place"]).drop("place")
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    WORD_HASHES, arrow_schema, as_bytes, batch_of, doc_texts, int_lists, lower_words, squeeze, stash, unsqueeze,
+    WORD_HASHES, arrow_schema, as_bytes, batch_of, doc_texts, free_names, int_lists, lower_words, squeeze, stash, unsqueeze,
     unsqueezed, window_hashes,
 )
 from .components import components
@@ -268,7 +268,8 @@ def one_of_each_group(docs: DataFrame, percent: int = 80) -> DataFrame:
     All columns stay. Rows that share an id are one document and leave one row; rows without an id and
     texts without words have no near duplicates and stay.
     """
-    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id"))
+    (own,) = free_names(docs.columns, "_kept_id")
+    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(own))
     named = docs.where("doc_id is not null").withColumn("text", F.col("text").cast("string"))
-    rows = squeeze(named).join(kept.distinct(), F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    rows = squeeze(named).join(kept.distinct(), F.col("doc_id").cast("long") == F.col(own), "left_semi")
     return unsqueeze(rows.dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null"))

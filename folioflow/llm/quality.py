@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_HASHES, arrow_schema, as_bytes, batch_of, doc_texts, mixed, window_hashes
-from .learning import calibrated, fit_logistic, label_sample, sigmoid
+from .learning import calibrated, distinct_texts, fit_logistic, sigmoid, text_sample
 
 #: labelled rows of each class to learn from; bins of each family
 SAMPLE_PER_CLASS, WORD_BINS, PAIR_BINS, CHAR_BINS = 1500, 2048, 1024, 2048
@@ -82,10 +82,13 @@ class QualityModel:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
-    """A model from ``labels`` (doc_id, quality 0 or 1); rows of one class alone keep every text."""
-    chosen = label_sample(labels, "quality", per_class)
-    # bounded by the sample's size, see label_sample
-    sample = doc_texts(docs).join(F.broadcast(chosen), "doc_id")
+    """A model from ``labels`` (doc_id, quality 0 or 1); rows of one class alone keep every text.
+
+    About ``per_class`` different texts of each class are read. Copies of a text count once, in the sample
+    and in the classes' sizes; one with both labels is good.
+    """
+    texts = distinct_texts(docs, labels, "quality")
+    sample = text_sample(docs, texts, "quality", per_class)
     schema = arrow_schema({"doc_id": pa.int64(), "label": pa.int32(), "x": pa.binary()})
 
     def extract(batches):
@@ -98,7 +101,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     if not len(y) or y.min() == y.max():
         return QualityModel(np.zeros(N_FEATURES), 4.0)
     x = np.stack([np.frombuffer(r["x"], np.float16).astype(np.float32) for r in rows])
-    sizes = {r["label"]: r["count"] for r in labels.groupBy(F.col("quality").alias("label")).count().collect()}
+    sizes = {r["label"]: r["count"] for r in texts.groupBy(F.col("quality").alias("label")).count().collect()}
     # classes weigh as they do among all labels, not as in the sample
     share = np.where(y == 1, sizes.get(1, 1) / y.sum(), sizes.get(0, 1) / (len(y) - y.sum()))
     aside = np.arange(len(y)) % 4 == 3

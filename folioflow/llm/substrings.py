@@ -17,7 +17,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, arrow_schema, as_bytes, batch_of, doc_texts, int_lists, mixed, squeeze, stash, unsqueezed, window_hashes
+from .common import WORD_HASHES, arrow_schema, as_bytes, batch_of, doc_texts, free_names, int_lists, mixed, squeeze, stash, unsqueezed, window_hashes
 
 #: anchors with more places than this are dealt over several tasks
 HOT_PLACES = 20_000
@@ -166,25 +166,32 @@ def repeated_spans(docs: DataFrame, length: int = 50, squeezed: DataFrame | None
     return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
+def added_names(docs: DataFrame) -> list[str]:
+    """The names of the columns that :func:`remove_repeats` adds, apart from those that ``docs`` has."""
+    return free_names(docs.columns, "_n_words", "_n_removed")
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, keep_untouched: bool = False) -> DataFrame:
     """``docs`` with ``text`` replaced by its kept words, joined by one space, and two columns more.
 
     ``_n_words`` and ``_n_removed`` count the words of the input and those that went. A text without any
     removed word is given as its words joined by one space as well, a null one as an empty one; with
     ``keep_untouched`` both stay as they are. All other columns stay; the result has one row for each
-    row of ``docs``.
+    row of ``docs``. See :func:`added_names` where ``docs`` has columns of those names.
     """
+    n_words, n_removed = added_names(docs)
+    own, ranges = free_names([*docs.columns, n_words, n_removed], "_doc_id", "_spans")
     packed = squeeze(docs.withColumn("text", F.col("text").cast("string")))
-    found = repeated_spans(docs, length).select(F.col("doc_id").alias("_doc_id"), F.col("spans").alias("_spans"))
-    joined = packed.join(found, packed["doc_id"].cast("long") == found["_doc_id"], "left").drop("_doc_id")
+    found = repeated_spans(docs, length).select(F.col("doc_id").alias(own), F.col("spans").alias(ranges))
+    joined = packed.join(found, packed["doc_id"].cast("long") == found[own], "left").drop(own)
     out = docs.withColumn("text", F.col("text").cast("string")).withColumns(
-        {"_n_words": F.lit(0).cast("long"), "_n_removed": F.lit(0).cast("long")}
+        {n_words: F.lit(0).cast("long"), n_removed: F.lit(0).cast("long")}
     )
 
     def strip(batches):
         for batch in batches:
             texts, sizes, gone = [], [], []
-            for text, spans in zip(unsqueezed(batch), batch.column("_spans").to_pylist()):
+            for text, spans in zip(unsqueezed(batch), batch.column(ranges).to_pylist()):
                 words = (text or b"").split()
                 kept = words
                 if spans:
@@ -199,9 +206,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep_untouched: bool = Fal
                 sizes.append(len(words))
                 gone.append(len(words) - len(kept))
             at = batch.schema.get_field_index("text")
-            rest = batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["_spans"])
-            yield rest.append_column("_n_words", pa.array(sizes, pa.int64())).append_column(
-                "_n_removed", pa.array(gone, pa.int64())
+            rest = batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([ranges])
+            yield rest.append_column(n_words, pa.array(sizes, pa.int64())).append_column(
+                n_removed, pa.array(gone, pa.int64())
             )
 
     return joined.mapInArrow(strip, out.schema)

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_strings, batch_of, doc_texts, stash
-from .learning import calibrated, fit_logistic, label_sample, sigmoid
+from .common import arrow_schema, as_strings, batch_of, free_names, stash
+from .learning import calibrated, distinct_texts, fit_logistic, sigmoid, text_sample
 
 #: labelled documents of each class to learn from
 SAMPLE_PER_CLASS = 4000
-#: entries: least and greatest length of a word's beginning, least toxic documents, least log odds, most entries
-MIN_LETTERS, MAX_LETTERS, MIN_DOCUMENTS, MIN_WEIGHT, MAX_ENTRIES = 4, 14, 4, 2.5, 5000
+#: entries: least and greatest length of a word's beginning, least toxic documents, least log odds
+MIN_LETTERS, MAX_LETTERS, MIN_DOCUMENTS, MIN_WEIGHT = 4, 14, 4, 2.5
 THRESHOLD = 0.3
 
 # Letters of other scripts and signs that look like Latin letters.
@@ -33,7 +33,7 @@ HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h",
     "ԁ": "d", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v",
     "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ſ": "s",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i",
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s",
 }
 
 
@@ -46,12 +46,12 @@ class _Fold(dict):
         return value
 
 
-_fold = _Fold({ord("!"): " "})
+_fold = _Fold()
 
 
 def folded(text: str) -> str:
-    """Lower-case letters and blanks, with a blank at both ends."""
-    return f" {text.lower().translate(_fold)} "
+    """Lower-case words, one blank between two, one at both ends; whatever stood between counts alike."""
+    return f" {' '.join(text.lower().translate(_fold).split())} "
 
 
 @dataclass
@@ -87,16 +87,21 @@ def matched(automaton: ahocorasick.Automaton | None, text: str) -> float:
             spared.append((start, end))
         if weight > hits.get(start, 0.0):
             hits[start] = weight
-    if not hits:
-        return 0.0
-    if spared:
-        hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in spared)}
-    return sum(hits.values())
+    spared.sort()
+    total, reach, at = 0.0, -1, 0
+    # both by place: a hit counts unless an exception that began before it reaches beyond it
+    for start in sorted(hits):
+        while at < len(spared) and spared[at][0] <= start:
+            reach = max(reach, spared[at][1])
+            at += 1
+        if start >= reach:
+            total += hits[start]
+    return total
 
 
-def features(total: float, n_words: int) -> tuple[float, float]:
-    """What was found, alone and per hundred words of the text."""
-    return math.log1p(total), math.log1p(100.0 * total / max(n_words, 1))
+def features(total: float, text: str) -> tuple[float, float]:
+    """What was found in a folded text, alone and per hundred of its words."""
+    return math.log1p(total), math.log1p(100.0 * total / max(len(text.split()), 1)) if total else 0.0
 
 
 def _beginnings(text: str) -> set[str]:
@@ -130,18 +135,7 @@ def _entries(rows, n_toxic: int, n_clean: int) -> dict[str, float]:
                 break
             part = wider
         chosen[part] = weight(part)
-    heaviest = sorted(chosen, key=lambda p: (-chosen[p], p))[:MAX_ENTRIES]
-    return {" " + p: chosen[p] for p in heaviest}
-
-
-def distinct_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic) of each different text that has a label: the least id of the text, its largest label."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")
-    )
-    places = doc_texts(docs).select("doc_id", F.xxhash64("text").alias("place"))
-    texts = places.join(known, "doc_id").groupBy("place")
-    return stash(texts.agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).drop("place"), "texts")
+    return {" " + p: chosen[p] for p in sorted(chosen)}
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
@@ -151,11 +145,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     Copies of a text count once, in the sample and in the classes' sizes; one with both labels is toxic.
     Without toxic or without clean rows the model has no entries and scores every text alike.
     """
-    texts = distinct_texts(docs, labels)
-    # bounded by the sample's size, see label_sample
-    chosen = F.broadcast(label_sample(texts, "toxic", per_class))
-    sample = doc_texts(docs).join(chosen, "doc_id").withColumn("place", F.xxhash64("text"))
-    sample = stash(sample.dropDuplicates(["place"]).drop("place"), "sample")
+    texts = distinct_texts(docs, labels, "toxic")
+    sample = stash(text_sample(docs, texts, "toxic", per_class), "sample")
 
     def count(batches):
         schema = arrow_schema({"part": pa.string(), "toxic": pa.int64(), "clean": pa.int64()})
@@ -175,16 +166,17 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
         .groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((F.col("part") == "") | (F.col("toxic") >= MIN_DOCUMENTS) & (F.col("clean") * 10 <= F.col("toxic")))
     )
-    rows = counts.orderBy(F.col("part") != "", F.desc("toxic"), "part").limit(50 * MAX_ENTRIES).collect()
+    # bounded by the sample: parts of at least MIN_DOCUMENTS of its toxic texts
+    rows = counts.collect()
     total = next((r for r in rows if r["part"] == ""), None)
     if total is None or not total["toxic"] or not total["clean"]:
         return ToxicityModel()
     model = ToxicityModel(_entries([r for r in rows if r["part"]], total["toxic"], total["clean"]))
     model.exceptions = _exceptions(sample, model)
     sizes = {r["label"]: r["count"] for r in texts.groupBy(F.col("toxic").alias("label")).count().collect()}
-    fit = [(r["total"], r["n_words"], r["label"]) for r in _totals(sample, model).collect()]
-    x = np.array([features(total, n) for total, n, _ in fit])
-    y = np.array([label for *_, label in fit], dtype=float)
+    fit = sorted(tuple(r) for r in _features(sample, model).collect())
+    x = np.array([found[:2] for found in fit])
+    y = np.array([found[2] for found in fit], dtype=float)
     # classes weigh as they do among all labels, not as in the sample
     share = np.where(y == 1, sizes.get(1, 1) / max(y.sum(), 1), sizes.get(0, 1) / max(len(y) - y.sum(), 1))
     w, b = fit_logistic(x, y, share, ridge=1e-4, rounds=800)
@@ -208,7 +200,7 @@ def _exceptions(sample: DataFrame, model: ToxicityModel) -> set[str]:
         for batch in batches:
             out: list[list] = [[], []]
             for text, label in zip(as_strings(batch), batch.column("label").to_pylist()):
-                text = " ".join(["", *folded(text).split(), ""])
+                text = folded(text)
                 found = set()
                 for end, (size, _, _) in automaton.iter(text) if automaton else ():
                     start = end - size + 1
@@ -225,49 +217,54 @@ def _exceptions(sample: DataFrame, model: ToxicityModel) -> set[str]:
     counts = sample.mapInArrow(phrases, "phrase string, label int").groupBy("phrase").agg(
         F.sum(F.col("label")).alias("toxic"), F.sum(1 - F.col("label")).alias("clean")
     )
-    rows = counts.where("clean >= 3 and toxic = 0").orderBy(F.desc("clean"), "phrase").limit(MAX_ENTRIES).collect()
-    return {r["phrase"] for r in rows}
+    # bounded by the sample, too
+    return {r["phrase"] for r in counts.where("clean >= 3 and toxic = 0").collect()}
 
 
-def _totals(sample: DataFrame, model: ToxicityModel) -> DataFrame:
+def text_features(automaton, texts: list[str]) -> np.ndarray:
+    """The features of whole texts, as they are fitted and as they are scored."""
+    low = map(folded, texts)
+    return np.array([features(matched(automaton, t), t) for t in low], float).reshape(-1, 2)
+
+
+def _features(sample: DataFrame, model: ToxicityModel) -> DataFrame:
     def work(batches):
-        schema = arrow_schema({"total": pa.float64(), "n_words": pa.int64(), "label": pa.int32()})
+        schema = arrow_schema({"found": pa.float64(), "dense": pa.float64(), "label": pa.int32()})
         automaton = model.automaton()
         for batch in batches:
-            texts = [folded(t) for t in as_strings(batch)]
-            yield batch_of(schema, [
-                [matched(automaton, t) for t in texts], [len(t.split()) for t in texts],
-                batch.column("label").cast(pa.int32()),
-            ])
+            x = text_features(automaton, as_strings(batch))
+            yield batch_of(schema, [x[:, 0], x[:, 1], batch.column("label").cast(pa.int32())])
 
-    return sample.mapInArrow(work, "total double, n_words long, label int")
+    return sample.mapInArrow(work, "found double, dense double, label int")
 
 
 def score_texts(model: ToxicityModel, automaton, texts: list[str]) -> np.ndarray:
     """Scores between 0 and 1; an empty text scores as one without any match."""
-    values = []
-    for text in texts:
-        text = folded(text)
-        total = matched(automaton, text)
-        values.append(features(total, text.count(" ")) if total else (0.0, 0.0))
-    return sigmoid(np.array(values).reshape(-1, 2) @ np.array(model.weights) + model.bias)
+    return sigmoid(text_features(automaton, texts) @ np.array(model.weights) + model.bias)
+
+
+def added_names(docs: DataFrame) -> list[str]:
+    """The names of the columns that :func:`score` adds: ``_toxicity`` and ``_toxic``, unless ``docs`` has such."""
+    return free_names(docs.columns, "_toxicity", "_toxic")
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``_toxicity`` (0 to 1) and ``_toxic`` (score >= threshold); all rows and columns stay.
 
-    A null text scores like an empty one. The model's size is bounded by its limits.
+    A null text scores like an empty one; see :func:`added_names` for columns of those names. The model's
+    size is bounded by the sample it was learned from.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.withColumns({"_toxicity": F.lit(0.0), "_toxic": F.lit(False)}).schema
+    degree, flag = added_names(docs)
+    schema = docs.withColumns({degree: F.lit(0.0), flag: F.lit(False)}).schema
 
     def work(batches):
         model = shared.value
         automaton = model.automaton()
         for batch in batches:
             values = score_texts(model, automaton, [t or "" for t in batch.column("text").to_pylist()])
-            yield batch.append_column("_toxicity", pa.array(values, pa.float64())).append_column(
-                "_toxic", pa.array(values >= threshold)
+            yield batch.append_column(degree, pa.array(values, pa.float64())).append_column(
+                flag, pa.array(values >= threshold)
             )
 
     return docs.mapInArrow(work, schema)

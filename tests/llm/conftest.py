@@ -8,6 +8,8 @@ SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()),
     # columns whose names an operator might use for itself
     ("component", pa.string()), ("n", pa.int64()), ("rank", pa.int64()), ("part", pa.string()), ("ids", pa.string()),
+    ("_toxic", pa.string()), ("_lang", pa.string()), ("_spans", pa.string()), ("_n_words", pa.string()),
+    ("_kept_id", pa.string()), ("_doc_id", pa.string()), ("_N_REMOVED", pa.string()), ("guest", pa.string()),
 ])
 
 
