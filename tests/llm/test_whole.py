@@ -61,3 +61,25 @@ def test_op5_dictionaries_do_not_shrink_with_copies(spark):
     )
     assert min(map(len, alone.contents.values())) >= langid.SAMPLE_TEXTS * langid.SAMPLE_CHARS
     assert crowded.contents == alone.contents
+
+
+def test_op6_scores_are_those_of_a_plain_softmax():
+    rng = random.Random(9)
+    counts = {f"w{i}".encode(): rng.randint(5, 300) for i in range(900)}
+    model = lm.Model.fresh(counts, 40, [30, 20])
+    np = lm.np
+    tokens = [lm.STOP, *sorted(set(model.codes.values()) - {lm.STOP}), *model.buckets.tolist()]
+    drawn = np.array(rng.choices(tokens, k=5000))
+    model.train(drawn, np.roll(drawn, 1), np.roll(drawn, 2), 0.05, np.random.default_rng(2))
+    far, near, token = (np.array(rng.choices(tokens, k=700)) for _ in range(3))
+    found = model.log_probabilities(far, near, token)
+    levels = model.level_of(token)
+    for a, b, w, level, got in zip(far, near, token, levels, found):
+        vector = model.predicted(np.array([a]), np.array([b]))[0].astype(float)
+        first = model.outputs[: model.tail].astype(float) @ vector
+        want = first[level] - np.log(np.exp(first[1:]).sum())
+        if w >= model.tail:
+            low, high = model.span((w - model.tail) // model.class_size)
+            below = model.outputs[low:high].astype(float) @ vector
+            want += below[w - low] - np.log(np.exp(below).sum())
+        assert abs(got - want) < 1e-3
