@@ -141,7 +141,7 @@ def coder(path: str, pattern: str) -> tuple[ByteBPE, ChunkEncoder]:
         bpe = ByteBPE(path, pattern)
         return bpe, ChunkEncoder(bpe.encode)
 
-    return held(("byte bpe", path, pattern), make)
+    return held("byte bpe", (path, pattern), make)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -112,7 +114,26 @@ class HashMemo(dict):
 
 
 #: the one memo of a worker's operators; a worker that runs several stages holds no more than this
-WORD_HASHES = HashMemo()
+WORD_HASHES = HashMemo(24 << 20)
+#: what else a worker keeps between tasks, of the operator that ran last
+KEPT: dict = {}
+
+
+def begin(operator: str) -> None:
+    """Called where a task's work begins: a worker that ran another operator before drops what that one left.
+
+    Workers outlive their tasks, and several run side by side on an executor, so what stages leave behind
+    would add up.
+    """
+    if KEPT.get("operator") != operator:
+        KEPT.clear()
+        WORD_HASHES.clear()
+        WORD_HASHES.held = 0
+        KEPT["operator"] = operator
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        # what glibc has in hand goes back to the system; other libraries have no such call
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
 
 
 def lower_words(text: bytes) -> list[bytes]:

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import KEPT, begin
+
 #: encodes chunks into packed token ids
 Encode = Callable[[list[str]], list[bytes]]
 
@@ -24,7 +26,7 @@ _LATIN_WORD = re.compile(rf" ?[{_LETTERS}]{{1,64}}")
 #: a lone space between characters that are no white space: a match of the split pattern begins there
 _LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: bytes of chunks a worker remembers, and the longest chunk that is worth it
-MEMO_BYTES, LONG_CHUNK = 144 << 20, 256
+MEMO_BYTES, LONG_CHUNK = 96 << 20, 256
 
 
 class ChunkMemo(dict):
@@ -178,15 +180,12 @@ class ChunkEncoder(WordEncoder):
         return out
 
 
-_held: dict = {}
-
-
-def held(key: tuple, make: Callable[[], object]):
-    """What a worker keeps between tasks: the encoder it used last, of one kind only."""
-    if key not in _held:
-        _held.clear()
-        _held[key] = make()
-    return _held[key]
+def held(operator: str, key: tuple, make: Callable[[], object]):
+    """The worker's encoder for an operator, kept between tasks until another operator begins."""
+    begin(operator)
+    if key not in KEPT:
+        KEPT[key] = make()
+    return KEPT[key]
 
 
 def _byte_letters() -> dict[int, int]:

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, stash
+from .common import begin, free_names, stash
 
 #: per language: labelled texts to learn from, and characters taken of each; all of them make the dictionary
 SAMPLE_TEXTS, SAMPLE_CHARS = 128, 768
@@ -111,6 +111,7 @@ def predict(docs: DataFrame, model: LanguageModel, margin: float = MARGIN) -> Da
     schema = docs.withColumns({lang: F.lit(""), degree: F.lit(0.0), rejected: F.lit(False)}).schema
 
     def work(batches):
+        begin("langid")
         compressors = shared.value.compressors()
         for batch in batches:
             found = [identify(t, compressors) for t in batch.column("text").to_pylist()]

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    WORD_HASHES, arrow_schema, as_bytes, batch_of, doc_texts, free_names, int_lists, lower_words, squeeze, stash, unsqueeze,
-    unsqueezed, window_hashes,
+    WORD_HASHES, arrow_schema, as_bytes, batch_of, begin, doc_texts, free_names, int_lists, lower_words, squeeze,
+    stash, unsqueeze, unsqueezed, window_hashes,
 )
 from .components import components
 
@@ -190,6 +190,7 @@ def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
         return batch_of(schema, [np.minimum(low, high), np.maximum(low, high)])
 
     def work(batches):
+        begin("neardup")
         for group in key_groups(batches, key):
             yield pairs(group)
 

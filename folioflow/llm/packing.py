@@ -34,7 +34,7 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int, largest_id: int)
     dtype = id_type(largest_id)
 
     def encode(batches):
-        encoder = held(("packing", vocabulary, dtype), lambda: ChunkEncoder(
+        encoder = held("packing", (vocabulary, dtype), lambda: ChunkEncoder(
             tokenizer_encode(vocabulary, dtype), special_tokens(vocabulary)
         ))
         part, before, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype).tobytes()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, arrow_schema, as_bytes, batch_of, doc_texts, mixed, window_hashes
+from .common import WORD_HASHES, arrow_schema, as_bytes, batch_of, begin, doc_texts, mixed, window_hashes
 from .learning import calibrated, distinct_texts, fit_logistic, sigmoid, text_sample
 
 #: labelled rows of each class to learn from; bins of each family
@@ -92,6 +92,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     schema = arrow_schema({"doc_id": pa.int64(), "label": pa.int32(), "x": pa.binary()})
 
     def extract(batches):
+        begin("quality")
         for batch in batches:
             rows = [features(t, WORD_HASHES.of(t.lower().split())).astype(np.float16).tobytes() for t in as_bytes(batch)]
             yield batch_of(schema, [batch.column("doc_id"), batch.column("label").cast(pa.int32()), rows])
@@ -123,6 +124,7 @@ def assess(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -
     schema = arrow_schema({"doc_id": pa.int64(), **_BASE, "base_failed": pa.bool_(), "score": pa.float64(), "kept": pa.bool_()})
 
     def work(batches):
+        begin("quality")
         model = shared.value
         for batch in batches:
             counts, margins = [], []

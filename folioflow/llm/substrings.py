@@ -17,7 +17,10 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, arrow_schema, as_bytes, batch_of, doc_texts, free_names, int_lists, mixed, squeeze, stash, unsqueezed, window_hashes
+from .common import (
+    WORD_HASHES, arrow_schema, as_bytes, batch_of, begin, doc_texts, free_names, int_lists, mixed, squeeze, stash,
+    unsqueezed, window_hashes,
+)
 
 #: anchors with more places than this are dealt over several tasks
 HOT_PLACES = 20_000
@@ -45,6 +48,7 @@ def _owners(half: np.ndarray, length: int) -> np.ndarray:
 
 def _level_one(docs: DataFrame, length: int) -> DataFrame:
     def work(batches):
+        begin("substrings")
         for batch in batches:
             sizes, digests, anchors, places = [], [], [], []
             for text in as_bytes(batch):
@@ -66,6 +70,7 @@ def _level_two(candidates: DataFrame, length: int) -> DataFrame:
     """Full windows around repeated anchors: one row per place, its windows' hashes packed."""
 
     def work(batches):
+        begin("substrings")
         for batch in batches:
             rows: list[list] = [[] for _ in _WINDOWS]
             for doc_id, text, found in zip(
@@ -97,6 +102,7 @@ def _decide(windows: DataFrame) -> DataFrame:
     placed = windows.repartition(*key).sortWithinPartitions(*key, "doc_id", "start")
 
     def work(batches):
+        begin("substrings")
         last, first = None, {}
         for batch in batches:
             rows: list[list] = [[] for _ in _DECIDED]
@@ -189,6 +195,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep_untouched: bool = Fal
     )
 
     def strip(batches):
+        begin("substrings")
         for batch in batches:
             texts, sizes, gone = [], [], []
             for text, spans in zip(unsqueezed(batch), batch.column(ranges).to_pylist()):

@@ -89,7 +89,7 @@ def write_files(
     ordered = doc_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def write(batches):
-        encoder = held(("token files", vocabulary, dtype), lambda: WordEncoder(
+        encoder = held("token files", (vocabulary, dtype), lambda: WordEncoder(
             tokenizer_encode(vocabulary, dtype, lower=True), True, special_tokens(vocabulary)
         ))
         end, part, n_docs, writer = np.array([end_id], dtype).tobytes(), TaskContext.get().partitionId(), 0, None

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_strings, batch_of, free_names, stash
+from .common import arrow_schema, as_strings, batch_of, begin, free_names, stash
 from .learning import calibrated, distinct_texts, fit_logistic, sigmoid, text_sample
 
 #: labelled documents of each class to learn from
@@ -149,6 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     sample = stash(text_sample(docs, texts, "toxic", per_class), "sample")
 
     def count(batches):
+        begin("toxicity")
         schema = arrow_schema({"part": pa.string(), "toxic": pa.int64(), "clean": pa.int64()})
         found = (Counter(), Counter())
         for batch in batches:
@@ -195,6 +196,7 @@ def _exceptions(sample: DataFrame, model: ToxicityModel) -> set[str]:
     """Two-word phrases around matches that clean documents hold and toxic ones do not."""
 
     def phrases(batches):
+        begin("toxicity")
         automaton = model.automaton()
         schema = arrow_schema({"phrase": pa.string(), "label": pa.int32()})
         for batch in batches:
@@ -229,6 +231,7 @@ def text_features(automaton, texts: list[str]) -> np.ndarray:
 
 def _features(sample: DataFrame, model: ToxicityModel) -> DataFrame:
     def work(batches):
+        begin("toxicity")
         schema = arrow_schema({"found": pa.float64(), "dense": pa.float64(), "label": pa.int32()})
         automaton = model.automaton()
         for batch in batches:
@@ -259,6 +262,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
     schema = docs.withColumns({degree: F.lit(0.0), flag: F.lit(False)}).schema
 
     def work(batches):
+        begin("toxicity")
         model = shared.value
         automaton = model.automaton()
         for batch in batches:
