@@ -186,3 +186,23 @@ select lang, row_number() over (partition by lang order by score desc, a desc, p
        phrase, a, l, r, n, score from best
 qualify rank <= 2000
 """
+
+SQL["op10_substrings"] = r"""
+with docs as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+windows as (
+  select doc_id, unnest(h) as h, generate_subscripts(h, 1) as i from (
+    select doc_id, list_transform(range(1, len(w) - 48), lambda k: md5(array_to_string(w[k:k + 49], ' '))) as h
+    from docs where len(w) >= 50)),
+firsts as (select h, min(doc_id) as least from windows group by 1),
+gone as (
+  select distinct doc_id, unnest(range(i, i + 50)) as p from windows join firsts using (h) where least < doc_id),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from docs),
+kept as (
+  select words.doc_id, count(*) filter (where gone.p is null) as n_kept,
+         string_agg(word, ' ' order by words.p) filter (where gone.p is null) as text
+  from words left join gone on gone.doc_id = words.doc_id and gone.p = words.p group by 1)
+select d.doc_id, len(w) as n_words, len(w) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from docs d left join kept k on k.doc_id = d.doc_id
+"""
