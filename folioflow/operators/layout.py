@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
+from . import ordered
 from .ordered import BLOCK_ROWS, Running, carried, number_blocks, running
 
 #: labels whose heights differ by less than this stand in one row of drawings
@@ -13,6 +18,8 @@ ROW_REACH = 20.0
 #: image regions: least side, how far below the label's line one may end, least reach to both sides and
 #: its share of the width, and the height beyond which the nearest one is not the label's
 LEAST_SIDE, OVERLAP, LEAST_REACH, REACH_SHARE, MAX_HEIGHT = 40.0, 12.0, 60.0, 1.5, 160.0
+#: height of a strip in rows, labels of a strip that one task may hold
+STRIP_ROWS, STRIP_LABELS = 64, 1 << 18
 
 
 def chapter_for_pages(pages: DataFrame, outline: DataFrame) -> DataFrame:
@@ -91,13 +98,70 @@ def row_ranges(labels: DataFrame, reach: float) -> DataFrame:
     )
 
 
+def _parted(groups: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
+    """Pages with a group too large for one task; None if there is no such page."""
+    most = min(limit, ordered.HOT_ROWS)
+    hot = groups.groupBy(*keys).count().where(F.col("count") > most).select("page").distinct()
+    return None if hot.isEmpty() else settle(hot)
+
+
+def _beside(labels: pa.Table, reach: float) -> pa.Table:
+    """Neighbours of the asking labels of one strip: a window of sorted centers moves down the page."""
+    heights = labels["y"].to_numpy()
+    order = np.argsort(heights, kind="stable")
+    y, here = heights[order], np.arange(len(order))
+    firsts = np.minimum(np.searchsorted(y, y - reach, side="right"), here).tolist()
+    pasts = np.maximum(np.searchsorted(y, y + reach, side="left"), here + 1).tolist()
+    centers = labels["center"].to_numpy()[order].tolist()
+    asks = labels["asks"].to_numpy(zero_copy_only=False)[order]
+    near: list[float] = []
+    first = past = 0
+    lefts, rights = [], []
+    for center, begin, end, ask in zip(centers, firsts, pasts, asks.tolist()):
+        while past < end:
+            insort(near, centers[past])
+            past += 1
+        while first < begin:
+            del near[bisect_left(near, centers[first])]
+            first += 1
+        if ask:
+            at = bisect_left(near, center)
+            lefts.append(near[at - 1] if at else None)
+            rights.append(near[at + 1] if at + 1 < len(near) else None)
+    out = labels.select(["page", "label_id", "center"]).take(pa.array(order[asks]))
+    return out.append_column("left", pa.array(lefts, pa.float64())).append_column("right", pa.array(rights, pa.float64()))
+
+
 def row_neighbours(labels: DataFrame, reach: float = ROW_REACH) -> DataFrame:
     """Nearest centers left and right of each label among the labels of its row, without pairs.
 
+    A page is cut into strips many rows high. A label asks in its own strip and stands in those that its
+    row touches, so a strip is answered by itself. Pages with a strip too large for a task go through
+    :func:`ranked_neighbours`. Labels are unique per page. Of equal centers the others count as right
+    neighbours; null means that there is none on that side.
+    """
+    single = settle(labels.groupBy("page", "label_id", "center").agg(F.max("y").alias("y")))
+    height = STRIP_ROWS * reach
+    own = F.floor(F.col("y") / height)
+    touched = F.sequence(F.floor((F.col("y") - 2 * reach) / height), F.floor((F.col("y") + 2 * reach) / height))
+    strips = single.select("*", F.explode(touched).alias("strip")).withColumn("asks", F.col("strip") == own)
+    hot = _parted(strips, ["page", "strip"], STRIP_LABELS)
+    if hot is not None:
+        strips = strips.join(hot, "page", "left_anti")
+    kinds = dict(labels.dtypes)
+    found = strips.groupBy("page", "strip").applyInArrow(
+        lambda strip: _beside(strip, reach),
+        f"page {kinds['page']}, label_id {kinds['label_id']}, center double, left double, right double",
+    )
+    return found if hot is None else found.unionByName(ranked_neighbours(single.join(hot, "page", "left_semi"), reach))
+
+
+def ranked_neighbours(labels: DataFrame, reach: float) -> DataFrame:
+    """:func:`row_neighbours` for pages of any size.
+
     Heights of a page are ranked; each label speaks in the log(n) power-of-two rank ranges around it and
     asks in the at most 2 log(n) ranges that make up its row. Inside a range the neighbours are the last
-    speaker before and after it by center. Labels are unique per page. Of equal centers the others count
-    as right neighbours; null means that there is none on that side.
+    speaker before and after it by center.
     """
     placed = settle(row_ranges(labels, reach).join(_top_levels(labels), "page"))
     where = ["page", "level", "slot"]
@@ -136,7 +200,7 @@ def horizontal_limits(labels: DataFrame, pages: DataFrame, reach: float = ROW_RE
     """
     here = F.col("x").cast("double") + F.col("width") / 2
     centers = labels.select("page", "label_id", here.alias("center"), F.col("y").cast("double").alias("y"))
-    near = row_neighbours(settle(centers.dropna()), reach)
+    near = row_neighbours(centers.dropna(), reach)
     before, after = F.col("center") - F.col("left"), F.col("right") - F.col("center")
     bounds = near.join(pages.select("page", "page_left", "page_right"), "page", "left").select(
         "page", "label_id",

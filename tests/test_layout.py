@@ -54,3 +54,34 @@ def test_nearest_region(spark, way):
                 best.append((abs(y - bottom) + aside, no, bottom))
         want = min(best, default=None)
         assert found[page, label] == (want[1] if want and abs(y - want[2]) <= 160 else None)
+
+
+def rows_kept(monkeypatch):
+    """Counts the rows that a layout operator writes down."""
+    kept = []
+
+    def counted(df):
+        kept.append(df.count())
+        return ordered_settle(df)
+
+    ordered_settle = L.settle
+    monkeypatch.setattr(L, "settle", counted)
+    return kept
+
+
+def test_limits_keep_one_row_per_label(spark, monkeypatch):
+    kept = rows_kept(monkeypatch)
+    # several strips, rows across their edges, and a label that is there twice
+    rng = random.Random(5)
+    labels = [(i % 2, i, float(rng.randint(0, 300)), float(rng.randint(1240, 1330)), 10.0) for i in range(600)]
+    pages = spark.createDataFrame([(0, 0.0, 100.0), (1, 0.0, 100.0)], "page long, page_left double, page_right double")
+    table = spark.createDataFrame([*labels, labels[0]], "page long, label_id long, x double, y double, width double")
+    got = L.horizontal_limits(table, pages).collect()
+    assert len(got) == 601 and sum(kept) <= 2 * len(labels)
+    found = {(r.page, r.label_id): (r.left_bound, r.right_bound) for r in got}
+    for page, label, x, y, _ in labels:
+        row = [b[2] for b in labels if b[0] == page and b[1] != label and abs(b[3] - y) < 20]
+        left, right = [x - v for v in row if v < x], [v - x for v in row if v >= x]
+        before, after = min(left, default=None), min(right, default=None)
+        want = (x + 5 - (after if before is None else before) / 2, x + 5 + (before if after is None else after) / 2)
+        assert found[page, label] == want
