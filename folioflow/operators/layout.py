@@ -18,8 +18,8 @@ ROW_REACH = 20.0
 #: image regions: least side, how far below the label's line one may end, least reach to both sides and
 #: its share of the width, and the height beyond which the nearest one is not the label's
 LEAST_SIDE, OVERLAP, LEAST_REACH, REACH_SHARE, MAX_HEIGHT = 40.0, 12.0, 60.0, 1.5, 160.0
-#: height of a strip in rows, labels of a strip that one task may hold
-STRIP_ROWS, STRIP_LABELS = 64, 1 << 18
+#: height of a strip in rows, labels of a strip and labels and regions of a page that one task may hold
+STRIP_ROWS, STRIP_LABELS, PAGE_PLACES = 64, 1 << 18, 1 << 20
 
 
 def chapter_for_pages(pages: DataFrame, outline: DataFrame) -> DataFrame:
@@ -210,6 +210,88 @@ def horizontal_limits(labels: DataFrame, pages: DataFrame, reach: float = ROW_RE
     return labels.join(bounds, ["page", "label_id"], "left")
 
 
+def _walk(spots: np.ndarray, heights: np.ndarray, bottoms: np.ndarray, spans: list, values: list, banded: bool, reverse: bool):
+    """The regions that answer each label on the three spans of x, numbers from ``len(bottoms)`` on for none.
+
+    ``spots`` and ``heights`` are the labels' ranks by center and their places, ``spans`` the first and
+    past rank of every region on each span, ``values`` the regions' places by what they say there. Labels
+    and regions of one range (and band) are put in order, and a running least value answers each label.
+    """
+    none, marks = len(bottoms), len(bottoms) + len(heights)
+    at = np.concatenate([bottoms, heights])
+    place = np.empty(marks, np.int64)
+    place[np.lexsort((np.arange(marks) >= none, at))] = np.arange(marks)
+    band = np.floor(at / OVERLAP) if banded else np.zeros(marks)
+    if reverse:
+        place = marks - 1 - place
+    best = [np.full(len(heights), none, np.int64) for _ in spans]
+    for k in range(int(len(spots)).bit_length()):
+        slots = spots >> k
+        for (first, past), value, found in zip(spans, values, best):
+            low, high = (first + (1 << k) - 1) >> k, past >> k
+            odd_low, odd_high = np.flatnonzero((low < high) & (low & 1 == 1)), np.flatnonzero((low < high) & (high & 1 == 1))
+            told = np.concatenate([odd_low, odd_high])
+            told_slots = np.concatenate([low[odd_low], high[odd_high] - 1])
+            spoken = np.zeros((len(spots) >> k) + 2, bool)
+            spoken[told_slots] = True
+            heard = np.flatnonzero(spoken[slots])
+            if not len(heard):
+                continue
+            who = np.concatenate([told, heard + none])
+            where = np.concatenate([told_slots, slots[heard]])
+            order = np.argsort(where * marks + place[who])
+            who, where = who[order], where[order]
+            begins = np.ones(len(who), bool)
+            begins[1:] = (where[1:] != where[:-1]) | (band[who[1:]] != band[who[:-1]])
+            shift = np.cumsum(begins) * (none + 1)
+            said = np.full(len(who), none, np.int64)
+            said[who < none] = value[who[who < none]]
+            least = np.minimum.accumulate(said - shift) + shift
+            asks = who >= none
+            found[who[asks] - none] = np.minimum(found[who[asks] - none], least[asks])
+    return best
+
+
+def _beneath(labels: pa.Table, regions: pa.Table) -> pa.Table:
+    """Least (score, region_no, bottom) of every label of one page."""
+    center, y = labels["center"].to_numpy(), labels["y"].to_numpy()
+    numbers = regions["region_no"].to_numpy()
+    left, right, bottom, reach = (regions[c].to_numpy().astype(float) for c in ("left", "right", "bottom", "reach"))
+    by_center = np.argsort(center, kind="stable")
+    spots = np.empty(len(center), np.int64)
+    spots[by_center] = np.arange(len(center))
+    ends = [
+        np.searchsorted(center[by_center], edge, side=side)
+        for edge, side in ((left - reach, "left"), (left, "left"), (right, "right"), (right + reach, "right"))
+    ]
+    spans = list(zip(ends[:-1], ends[1:]))
+    # what the region itself, and the label, add to the horizontal distance on each span
+    own, theirs = (left, np.zeros(len(left)), -right), (-center, np.zeros(len(center)), center)
+    score, number, low = np.full(len(y), np.inf), np.zeros(len(y), numbers.dtype), np.zeros(len(y))
+    # regions that end above the label; then those that end below it, in its band and in the next one
+    for sign, height, banded, reverse in ((-1, 0.0, False, False), (1, 0.0, True, True), (1, OVERLAP, True, False)):
+        says = [add + sign * bottom for add in own]
+        ordered_by = [np.lexsort((bottom, numbers, said)) for said in says]
+        values = []
+        for at in ordered_by:
+            value = np.empty(len(at), np.int64)
+            value[at] = np.arange(len(at))
+            values.append(value)
+        for found, at, said, add in zip(_walk(spots, y + height, bottom, spans, values, banded, reverse), ordered_by, says, theirs):
+            hit = np.flatnonzero(found < len(bottom))
+            region = at[found[hit]]
+            new, no, below = said[region] + add[hit] - sign * y[hit], numbers[region], bottom[region]
+            same = new == score[hit]
+            better = (new < score[hit]) | (same & ((no < number[hit]) | ((no == number[hit]) & (below < low[hit]))))
+            hit, new, no, below = hit[better], new[better], no[better], below[better]
+            score[hit], number[hit], low[hit] = new, no, below
+    got = np.flatnonzero(np.isfinite(score))
+    out = labels.select(["page", "label_id", "y"]).take(pa.array(got))
+    for name, column in (("score", score), ("region_no", number), ("bottom", low)):
+        out = out.append_column(name, pa.array(column[got]))
+    return out
+
+
 def nearest_regions(labels: DataFrame, regions: DataFrame) -> DataFrame:
     """The image region of each label: the least sum of vertical and horizontal distance, without pairs.
 
@@ -221,13 +303,40 @@ def nearest_regions(labels: DataFrame, regions: DataFrame) -> DataFrame:
     A region's reach falls into three spans of x (left of it, across, right of it), and on each the
     distance is a value of the region plus a value of the label. Spans are covered by power-of-two ranges
     of center ranks; within a range regions and labels walk down the page together, and a running least
-    value answers each label.
+    value answers each label. One task does so for a page; pages too large for that go through
+    :func:`ranked_regions`. Labels of pages without regions, and regions without labels, are not moved.
     """
-    usable = regions.where(f"right - left >= {LEAST_SIDE} and bottom - top >= {LEAST_SIDE}").select(
+    usable = regions.where(
+        f"right - left >= {LEAST_SIDE} and bottom - top >= {LEAST_SIDE} and page is not null and region_no is not null"
+    ).select(
         "page", "region_no", "left", "right", "bottom",
         F.greatest(F.lit(LEAST_REACH), (F.col("right") - F.col("left")) * REACH_SHARE).alias("reach"),
     )
-    centers = labels.select("page", "label_id", "center", "y").dropna()
+    centers = labels.select(
+        "page", "label_id", F.col("center").cast("double").alias("center"), F.col("y").cast("double").alias("y")
+    ).dropna()
+    centers = settle(centers.join(usable.select("page").distinct(), "page", "left_semi"))
+    usable = settle(usable.join(centers.select("page").distinct(), "page", "left_semi"))
+    hot = _parted(centers.select("page").unionByName(usable.select("page")), ["page"], PAGE_PLACES)
+    here, told = centers, usable
+    if hot is not None:
+        here, told = centers.join(hot, "page", "left_anti"), usable.join(hot, "page", "left_anti")
+    kinds = dict(labels.dtypes) | {"region_no": dict(regions.dtypes)["region_no"]}
+    found = here.groupBy("page").cogroup(told.groupBy("page")).applyInArrow(
+        lambda labels, regions: _beneath(labels, regions),
+        f"page {kinds['page']}, label_id {kinds['label_id']}, y double, score double, region_no {kinds['region_no']}, bottom double",
+    ).select("page", "label_id", "y", F.struct("score", "region_no", "bottom").alias("best"))
+    if hot is not None:
+        found = found.unionByName(
+            ranked_regions(centers.join(hot, "page", "left_semi"), usable.join(hot, "page", "left_semi"))
+        )
+    best = found.groupBy("page", "label_id").agg(F.min("best").alias("best"), F.max("y").alias("y"))
+    near = best.where(F.abs(F.col("y") - F.col("best.bottom")) <= MAX_HEIGHT)
+    return labels.join(near.select("page", "label_id", "best.region_no"), ["page", "label_id"], "left")
+
+
+def ranked_regions(centers: DataFrame, usable: DataFrame) -> DataFrame:
+    """Answers of :func:`nearest_regions`, one per walk and label, for pages of any size."""
     edges = usable.select(
         "page", F.col("region_no").alias("label_id"),
         F.expr(
@@ -303,6 +412,4 @@ def nearest_regions(labels: DataFrame, regions: DataFrame) -> DataFrame:
     # regions that end above the label; then those that end below it, in its band and in the next one
     above = walk(-1, 0.0, False, False)
     below = walk(1, 0.0, True, True).unionByName(walk(1, OVERLAP, True, False))
-    best = above.unionByName(below).groupBy("page", "label_id").agg(F.min("best").alias("best"), F.max("y").alias("y"))
-    near = best.where(F.abs(F.col("y") - F.col("best.bottom")) <= MAX_HEIGHT)
-    return labels.join(near.select("page", "label_id", "best.region_no"), ["page", "label_id"], "left")
+    return above.unionByName(below)

@@ -85,3 +85,31 @@ def test_limits_keep_one_row_per_label(spark, monkeypatch):
         before, after = min(left, default=None), min(right, default=None)
         want = (x + 5 - (after if before is None else before) / 2, x + 5 + (before if after is None else after) / 2)
         assert found[page, label] == want
+
+
+def test_regions_keep_one_row_per_place(spark, monkeypatch):
+    kept = rows_kept(monkeypatch)
+    rng = random.Random(7)
+    labels = [(1, i, float(rng.randint(0, 600)), float(rng.randint(0, 700))) for i in range(400)]
+    regions = []
+    for i in range(300):
+        left, top = float(rng.randint(0, 500)), float(rng.randint(0, 600))
+        regions.append((1, i, left, left + rng.randint(30, 120), top, top + rng.randint(30, 90)))
+    # labels of a page without regions, regions of no page, regions without labels
+    more = [(2, 1, 5.0, 5.0), (None, 3, 5.0, 5.0)]
+    other = [(None, 1, 0.0, 99.0, 0.0, 99.0), (3, 1, 0.0, 99.0, 0.0, 99.0)]
+    got = L.nearest_regions(
+        spark.createDataFrame(labels + more, "page long, label_id long, center double, y double"),
+        spark.createDataFrame(regions + other, "page long, region_no long, left double, right double, top double, bottom double"),
+    ).collect()
+    assert sum(kept) <= len(labels) + len(regions) and len(got) == len(labels) + 2
+    found = {(r.page, r.label_id): r.region_no for r in got}
+    assert found[2, 1] is None and found[None, 3] is None
+    for _, label, c, y in labels:
+        best = []
+        for _, no, left, right, top, bottom in regions:
+            aside = max(left - c, c - right, 0)
+            if right - left >= 40 and bottom - top >= 40 and bottom <= y + 12 and aside <= max(60, 1.5 * (right - left)):
+                best.append((abs(y - bottom) + aside, no, bottom))
+        want = min(best, default=None)
+        assert found[1, label] == (want[1] if want and abs(y - want[2]) <= 160 else None)
