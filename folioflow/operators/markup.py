@@ -196,7 +196,8 @@ def effective_lang(nodes: DataFrame, attribute: str = "xml:lang", doc: str = "do
         opened, [doc, "nest"], ["at", "kind"], number_blocks("at"), {"effective_lang": Running("last", F.col("lang"))}
     )
     found = filled.where("kind = 2").select(doc, F.col("at").alias("node_id"), "effective_lang")
-    return nodes.join(found, [doc, "node_id"], "left")
+    # kept tables are far smaller than their rows, so their sizes must not choose a broadcast here
+    return nodes.join(found.hint("merge"), [doc, "node_id"], "left")
 
 
 def text_of(nodes: DataFrame, tags: Sequence[str], doc: str = "doc_id") -> DataFrame:
