@@ -1,7 +1,8 @@
 """Live answers at every event: who is present in a room, who edits which comment.
 
-Sessions and open edits are keyed state of Spark's state store, one entry per room and user, and they
-leave it when the user's last session or edit ends. The store lies in the query's checkpoint folder, so
+Sessions and open edits are keyed state of Spark's state store, one entry per room and part of its users
+(``USER_PARTS``, so that calls into Python do not grow with the users), and they leave it when the
+sessions or edits end. The store lies in the query's checkpoint folder, so
 it survives lost executors. What concerns a whole room is not kept in one key, since one room may get a
 third of all events: each micro-batch adds up the users' steps as an ordered running sum, which is walked
 in blocks where a room is large, on top of the counts that the batch before has written.
@@ -23,6 +24,8 @@ from ..operators.ordered import Running, running, time_blocks
 from ..session import settle, shared_folder
 from .events import JOIN, LEAVE, editing_feed
 
+#: parts that the users of a room fall into; users that are null have one of their own
+USER_PARTS = 64
 STEPS = "event_id long, ts timestamp, room {room}, user_id {user}, open_sessions long, step long"
 ROOMS = "room {room}, present_users long"
 EDITS = "event_id long, room {room}, user_id {user}, comment_id long, started_at timestamp, ended_at timestamp"
@@ -34,10 +37,20 @@ def _typed(ddl: str, events: DataFrame) -> str:
 
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A user's events of one micro-batch."""
+    """The events of one key in one micro-batch."""
     return pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
 
 
+def _user_part():
+    user = F.col("user_id")
+    return F.when(user.isNull(), -1).otherwise(F.pmod(F.hash(user), F.lit(USER_PARTS)))
+
+
+def _plain(values: pd.Series) -> list:
+    """Values of a part, which holds either no null or nulls only."""
+    return [None] * len(values) if values.isna().any() else values.tolist()
+
+
 # -- presence --------------------------------------------------------------------------------
 
 
@@ -52,26 +65,35 @@ def presence_steps(events: DataFrame) -> DataFrame:
     )
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened = set(state.get[0]) if state.exists else set()
+        opened: dict[object, set[str]] = {}
+        if state.exists:
+            for user, session in zip(*state.get):
+                opened.setdefault(user, set()).add(session)
         moved = _in_order(frames)
+        users = _plain(moved["user_id"])
         counts, steps = [], []
-        for session, joins in zip(moved["session"], moved["joins"]):
-            before = bool(opened)
+        for user, session, joins in zip(users, moved["session"].tolist(), moved["joins"].tolist()):
+            sessions = opened.setdefault(user, set())
+            before = bool(sessions)
             if joins:
-                opened.add(session)
+                sessions.add(session)
             else:
-                opened.discard(session)
-            counts.append(len(opened))
-            steps.append(int(bool(opened)) - int(before))
-        if opened:
-            state.update((sorted(opened),))
+                sessions.discard(session)
+            counts.append(len(sessions))
+            steps.append(int(bool(sessions)) - int(before))
+        left = [(user, session) for user, sessions in opened.items() for session in sorted(sessions)]
+        if left:
+            state.update(([user for user, _ in left], [session for _, session in left]))
         elif state.exists:
             state.remove()
-        out = moved[["event_id", "ts", "room", "user_id"]]
-        yield out.assign(open_sessions=counts, step=steps)
+        out = moved[["event_id", "ts"]]
+        room = pd.Series([key[0]] * len(out), index=out.index, dtype=object)
+        user_id = pd.Series(users, index=out.index, dtype=object)
+        yield out.assign(room=room, user_id=user_id, open_sessions=counts, step=steps)
 
-    return moves.groupBy("room", "user_id").applyInPandasWithState(
-        follow, _typed(STEPS, events), "sessions array<string>", "append", GroupStateTimeout.NoTimeout
+    return moves.withColumn("part", _user_part()).groupBy("room", "part").applyInPandasWithState(
+        follow, _typed(STEPS, events), _typed("users array<{user}>, sessions array<string>", events), "append",
+        GroupStateTimeout.NoTimeout,
     )
 
 
@@ -127,6 +149,10 @@ def _run(stream: DataFrame, keep, base: str) -> None:
 
 # -- editing ---------------------------------------------------------------------------------
 
+STARTS, STOPS, LEFT = 1, 2, 3
+#: no time, as numpy counts it
+NEVER = -(1 << 63)
+
 
 def editing_updates(events: DataFrame, comments: DataFrame) -> DataFrame:
     """A row at the start of an edit, with ``ended_at`` null, and one at its end.
@@ -135,39 +161,45 @@ def editing_updates(events: DataFrame, comments: DataFrame) -> DataFrame:
     """
     feed = editing_feed(events, comments)
     leaves = events.where(F.col("type") == LEAVE).select(
-        "event_id", "ts", "room", "user_id", F.lit(None).cast("long").alias("comment_id"),
-        F.lit(None).cast("boolean").alias("editing"),
+        "event_id", "ts", "room", "user_id", F.lit(0).cast("long").alias("comment_id"), F.lit(LEFT).alias("kind"),
     )
-    kept = feed.select("event_id", "ts", "room", "user_id", F.col("comment_id").cast("long").alias("comment_id"), "editing")
+    kind = F.when(F.col("editing"), STARTS).otherwise(STOPS)
+    kept = feed.select("event_id", "ts", "room", "user_id", F.col("comment_id").cast("long").alias("comment_id"), kind.alias("kind"))
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened: dict[int, tuple[int, pd.Timestamp]] = {}
+        # open edits of every user by number: (comment, start in microseconds)
+        opened: dict[object, dict[int, tuple[int, int]]] = {}
         if state.exists:
-            ids, edited, starts = state.get
-            opened = {i: (c, pd.Timestamp(s, unit="us")) for i, c, s in zip(ids, edited, starts)}
-        out: list[tuple] = []
+            for user, i, comment, start in zip(*state.get):
+                opened.setdefault(user, {})[i] = (comment, start)
         moved = _in_order(frames)
-        for number, at, comment, editing in zip(moved["event_id"], moved["ts"], moved["comment_id"], moved["editing"]):
-            if editing is not None and not pd.isna(editing) and editing:
-                opened[number] = (int(comment), at)
-                out.append((number, *key, int(comment), at, pd.NaT))
+        micros = moved["ts"].astype("datetime64[us]").astype("int64")
+        out: list[tuple] = []
+        for number, at, user, comment, kind in zip(
+            moved["event_id"].tolist(), micros.tolist(), _plain(moved["user_id"]), moved["comment_id"].tolist(), moved["kind"].tolist()
+        ):
+            mine = opened.setdefault(user, {})
+            if kind == STARTS:
+                mine[number] = (comment, at)
+                out.append((number, user, comment, at, NEVER))
                 continue
-            leaves = pd.isna(comment)
-            for i in [i for i, (c, _) in opened.items() if leaves or c == comment]:
-                c, start = opened.pop(i)
-                out.append((i, *key, c, start, at))
-        if opened:
-            micros = [s.value // 1000 for _, s in opened.values()]
-            state.update((list(opened), [c for c, _ in opened.values()], micros))
+            for i in [i for i, (c, _) in mine.items() if kind == LEFT or c == comment]:
+                c, start = mine.pop(i)
+                out.append((i, user, c, start, at))
+        left = [(user, i, *edit) for user, mine in opened.items() for i, edit in mine.items()]
+        if left:
+            state.update(tuple(map(list, zip(*left))))
         elif state.exists:
             state.remove()
-        columns = ["event_id", "room", "user_id", "comment_id", "started_at", "ended_at"]
-        frame = pd.DataFrame(out, columns=columns)
-        yield frame.astype({"started_at": "datetime64[ns]", "ended_at": "datetime64[ns]"})
-
-    return kept.unionByName(leaves).groupBy("room", "user_id").applyInPandasWithState(
-        follow, _typed(EDITS, events), "ids array<long>, comments array<long>, starts array<long>", "append",
-        GroupStateTimeout.NoTimeout,
+        frame = pd.DataFrame(out, columns=["event_id", "user_id", "comment_id", "started_at", "ended_at"]).astype({"user_id": object})
+        frame.insert(1, "room", pd.Series([key[0]] * len(out), dtype=object))
+        for column in ("started_at", "ended_at"):
+            frame[column] = frame[column].to_numpy(dtype="int64").astype("datetime64[us]")
+        yield frame
+
+    return kept.unionByName(leaves).withColumn("part", _user_part()).groupBy("room", "part").applyInPandasWithState(
+        follow, _typed(EDITS, events), _typed("users array<{user}>, ids array<long>, comments array<long>, starts array<long>", events),
+        "append", GroupStateTimeout.NoTimeout,
     )
 
 
