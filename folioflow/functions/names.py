@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -166,58 +166,85 @@ def _part(col: Column) -> Column:
     return F.upper(F.regexp_replace(col, "[^A-Za-z0-9]", ""))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def vehicle_label(name: Column, prefix: str) -> Column:
     """Vehicle label from an export file name that carries ``prefix-model-...-locale-year``.
 
     Model parts are joined by '_', drive types by '-', then year, region and a fixed suffix. Names of
-    another shape give their cleaned base name.
+    another shape give their cleaned base name. Each step is bound once: spelled out, the uses of uses
+    would multiply.
     """
     base = F.regexp_replace(
         F.regexp_replace(strip(F.coalesce(name, F.lit(NO_NAME))), "(?i)\\.xlsx?$", ""),
         REVIEW_SUFFIX,
         "",
     )
-    tail = F.regexp_extract(base, f"(?i)({prefix}-.*)$", 1)
-    spaced = F.regexp_replace(tail, "(?i)^(.*?[a-z]{2}_[a-z]{2})_(20\\d{2})", "$1-$2")
-    tokens = F.split(spaced, "-")
-    is_year = F.transform(tokens, lambda t, i: (i >= 3) & t.rlike("^\\d{4}$"))
-    year_at = F.array_position(is_year, F.lit(True)).cast("int")  # 1-based, 0 when absent
-    locale = F.get(tokens, year_at - 2)
-    before = F.get(tokens, year_at - 3)
-    halves = F.split(locale, "_")
-    joined = (
-        (F.size(halves) == 2)
-        & (F.length(F.get(halves, F.lit(0))) == 2)
-        & (F.length(F.get(halves, F.lit(1))) == 2)
-    )
-    split_pair = before.rlike("(?i)^[a-z]{2}$") & locale.rlike("(?i)^[a-z]{2}$")
-    start = F.when(joined, year_at - 2).when(split_pair, year_at - 3).otherwise(year_at - 2)
-    language = F.when(joined, F.get(halves, F.lit(0))).when(split_pair, before).otherwise("")
-    country = F.when(joined, F.get(halves, F.lit(1))).otherwise(locale)
-    model = F.split(F.get(tokens, F.lit(1)), "_")
-    rest = F.transform(
-        F.concat(
-            F.slice(model, F.lit(2), F.greatest(F.size(model), F.lit(1))),
-            F.slice(tokens, F.lit(3), F.greatest(start - 2, F.lit(0))),
-        ),
-        _part,
-    )
-    drives = F.filter(rest, lambda t: t.isin(*POWERTRAINS))
-    names = F.filter(rest, lambda t: ~t.isin(*POWERTRAINS) & (t != ""))
-    vehicle = F.array_join(F.concat(F.array(_part(F.get(model, F.lit(0)))), names), "_")
-    vehicle = F.when(F.size(drives) > 0, F.concat(vehicle, F.lit("_"), F.array_join(drives, "-"))).otherwise(
-        vehicle
-    )
-    land = F.when(_part(language) == "KO", _part(language)).otherwise(_part(country))
-    land = F.when(land == "GB", "EG").otherwise(land)
-    year = F.concat(F.substring(F.get(tokens, year_at - 1), 3, 2), F.lit("MY"))
-    label = F.when(
-        (year_at > 3) & (vehicle != "") & (land != ""),
-        F.concat_ws("_", vehicle, year, land, F.lit(LABEL_SUFFIX)),
-    )
-    plain = F.regexp_replace(F.regexp_replace(base, ORDER_PREFIX, ""), UNSAFE_IN_NAME, "_")
-    plain = F.when(F.length(F.trim(plain)) == 0, NO_NAME).otherwise(plain)
-    return F.coalesce(label, plain)
+
+    def tokens_of(base: Column) -> Column:
+        tail = F.regexp_extract(base, f"(?i)({prefix}-.*)$", 1)
+        return F.split(F.regexp_replace(tail, "(?i)^(.*?[a-z]{2}_[a-z]{2})_(20\\d{2})", "$1-$2"), "-")
+
+    def of_tokens(tokens: Column) -> Column:
+        is_year = F.transform(tokens, lambda t, i: (i >= 3) & t.rlike("^\\d{4}$"))
+        year_at = F.array_position(is_year, F.lit(True)).cast("int")  # 1-based, 0 when absent
+        return _bound(year_at, lambda at: F.when(at > 3, of_year(tokens, at)))
+
+    def of_year(tokens: Column, year_at: Column) -> Column:
+        locale, before = F.get(tokens, year_at - 2), F.get(tokens, year_at - 3)
+        halves = F.split(locale, "_")
+        joined = (
+            (F.size(halves) == 2)
+            & (F.length(F.get(halves, F.lit(0))) == 2)
+            & (F.length(F.get(halves, F.lit(1))) == 2)
+        )
+        split_pair = before.rlike("(?i)^[a-z]{2}$") & locale.rlike("(?i)^[a-z]{2}$")
+        place = F.struct(
+            F.when(joined, year_at - 2).when(split_pair, year_at - 3).otherwise(year_at - 2).alias("start"),
+            _part(F.when(joined, F.get(halves, F.lit(0))).when(split_pair, before).otherwise("")).alias("language"),
+            _part(F.when(joined, F.get(halves, F.lit(1))).otherwise(locale)).alias("country"),
+        )
+        year = F.concat(F.substring(F.get(tokens, year_at - 1), 3, 2), F.lit("MY"))
+        return _bound(place, lambda p: _bound(vehicle_of(tokens, p["start"]), lambda v: joined_label(v, year, land_of(p))))
+
+    def vehicle_of(tokens: Column, start: Column) -> Column:
+        model = F.split(F.get(tokens, F.lit(1)), "_")
+        rest = F.transform(
+            F.concat(
+                F.slice(model, F.lit(2), F.greatest(F.size(model), F.lit(1))),
+                F.slice(tokens, F.lit(3), F.greatest(start - 2, F.lit(0))),
+            ),
+            _part,
+        )
+        return _bound(rest, lambda rest: with_drives(_part(F.get(model, F.lit(0))), rest))
+
+    def with_drives(first: Column, rest: Column) -> Column:
+        drives = F.filter(rest, lambda t: t.isin(*POWERTRAINS))
+        names = F.filter(rest, lambda t: ~t.isin(*POWERTRAINS) & (t != ""))
+        vehicle = F.array_join(F.concat(F.array(first), names), "_")
+        return _bound(
+            F.struct(vehicle.alias("v"), F.array_join(drives, "-").alias("d"), F.size(drives).alias("n")),
+            lambda x: F.when(x["n"] > 0, F.concat(x["v"], F.lit("_"), x["d"])).otherwise(x["v"]),
+        )
+
+    def land_of(place: Column) -> Column:
+        land = F.when(place["language"] == "KO", place["language"]).otherwise(place["country"])
+        return F.when(land == "GB", "EG").otherwise(land)
+
+    def joined_label(vehicle: Column, year: Column, land: Column) -> Column:
+        return _bound(
+            land,
+            lambda land: F.when((vehicle != "") & (land != ""), F.concat_ws("_", vehicle, year, land, F.lit(LABEL_SUFFIX))),
+        )
+
+    def plain(base: Column) -> Column:
+        cleaned = F.regexp_replace(F.regexp_replace(base, ORDER_PREFIX, ""), UNSAFE_IN_NAME, "_")
+        return _bound(cleaned, lambda c: F.when(F.length(F.trim(c)) == 0, NO_NAME).otherwise(c))
+
+    return _bound(base, lambda b: F.coalesce(_bound(tokens_of(b), of_tokens), plain(b)))
 
 
 def safe_name(name: Column, stamp: Column, extension: str) -> Column:

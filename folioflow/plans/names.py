@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..functions import names as N
 from ..functions import text as T
 from ..operators import upkeep as U
-from ..session import read_table
+from ..session import read_table, spread
 from .catalog import query
 
 MODEL = "replace(p_brand, '#', '')"
@@ -37,7 +37,8 @@ def vehicle_labels(spark, d):
         when p_type = 'MEDIUM' then concat('260317_도안발주내역서_', p_name, '?a*')
         else ' ' end"""
     )
-    return read_table(spark, d, "part").select("p_partkey", N.vehicle_label(name, "ACME").alias("label"))
+    parts = spread(read_table(spark, d, "part"), "p_partkey")
+    return parts.select("p_partkey", N.vehicle_label(name, "ACME").alias("label"))
 
 
 @query(
