@@ -25,6 +25,10 @@ MOVABLE_TYPES = ("RECT", "CALLOUT")
 CODE_FORMAT = "id%04d"
 
 
+#: parts that comments fall into while their mentions are looked up
+MENTION_PARTS = 16
+
+
 # -- predicates ------------------------------------------------------------------------------
 
 
@@ -323,9 +327,12 @@ def delete_threads(
 
 def mention_rows(comments: DataFrame, users: DataFrame, docs: DataFrame) -> DataFrame:
     """One row per comment and mention that resolves, with the text to send. Works on streams."""
-    said = comments.select("*", F.explode(T.mentions(F.col("comment_text"))).alias("mention"))
-    who = mention_index(users).select("mention", F.col("user_id").alias("target_user"))
-    with_doc = said.join(who, "mention").join(
+    # a mention that is in every comment, of a user or of nobody, meets a copy of the users in each part
+    part = F.pmod(F.xxhash64("comment_id"), F.lit(MENTION_PARTS)).alias("_part")
+    said = comments.select("*", part, F.explode(T.mentions(F.col("comment_text"))).alias("mention"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(MENTION_PARTS - 1).cast("long"))).alias("_part")
+    who = mention_index(users).select("mention", F.col("user_id").alias("target_user"), parts)
+    with_doc = said.join(who.hint("merge"), ["mention", "_part"]).join(
         docs.select("doc_id", "file_name", "file_path"), "doc_id", "left"
     )
     return with_doc.select(
