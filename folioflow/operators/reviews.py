@@ -244,8 +244,14 @@ def review_rows(
 
 
 def order_review(df: DataFrame) -> DataFrame:
-    """Page, then time, nulls last; each reply follows its comment."""
-    return df.orderBy(
+    """Page, then time, nulls last; each reply follows its comment.
+
+    Of a whole sheet, what follows from other columns is made again after the sort and does not travel.
+    """
+    made = ["status_label", "author", "page_label", "owner_reply"]
+    whole = set(made) | {"status", "user_name", "user_id", "page_num"} <= set(df.columns)
+    narrow = df.drop(*made) if whole else df
+    placed = narrow.orderBy(
         F.col("doc_id"),
         F.col("page_num").asc_nulls_last(),
         F.col("comment_dt").asc_nulls_last(),
@@ -254,6 +260,12 @@ def order_review(df: DataFrame) -> DataFrame:
         F.col("create_dt"),
         F.col("reply_id"),
     )
+    return labels(placed).withColumn("owner_reply", owner_reply()).select(*df.columns) if whole else placed
+
+
+def owner_reply() -> Column:
+    """The reply of a row or file, or -1 for the comment itself."""
+    return F.coalesce("reply_id", F.lit(-1))
 
 
 def order_recent(df: DataFrame) -> DataFrame:
@@ -268,7 +280,7 @@ def review_sheet(
     The names of a row's files are in :func:`attachment_names` and :func:`joined_names` under
     (comment_id, owner_reply); ``owner_reply`` is -1 for the comment itself.
     """
-    rows = review_rows(comments, replies, users).withColumn("owner_reply", F.coalesce("reply_id", F.lit(-1)))
+    rows = review_rows(comments, replies, users).withColumn("owner_reply", owner_reply())
     # one pass over the attachments serves comments and replies; null reply ids become a flag
     files = attachment_summary(owned(attachments), ["comment_id", "owner_reply"])
     sheet = rows.join(files, ["comment_id", "owner_reply"], "left")
@@ -281,7 +293,7 @@ def review_sheet(
 
 def owned(attachments: DataFrame) -> DataFrame:
     """Attachments with ``owner_reply``: the reply, or -1 for the comment itself."""
-    return attachments.withColumn("owner_reply", F.coalesce("reply_id", F.lit(-1)))
+    return attachments.withColumn("owner_reply", owner_reply())
 
 
 # -- maintenance -----------------------------------------------------------------------------

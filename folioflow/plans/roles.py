@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import dated_blocks
-from ..session import read_table, spread
+from ..session import SMALL_ROWS_BYTES, read_table, spread
 
 #: reply and attachment ids pack part, supplier and line number
 REPLY_ID = "l_partkey * 10000000 + l_suppkey * 10 + l_linenumber"
@@ -49,7 +49,8 @@ COMMENTS = """comments as (
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey")
+    table = read_table(spark, folder, "lineitem")
+    return spread(table, "l_orderkey", "l_partkey", "l_suppkey", limit=SMALL_ROWS_BYTES)
 
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
