@@ -93,7 +93,8 @@ def unchanged_sentences(
     """Numbered list of target sentences that neither changed nor are excluded."""
     excluded = F.contains(F.coalesce("class_tokens", F.lit("")), F.lit(EXCLUDE_TOKEN))
     left = _targets(sents, phrase).where(~F.col("_changed") & ~excluded).drop("_changed")
-    return numbered(left, scope, order, blocks, out="list_no")
+    # numbering reads its rows twice, so the joins before it are not repeated
+    return numbered(settle(left), scope, order, blocks, out="list_no")
 
 
 def excluded_sentences(sents: DataFrame) -> DataFrame:

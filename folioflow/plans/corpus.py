@@ -107,7 +107,7 @@ from replaced where contains(text, 'the') and status is null and class_tokens is
 )
 def unchanged_sentences(spark, d):
     listed = C.unchanged_sentences(
-        replaced(spark, d),
+        replaced(spark, d).drop("lang", "region", "hash"),
         "the",
         ["map_title"],
         ["doc_id", "pos"],
