@@ -32,6 +32,31 @@ def test_op6_scores_are_normalised():
         assert abs(float(np.exp(logs.astype(float)).sum()) - 1) < 1e-4
 
 
+def test_op6_inputs_move_once_for_both_levels_and_for_neighbours(monkeypatch):
+    rng, np = random.Random(5), lm.np
+    counts = {f"w{i}".encode(): rng.randint(5, 900) for i in range(3000)}
+    model = lm.Model.fresh(counts, 50, [30])
+    tokens = np.array(rng.choices(sorted(model.codes.values()), k=20_000))
+    moved, move = [], lm._move
+
+    def counted(table, past, rows, steps, rate):
+        moved.append(len(rows) if table is model.inputs else 0)
+        move(table, past, rows, steps, rate)
+
+    monkeypatch.setattr(lm, "_move", counted)
+    model.train(tokens[:-2], tokens[1:-1], tokens[2:], 0.05, np.random.default_rng(3))
+    # two rows a place and level before
+    assert 20_000 <= sum(moved) < 1.2 * 20_000
+
+
+def test_op6_words_of_arrow_are_those_of_python():
+    texts = ["", None, "  ", "A b", "\x0bÄb\x1cC\x85d\xa0E\u2003f\t\n G\r", "x", "\n", "Z\x00y  z "]
+    words, lengths = lm.split_words(lm.pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert words.to_pylist() == [w for ws in want for w in ws]
+    assert lengths.tolist() == [len(ws) for ws in want]
+
+
 def prose(rng, letters, n):
     return " ".join("".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(n))
 
